@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.llm import decontaminate
-from driftlens.llm.common import read
+from driftlens.llm import decontaminate, quality, secrets
+from driftlens.llm.common import checkpointed, read
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = checkpointed(quality.features(read(spark, sf_dir, "documents"), keep=["doc_id"]))  # a row of counts each, no text
+    rows = quality.judged(scored, quality.fit(scored))
+    return rows.select(F.col("_keep.doc_id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(secrets.said(base), 256).alias("base_sha256"), secrets.said(F.col("spans")).alias("spans"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +46,5 @@ SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
 FROM w LEFT JOIN cov ON cov.doc_id = w.id LEFT JOIN its ON its.doc_id = w.id WHERE kind = 'd'
 """
 
-QUERIES = {"op10_decontaminate": op10_decontaminate}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op7_secret_scan": op7_secret_scan, "op10_decontaminate": op10_decontaminate}
 SQL = {"op10_decontaminate": OP10_SQL}
