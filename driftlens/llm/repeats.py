@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, K = 50, 12
-#: Bytes of documents that a task parses at once, and of documents to a bucket on average.
-GATHER, BUCKET = 4 << 20, 2 << 20
+#: Bytes of documents that a task parses at once, and of documents to a bucket on average; either takes some 120 to
+#: 300 bytes of memory a byte.
+GATHER, BUCKET = 1 << 20, 1 << 19
 LAST = np.iinfo(np.int64).max
 
 _TABLE = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -77,7 +78,7 @@ def _spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(int(lens.sum()), dtype=np.int64) + np.repeat(starts - before, lens)
 
 
-def _same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray, block: int = 1 << 21) -> np.ndarray:
+def _same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """Whether the lens[i] bytes at a[i] and at b[i] are equal."""
     out = np.ones(len(a), bool)
     if not len(a):
@@ -92,15 +93,27 @@ def _same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray, block
     return out
 
 
+def _hashed(buf: np.ndarray, triggers: bool, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Trigger (if asked for) and hash of each window, a block of places at a time, which fits the processor's cache."""
+    n = max(0, len(buf) - WINDOW + 1)
+    trigger, hashes = np.empty(n if triggers else 0, np.uint64), np.empty(n, np.uint64)
+    for at in range(0, n, block):
+        part = buf[at : at + block + WINDOW - 1]
+        k, w = _rolled(part, (K, WINDOW))
+        hashes[at : at + block] = w
+        if triggers:
+            trigger[at : at + block] = _least(_mixed(k), WINDOW - K + 1)
+    return trigger, hashes
+
+
 def _phrases(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents that end at ends in buf: each phrase's document, first window, number of windows, trigger, hash."""
     none = np.empty(0, np.int64)
     if len(buf) < WINDOW:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    k_hash, w_hash = _rolled(buf, (K, WINDOW))
-    trigger = _least(_mixed(k_hash), WINDOW - K + 1)
-    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(trigger)]
-    inside = np.arange(len(trigger)) + WINDOW <= ends[doc]
+    trigger, w_hash = _hashed(buf, True)
+    doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[: len(trigger)]
+    inside = np.arange(len(trigger), dtype=np.int32) + WINDOW <= ends.astype(np.int32)[doc]
     new = inside.copy()
     new[1:] &= (trigger[1:] != trigger[:-1]) | (doc[1:] != doc[:-1])
     starts = np.flatnonzero(new)
@@ -108,8 +121,9 @@ def _phrases(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     # A run ends where the next begins or where the document's windows end.
     stops = np.minimum(np.append(starts[1:], len(trigger)), ends[doc[starts]] - WINDOW + 1)
+    first = w_hash[starts] * np.uint64(_P | 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(w_hash))])
-    name = (total[stops] - total[starts]) ^ (w_hash[starts] * np.uint64(_P | 1))
+    name = (total[stops] - total[starts]) ^ first
     return doc[starts], starts, stops - starts, trigger[starts], name
 
 
@@ -159,7 +173,7 @@ def _parse(rows: list[tuple[int, int, bytes]], buckets: int) -> pa.RecordBatch:
     doc, start, count, bucket = (x[order] for x in (doc, start, count, bucket))
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, int)
     blobs = []
-    for a, z in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+    for a, z in zip(cuts, np.append(cuts[1:], len(bucket))[: len(cuts)], strict=True):
         at = slice(a, z)
         blobs.append(_packed(ids[doc[at]], prints[doc[at]], start[at] - first_byte[doc[at]], count[at], buf[_spread(start[at], count[at] + WINDOW - 1)]))
     n, m = len(s), len(blobs)
@@ -178,9 +192,10 @@ def _settle(blobs: list[bytes]) -> tuple[list, list, list]:
     """Spans of one bucket: windows that also stand in a smaller document."""
     parts = [_unpacked(b) for b in blobs]
     docs, prints, places, counts, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     lens = counts.astype(np.int64) + WINDOW - 1
     starts = np.cumsum(lens) - lens
-    (hashes,) = _rolled(buf, (WINDOW,))
+    _, hashes = _hashed(buf, False)
     at = _spread(starts, counts.astype(np.int64))  # every window's place in buf
     phrase = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
     hashes = hashes[at]
