@@ -17,6 +17,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,7 +204,7 @@ def extract(pages: DataFrame, odds: dict[str, float], html_col: str = "html", ou
     """pages with out_col, the main text of each whole page."""
 
     @F.pandas_udf("string")
-    def run(it: Iterator) -> Iterator:
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield s.map(lambda x: main_text(x, odds)).astype(object)
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
     held = _model(docs, model_path)
 
     @F.pandas_udf("array<int>")
-    def run(it: Iterator) -> Iterator:
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = transducer(held.value)
         for s in it:
             yield s.map(t.encode)
@@ -181,7 +182,7 @@ def decode(tokens: DataFrame, model_path: str, ids_col: str = "ids", out_col: st
     held = _model(tokens, model_path)
 
     @F.pandas_udf("string")
-    def run(it: Iterator) -> Iterator:
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = transducer(held.value)
         for s in it:
             yield s.map(lambda x: None if x is None else t.decode(x))

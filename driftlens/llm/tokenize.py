@@ -5,7 +5,7 @@ partition, the ids of the partition before it, and its token ids as a list<int>.
 of bounded size let a reader fetch the tokens or the metadata of a few documents alone.
 
 Texts are cut at space, tab, line feed and carriage return, where no token of this kind of vocabulary reaches across,
-and each piece is encoded once per cache life; the ids equal those of whole texts.
+and a piece that comes again is looked up; the ids equal those of whole texts.
 
 Null and empty texts have the end id alone. Rows with equal ids are kept, in order of a hash of their texts; null ids come
 first. Extra columns are ignored. An empty table writes no rows.
@@ -13,10 +13,9 @@ first. Extra columns are ignored. An empty table writes no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +24,18 @@ from pyspark.sql import functions as F
 
 FILE_SCHEMA = "doc_id long, part int, before long, ids array<int>"
 #: Bytes of a row group and of a page, and how many pieces an encoder remembers.
-ROW_GROUP, PAGE, REMEMBERED = 16 << 20, 256 << 10, 300_000
+ROW_GROUP, PAGE, REMEMBERED = 16 << 20, 256 << 10, 400_000
 
-CUTS = re.compile("[ \t\n\r]+")
+ENDS = ".,!?;:|*#$%&()<>\""
 
 
 class PieceEncoder(dict):
-    """Pieces of text to their token ids; what is new is encoded by the tokenizer."""
+    """Pieces of text to their token ids, as bytes; what is new is encoded by the tokenizer.
+
+    Only plain letters go to its model directly: for them lower-casing is all that comes before. ASCII marks at the end
+    of a piece are never joined to a letter or digit, and so are looked up apart. When full, the pieces not used since
+    it was last full are forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,18 +43,33 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > REMEMBERED:
+        self.model = self.tokenizer.model
+        self.plain = all([t.id for t in self.model.tokenize(w.lower())] == self._whole(w) for w in ("The", "q", "ZYXWVUTSRQPONMLKJIHGFEDCBA"))
+        self.older: dict[str, bytes] = {"": b""}
+
+    def _whole(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            core = piece.rstrip(ENDS)
+            if len(core) < len(piece) and core and core[-1].isascii() and core[-1].isalnum():
+                found = self[core] + self[piece[len(core) :]]
+            elif self.plain and piece.isascii() and piece.isalpha():
+                low = piece.lower()
+                found = self[low] if low != piece else array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            else:
+                found = array("i", self._whole(piece)).tobytes()
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.older[""] = b""
             self.clear()
-            new = list(pieces)
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[p] = e.ids
+        self[piece] = found
+        return found
 
-    def ids(self, pieces: list[str]) -> np.ndarray:
-        self.learn(set(pieces))
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), np.int32)
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -74,14 +93,14 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_of, before = encoder(tokenizer_path), 0
+        pieces_of, before, end = encoder(tokenizer_path), 0, array("i", [end_id]).tobytes()
         for b in batches:
-            out = [np.append(pieces_of.ids([p for p in CUTS.split(t.as_py()) if p]), np.int32(end_id)) for t in b.column(1)]
-            ends = np.cumsum([len(x) for x in out], dtype=np.int64)
+            out = [pieces_of.ids(t.as_py()) + end for t in b.column(1)]
+            ends = np.cumsum([len(x) // 4 for x in out], dtype=np.int64)
             starts = before + np.concatenate([[0], ends[:-1]]).astype(np.int64)
             before += int(ends[-1]) if len(ends) else 0
             offsets = np.concatenate([[0], ends]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts), ids], names=["doc_id", "part", "before", "ids"])
 
     return rows.select("doc_id", "text", "part").mapInArrow(run, FILE_SCHEMA)

@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -128,7 +129,7 @@ def judge(pages: DataFrame, words: dict[str, float], rules: list[tuple[str, str,
     ratio, prior = train(rows.where(F.col("verdict").isNotNull()), words)
 
     @F.pandas_udf("string")
-    def bayes(hosts: Iterator) -> Iterator:
+    def bayes(hosts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         seg = Segmenter(words)
         for h, p in hosts:
             yield h.combine(p, lambda a, b: LABELS[int(prior + ratio[_cells(tokens(a, b, seg))].sum() > 0)]).astype(object)
