@@ -60,7 +60,10 @@ C_STRIP = STRIPPED.format(p=r"""(?s)"(?:[^"\\\n]+|\\.)*(?:"|\n|\\?\z)|''(?:[^''\
 A2L_STRIP = STRIPPED.format(p=r"""(?s)"(?:""|[^"\n])*(?:"|\n|\z)|//[^\n]*|/\*.*?(?:\*/|\z)|[^"/]+|/""", c="starts_with(t, '//') OR starts_with(t, '/*')")
 PY_STRIP = STRIPPED.format(p=r"""(?s)"(?:[^"\\\n]+|\\.)*(?:"|\n|\\?\z)|''(?:[^''\\\n]+|\\.)*(?:''|\n|\\?\z)|#[^\n]*|[^"''#]+""", c="starts_with(t, '#')")
 SPACES = r"[\t\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-COLLAPSED = rf"regexp_replace(regexp_replace(regexp_replace({{t}}, '{SPACES}+', ' ', 'g'), '(?m)^ ', '', 'g'), '(?m) $', '', 'g')"
+
+
+def collapsed(t: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({t}, '{SPACES}+', ' ', 'g'), '(?m)^ ', '', 'g'), '(?m) $', '', 'g')"
 
 
 @query(TREES + "SELECT coalesce(old.rel, new.rel) AS rel, CASE WHEN new.rel IS NULL THEN 'deleted' WHEN old.rel IS NULL THEN 'added' ELSE 'both' END AS side FROM old FULL OUTER JOIN new ON old.rel = new.rel")
@@ -71,7 +74,7 @@ def tree_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LADDER = TREES + rf"""
 , l AS (SELECT coalesce(o.rel, n.rel) AS rel, CASE WHEN n.rel IS NULL THEN 'deleted' WHEN o.rel IS NULL THEN 'added' WHEN o.text = n.text THEN 'identical' WHEN uo.text = un.text THEN 'line-endings'
-    WHEN {COLLAPSED.format(t='uo.text')} = {COLLAPSED.format(t='un.text')} THEN 'whitespace' ELSE 'other' END AS step
+    WHEN {collapsed('uo.text')} = {collapsed('un.text')} THEN 'whitespace' ELSE 'other' END AS step
   FROM old o FULL OUTER JOIN new n ON o.rel = n.rel LEFT JOIN u_old uo ON uo.rel = o.rel LEFT JOIN u_new un ON un.rel = n.rel)
 """
 
@@ -98,12 +101,12 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees(spark, sf_dir)[1].where(text.selected(F.col("rel"), ["*.c", "src1*/d?.*", "d[12].a2l", "d[12][0-9].a2l"], ["*[37].c"])).select("rel")
 
 
-@query(TREES + f"SELECT rel, sha256({COLLAPSED.format(t='text')}) AS sha FROM u_new")
+@query(TREES + f"SELECT rel, sha256({collapsed('text')}) AS sha FROM u_new")
 def collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees(spark, sf_dir)[1].select("rel", F.sha2(text.collapse_ws(text.unix_lines(F.col("text"))), 256).alias("sha"))
 
 
-@query(TREES + f"SELECT rel, sha256({COLLAPSED.format(t='s')}) AS sha FROM (SELECT rel, CASE ext WHEN 'a2l' THEN {A2L_STRIP} WHEN 'py' THEN {PY_STRIP} ELSE {C_STRIP} END AS s FROM u_new WHERE ext IN ('c', 'h', 'a2l', 'py'))")
+@query(TREES + f"SELECT rel, sha256({collapsed('s')}) AS sha FROM (SELECT rel, CASE ext WHEN 'a2l' THEN {A2L_STRIP} WHEN 'py' THEN {PY_STRIP} ELSE {C_STRIP} END AS s FROM u_new WHERE ext IN ('c', 'h', 'a2l', 'py'))")
 def comment_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trees(spark, sf_dir)[1].withColumn("rules", text.ruleset(F.col("rel"))).where(F.col("rules").isin("c", "a2l", "python"))
     return rows.select("rel", F.sha2(text.shadow(text.unix_lines(F.col("text")), F.col("rules")), 256).alias("sha"))
@@ -116,7 +119,7 @@ MARKED = "replace(replace(html, '<p>', '<p UUID = \"a' || page_id || '\"><DATE>2
 WITH t AS (SELECT page_id, {MARKED} AS text FROM pages),
 b AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)<!--.*?-->|<DATE(?:\s[^>]*)?>[^<]*</DATE>|<SW-VERSION(?:\s[^>]*)?>[^<]*</SW-VERSION>|<DESC(?:\s[^>]*)?>.*?</DESC>|<|[^<]+', 0),
   lambda k: CASE WHEN regexp_matches(k, '^<.') THEN regexp_replace(k, '[^\n]', ' ', 'g') ELSE k END), '') AS text FROM t)
-SELECT page_id, sha256({COLLAPSED.format(t=r'''regexp_replace(text, '\bUUID\s*=\s*"[^"]*"', 'UUID=""', 'g')''')}) AS sha FROM b""")
+SELECT page_id, sha256({collapsed(r'''regexp_replace(text, '\bUUID\s*=\s*"[^"]*"', 'UUID=""', 'g')''')}) AS sha FROM b""")
 def xml_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "pages").select("page_id", F.expr(MARKED.replace("chr(10)", "char(10)")).alias("text"))
     return rows.select("page_id", F.sha2(text.xml_shadow(F.col("text")), 256).alias("sha"))
@@ -200,8 +203,8 @@ def moves_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIMILAR = SIDES + f"""
-, la AS (SELECT rel, ext, unnest(string_split({COLLAPSED.format(t="CASE WHEN ext IN ('c', 'h') THEN " + C_STRIP + " WHEN ext = 'a2l' THEN " + A2L_STRIP + " ELSE text END")}, chr(10))) AS line FROM added),
-ld AS (SELECT rel, ext, unnest(string_split({COLLAPSED.format(t="CASE WHEN ext IN ('c', 'h') THEN " + C_STRIP + " WHEN ext = 'a2l' THEN " + A2L_STRIP + " ELSE text END")}, chr(10))) AS line FROM deleted),
+, la AS (SELECT rel, ext, unnest(string_split({collapsed("CASE WHEN ext IN ('c', 'h') THEN " + C_STRIP + " WHEN ext = 'a2l' THEN " + A2L_STRIP + " ELSE text END")}, chr(10))) AS line FROM added),
+ld AS (SELECT rel, ext, unnest(string_split({collapsed("CASE WHEN ext IN ('c', 'h') THEN " + C_STRIP + " WHEN ext = 'a2l' THEN " + A2L_STRIP + " ELSE text END")}, chr(10))) AS line FROM deleted),
 ca AS (SELECT rel, ext, line, count(*) AS c, sum(count(*)) OVER (PARTITION BY rel) AS n FROM la WHERE line <> '' GROUP BY rel, ext, line), cd AS (SELECT rel, ext, line, count(*) AS c, sum(count(*)) OVER (PARTITION BY rel) AS n FROM ld WHERE line <> '' GROUP BY rel, ext, line),
 sim AS (SELECT ca.rel AS added_rel, cd.rel AS deleted_rel, CAST(2.0 AS DOUBLE) * sum(least(ca.c, cd.c)) / (max(ca.n) + max(cd.n)) AS similarity FROM ca JOIN cd ON ca.ext = cd.ext AND ca.line = cd.line GROUP BY 1, 2 HAVING CAST(2.0 AS DOUBLE) * sum(least(ca.c, cd.c)) / (max(ca.n) + max(cd.n)) >= 0.6)
 """
