@@ -78,5 +78,6 @@ def contaminated() -> Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows; all columns and whole texts stay as they are."""
-    hits = window_hits(docs, benchmark_windows(benchmark), text_col, keep=docs.columns)
-    return hits.where(~contaminated()).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text"))
+    hits = window_hits(rows, benchmark_windows(benchmark), "_text", keep=["_doc"])
+    return hits.where(~contaminated()).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
