@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftlens.functions.names import mode_of
 
 CONTEXT, CONTENT_LINES = 3, 400
-W = Window.partitionBy("rel").orderBy("i1", "j1")
 LOUD = ("real", "moved")
 
 
+def in_file() -> WindowSpec:
+    return Window.partitionBy("rel").orderBy("i1", "j1")
+
+
 def row_starts(hunks: DataFrame) -> DataFrame:
     """hunks (rel, kind, i1, i2, j1, j2) with the aligned row at which each begins."""
-    before = F.coalesce(F.lag("i2").over(W), F.lit(0))
+    before = F.coalesce(F.lag("i2").over(in_file()), F.lit(0))
     rows = F.greatest(F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1"))
     step = F.col("i1") - before
-    return hunks.withColumn("row_start", (F.sum(step + rows).over(W.rowsBetween(Window.unboundedPreceding, 0)) - rows).cast("bigint"))
+    return hunks.withColumn("row_start", (F.sum(step + rows).over(in_file().rowsBetween(Window.unboundedPreceding, 0)) - rows).cast("bigint"))
 
 
 def context_groups(hunks: DataFrame, context: int = CONTEXT) -> DataFrame:
     """hunks with the number of the run whose context windows touch."""
-    new = F.when(F.col("i1") - F.lag("i2").over(W) <= 2 * context, 0).otherwise(1)
-    return hunks.withColumn("_new", new).withColumn("grp", F.sum("_new").over(W).cast("bigint")).drop("_new")
+    new = F.when(F.col("i1") - F.lag("i2").over(in_file()) <= 2 * context, 0).otherwise(1)
+    return hunks.withColumn("_new", new).withColumn("grp", F.sum("_new").over(in_file()).cast("bigint")).drop("_new")
 
 
 def focus_windows(hunks: DataFrame, context: int = CONTEXT) -> DataFrame:
@@ -80,9 +83,9 @@ def matches(rows: DataFrame, said: str) -> DataFrame:
 
 def stops(hunks: DataFrame) -> DataFrame:
     """Real and moved hunks with the next and previous one of their file, going round at the ends."""
-    whole = W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = in_file().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     loud = hunks.where(F.col("kind").isin(*LOUD))
-    return loud.withColumn("next_i1", F.coalesce(F.lead("i1").over(W), F.first("i1").over(whole))).withColumn("prev_i1", F.coalesce(F.lag("i1").over(W), F.last("i1").over(whole)))
+    return loud.withColumn("next_i1", F.coalesce(F.lead("i1").over(in_file()), F.first("i1").over(whole))).withColumn("prev_i1", F.coalesce(F.lag("i1").over(in_file()), F.last("i1").over(whole)))
 
 
 def one_sided(files: DataFrame, lines: int = CONTENT_LINES) -> DataFrame:

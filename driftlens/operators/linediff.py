@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +69,14 @@ def changed(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
     return [g for g in gaps if g[0] < g[1] or g[2] < g[3]]
 
 
-@F.pandas_udf(RANGES)
-def _ranges(old, new):
-    import pandas as pd
-
-    return pd.Series([[dict(zip(("i1", "i2", "j1", "j2"), h, strict=True)) for h in changed(a.split("\n"), b.split("\n"))] for a, b in zip(old, new, strict=True)])
-
-
 def hunks(pairs: DataFrame, old: str = "old_text", new: str = "new_text", out: str = "ranges") -> DataFrame:
     """pairs with their changed ranges."""
-    return pairs.withColumn(out, _ranges(F.col(old), F.col(new)))
+
+    @F.pandas_udf(RANGES)
+    def ranges(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("i1", "i2", "j1", "j2"), h, strict=True)) for h in changed(x.split("\n"), y.split("\n"))] for x, y in zip(a, b, strict=True)])
+
+    return pairs.withColumn(out, ranges(F.col(old), F.col(new)))
 
 
 def unique_line_anchors(pairs: DataFrame) -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
 
 LEAST, MARGIN, GUARD = 0.60, 0.10, 4000
-EXT = F.lower(F.regexp_extract(F.regexp_extract("rel", r"([^/]*)$", 1), r"(\.[^.]*)$", 1))
+
+
+def ext() -> Column:
+    return F.lower(F.regexp_extract(F.regexp_extract("rel", r"([^/]*)$", 1), r"(\.[^.]*)$", 1))
 
 
 def exact(added: DataFrame, deleted: DataFrame) -> DataFrame:
     """(added_rel, deleted_rel, similarity) of files (rel, text) whose content one file on each side has."""
 
     def once(files: DataFrame, name: str) -> DataFrame:
-        rows = files.select("rel", EXT.alias("ext"), F.sha1(F.col("text").cast("binary")).alias("digest"))
+        rows = files.select("rel", ext().alias("ext"), F.sha1(F.col("text").cast("binary")).alias("digest"))
         return rows.groupBy("ext", "digest").agg(F.count("*").alias("n"), F.min("rel").alias(name)).where("n = 1").drop("n")
 
     return once(added, "added_rel").join(once(deleted, "deleted_rel"), ["ext", "digest"]).select("added_rel", "deleted_rel", F.lit(1.0).alias("similarity"))
@@ -30,7 +33,7 @@ def similarities(added: DataFrame, deleted: DataFrame, least: float = LEAST) ->
 
     def lined(files: DataFrame, side: str) -> DataFrame:
         rules = text.ruleset(F.col("rel"))
-        rows = files.select(F.col("rel").alias(side), EXT.alias("ext"), F.filter(text.lines(text.move_shadow(text.unix_lines(F.col("text")), rules)), lambda x: x.rlike(r"\S")).alias("lines"))
+        rows = files.select(F.col("rel").alias(side), ext().alias("ext"), F.filter(text.lines(text.move_shadow(text.unix_lines(F.col("text")), rules)), lambda x: x.rlike(r"\S")).alias("lines"))
         return rows.withColumn(f"n_{side}", F.size("lines"))
 
     def counted(rows: DataFrame, side: str) -> DataFrame:

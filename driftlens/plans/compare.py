@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
 from driftlens.operators import classify, facts, moves
 
 RESULT = ["rel", "status", "binary", "notes", "renames", "hunks"]
-NO_HUNKS = F.array().cast(f"array<{classify.HUNK}>")
-NO_RENAMES = F.create_map().cast("map<string,string>")
+
+
+def no_hunks() -> Column:
+    return F.array().cast(f"array<{classify.HUNK}>")
+
+
+def no_renames() -> Column:
+    return F.create_map().cast("map<string,string>")
 
 
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -31,7 +37,7 @@ def scan_texts(old: DataFrame, new: DataFrame, include: list[str] = (), exclude:
     """Results (RESULT) of two trees (rel, text). Pairs that equality decides never reach Python."""
     pairs = ladder(paired(*(t.where(text.selected(F.col("rel"), include, exclude)) for t in (old, new))))
     notes = F.when(F.col("note").isNull(), F.array().cast("array<string>")).otherwise(F.array("note"))
-    plain = pairs.where("status is not null").select("rel", "status", F.lit(False).alias("binary"), notes.alias("notes"), NO_RENAMES.alias("renames"), NO_HUNKS.alias("hunks"))
+    plain = pairs.where("status is not null").select("rel", "status", F.lit(False).alias("binary"), notes.alias("notes"), no_renames().alias("renames"), no_hunks().alias("hunks"))
     rest = pairs.where("status is null").select("rel", text.ruleset(F.col("rel")).alias("rules"), text.unix_lines(F.col("old_text")).alias("old_text"), text.unix_lines(F.col("new_text")).alias("new_text"))
     judged = classify.classified(rest.repartition("rel")).select("rel", "status", F.lit(False).alias("binary"), "notes", "renames", "hunks")
     return plain.unionByName(judged)
@@ -58,7 +64,7 @@ def scan(old: DataFrame, new: DataFrame, include: list[str] = (), exclude: list[
         return rows.select("rel", F.explode(up).alias("dir")).join(at, "dir").select("rel").distinct()
 
     lost = under(both.where("in_old is null"), a_failed).union(under(both.where("in_new is null"), b_failed)).distinct()
-    empty = [NO_RENAMES.alias("renames"), NO_HUNKS.alias("hunks")]
+    empty = [no_renames().alias("renames"), no_hunks().alias("hunks")]
     errors = a_failed.unionByName(b_failed).groupBy("rel").agg(F.sort_array(F.collect_list("note")).alias("notes"))
     errors = errors.unionByName(lost.select("rel", F.array(F.lit("not compared: the folder's listing failed on the other side")).alias("notes")).join(errors.select("rel"), "rel", "left_anti"))
     errors = errors.select("rel", F.lit("error").alias("status"), F.lit(False).alias("binary"), "notes", *empty)

@@ -359,7 +359,7 @@ def plain_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results by equality and white space alone."""
     step = F.col("step")
     status = F.when(step.isin("line-endings", "whitespace"), "ignorable-only").when(step == "other", "real-change").otherwise(step)
-    return tree_status_ladder(spark, sf_dir).select("rel", status.alias("status"), F.lit(False).alias("binary"), F.array().cast("array<string>").alias("notes"), compare.NO_RENAMES.alias("renames"), compare.NO_HUNKS.alias("hunks"))
+    return tree_status_ladder(spark, sf_dir).select("rel", status.alias("status"), F.lit(False).alias("binary"), F.array().cast("array<string>").alias("notes"), compare.no_renames().alias("renames"), compare.no_hunks().alias("hunks"))
 
 
 @query(RESULTS_SQL + "SELECT count(*) FILTER (status = 'identical') AS identical, CAST(0 AS BIGINT) AS comment_only, count(*) FILTER (status = 'ignorable-only') AS ignorable_only, count(*) FILTER (status = 'real-change') AS real_change, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'deleted') AS deleted, CAST(0 AS BIGINT) AS error FROM r")
