@@ -148,7 +148,7 @@ def generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACT_SQL = """
-, x AS (SELECT k, rel, 'rte' AS fact_type, 'Rte_Read_P' || p || '_Sig' AS name, '' AS descr FROM side WHERE is_c UNION ALL SELECT k, rel, 'rte', 'Rte_Write_Q' || (i % 5) || '_Out', '' FROM side WHERE is_c
+, x AS (SELECT k, rel, 'rte' AS fact_type, 'Rte_Pim_text' AS name, '' AS descr FROM side WHERE is_c UNION ALL SELECT k, rel, 'rte', 'Rte_Read_P' || p || '_Sig', '' FROM side WHERE is_c UNION ALL SELECT k, rel, 'rte', 'Rte_Write_Q' || (i % 5) || '_Out', '' FROM side WHERE is_c
   UNION ALL SELECT k, rel, 'a2l', 'K_' || p, 'CHARACTERISTIC' FROM side WHERE NOT is_c UNION ALL SELECT k, rel, 'a2l', 'M_' || (i % 7), 'MEASUREMENT' FROM side WHERE NOT is_c),
 f AS (SELECT coalesce(a.rel, b.rel) AS rel, coalesce(a.fact_type, b.fact_type) AS fact_type, coalesce(a.name, b.name) AS name, CASE WHEN a.rel IS NULL THEN '+' ELSE '-' END AS change
   FROM (SELECT * FROM x WHERE k = 0) a FULL OUTER JOIN (SELECT * FROM x WHERE k = 1) b ON a.rel = b.rel AND a.fact_type = b.fact_type AND a.name = b.name WHERE a.rel IS NULL OR b.rel IS NULL)
@@ -270,10 +270,10 @@ v AS (SELECT rel, win, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY rel, win)
 """
 
 
-@query(FOCUS + """SELECT h.rel, kind, i1, i2, j1, j2, CAST(min(win) AS BIGINT) AS win, min(win) IS NULL AND max(CASE WHEN kind IN ('real', 'moved') THEN 1 ELSE 0 END) OVER (PARTITION BY h.rel) = 1 AS lean
+@query(FOCUS + """SELECT h.rel, kind, i1, i2, j1, j2, coalesce(CAST(min(win) AS BIGINT), -1) AS win, min(win) IS NULL AND max(CASE WHEN kind IN ('real', 'moved') THEN 1 ELSE 0 END) OVER (PARTITION BY h.rel) = 1 AS lean
 FROM h LEFT JOIN v ON h.rel = v.rel AND i1 < hi AND greatest(i2, i1 + 1) > lo GROUP BY h.rel, kind, i1, i2, j1, j2""")
 def focus_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.focus(line_hunks(spark, sf_dir))
+    return layout.focus(line_hunks(spark, sf_dir)).withColumn("win", F.coalesce("win", F.lit(-1)))
 
 
 @query(HUNKS + """SELECT rel, kind, i1, i2, j1, j2, coalesce(lead(i1) OVER w, first_value(i1) OVER (PARTITION BY rel ORDER BY i1, j1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_i1,
