@@ -41,19 +41,22 @@ def _power(n: int) -> np.uint64:
 
 def _rolled(b: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     """Polynomial hashes of all substrings of each length, doubled up from single bytes."""
+    # No closure here: one that named itself would keep its arrays until the next collection of cycles.
+    wanted = set(lengths)
+    while more := {x for n in wanted if n > 1 for x in (_half(n), n - _half(n))} - wanted:
+        wanted |= more
     powers = {1: _TABLE[b]}
+    for n in sorted(wanted - {1}):
+        a, z, m = powers[_half(n)], powers[n - _half(n)], len(b) - n + 1
+        h = a[:m] * _power(n - _half(n))
+        h += z[_half(n) : _half(n) + m]
+        powers[n] = h
+    return [powers[n] for n in lengths]
 
-    def of(n: int) -> np.ndarray:
-        if n not in powers:
-            half = 1 << (n - 1).bit_length() - 1
-            a, z = of(half), of(n - half)
-            m = len(b) - n + 1
-            h = a[:m] * _power(n - half)
-            h += z[half : half + m]
-            powers[n] = h
-        return powers[n]
-
-    return [of(n) for n in lengths]
+
+def _half(n: int) -> int:
+    """The largest power of two below n."""
+    return 1 << (n - 1).bit_length() - 1
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
