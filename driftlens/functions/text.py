@@ -5,6 +5,8 @@ A shadow has as many lines as the text it comes from: what is blanked leaves its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,11 @@ IDENT = rf"[A-Za-z_]{WORD}*"
 TOKEN = rf"""{IDENT}|0[xX][0-9a-fA-F]+[uUlL]*|\p{{Nd}}+\.?\p{{Nd}}*(?:[eE][+-]?\p{{Nd}}+)?[uUlLfF]*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\S"""
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once however often f mentions it; nested rules would multiply it otherwise."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def decode(content: Column) -> Column:
     """Bytes to text: UTF-8 with or without its mark, else Latin-1; line ends become line feeds."""
     text = F.when(F.is_valid_utf8(content), F.regexp_replace(content.cast("string"), "^\ufeff", "")).otherwise(F.decode(content, "ISO-8859-1"))
@@ -100,37 +107,54 @@ def _blanked(tokens: Column, marked: Column) -> Column:
     return F.array_join(F.zip_with(tokens, marked, lambda t, c: F.when(c != "", F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)), "")
 
 
+def _without(text: Column, tokens: str) -> Column:
+    """Group 1 of the tokens blanked."""
+    p = F.lit(tokens)
+    return F.when(text == "", text).otherwise(_blanked(F.regexp_extract_all(text, p, 0), F.regexp_extract_all(text, p, 1)))
+
+
 def strip_comments(text: Column, rules: str) -> Column:
     """Comments blanked; strings and docstrings stay."""
-    p = F.lit(COMMENT_TOKENS[rules])
-    return F.when(text == "", text).otherwise(_blanked(F.regexp_extract_all(text, p, 0), F.regexp_extract_all(text, p, 1)))
+    return let(text, lambda t: _without(t, COMMENT_TOKENS[rules]))
+
+
+def blank_strings(text: Column, rules: str) -> Column:
+    """Strings blanked, in text without comments."""
+    return let(text, lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(COMMENT_TOKENS[rules]), 0), lambda k: F.when(k.rlike("^[\"']"), F.regexp_replace(k, r"[^\n]", " ")).otherwise(k)), ""))
 
 
 def strip_xml(text: Column, rule: str) -> Column:
     """One kind of XML noise blanked; UUIDs become empty ones."""
     if rule == "uuid":
         return F.regexp_replace(text, XML_NOISE[rule], 'UUID=""')
-    p = F.lit(rf"(?s)({XML_NOISE[rule]})|<|[^<]++")
-    return F.when(text == "", text).otherwise(_blanked(F.regexp_extract_all(text, p, 0), F.regexp_extract_all(text, p, 1)))
+    return let(text, lambda t: _without(t, rf"(?s)({XML_NOISE[rule]})|<|[^<]++"))
 
 
-def xml_shadow(text: Column) -> Column:
+def xml_stripped(text: Column) -> Column:
     for rule in XML_NOISE:
         text = strip_xml(text, rule)
-    return collapse_ws(text)
+    return text
+
+
+def xml_shadow(text: Column) -> Column:
+    return collapse_ws(xml_stripped(text))
 
 
 def shadow(text: Column, rules: Column) -> Column:
     """What a rule set leaves of a text."""
-    out = collapse_ws(text)
-    for name in COMMENT_TOKENS:
-        out = F.when(rules == name, collapse_ws(strip_comments(text, name))).otherwise(out)
-    return F.when(rules == "arxml", xml_shadow(text)).otherwise(out)
+
+    def by_rules(t: Column) -> Column:
+        bare = F.when(rules == "arxml", xml_stripped(t))
+        for name in COMMENT_TOKENS:
+            bare = bare.when(rules == name, strip_comments(t, name))
+        return collapse_ws(bare.otherwise(t))
+
+    return let(text, by_rules)
 
 
 def move_shadow(text: Column, rules: Column) -> Column:
     """The simpler shadow by which moved files are scored."""
-    return F.when(rules.isin("c", "a2l", "arxml"), shadow(text, rules)).otherwise(collapse_ws(text))
+    return shadow(text, F.when(rules.isin("c", "a2l", "arxml"), rules).otherwise("plain"))
 
 
 def tokenize(text: Column) -> Column:

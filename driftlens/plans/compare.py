@@ -96,7 +96,7 @@ def linked_moves(results: DataFrame, old: DataFrame, new: DataFrame, guard: int
     """(added_rel, deleted_rel, similarity, move_status, hunks) of files that moved, compared across their paths."""
     added = new.join(results.where("status = 'added'").select("rel"), "rel", "left_semi")
     deleted = old.join(results.where("status = 'deleted'").select("rel"), "rel", "left_semi")
-    found = moves.find(added, deleted, guard)
+    found = moves.find(added, deleted, guard).persist()  # paths and scores alone; read three times
     pairs = found.join(old.select(F.col("rel").alias("deleted_rel"), F.col("text").alias("old_text")), "deleted_rel").join(new.select(F.col("rel").alias("added_rel"), F.col("text").alias("new_text")), "added_rel")
     olds = pairs.select(F.col("added_rel").alias("rel"), F.col("old_text").alias("text"))
     news = pairs.select(F.col("added_rel").alias("rel"), F.col("new_text").alias("text"))

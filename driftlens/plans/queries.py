@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import names, text
-from driftlens.operators import classify, facts, layout, linediff, moves, review, rollup
+from driftlens.operators import classify, facts, layout, linediff, moves, review, rollup, scopes
 from driftlens.plans import compare, sinks
 from driftlens.sources.trees import code_trees, document_trees
 
@@ -466,3 +466,36 @@ SELECT 1 AS section, '0' || k AS ord, s || ': ' || (SELECT count(*) FROM r WHERE
 UNION ALL SELECT 2, rel, rel || '  ' || CASE status WHEN 'added' THEN 'Added' WHEN 'deleted' THEN 'Deleted' ELSE 'Modified: 0 hunk(s)' END FROM r WHERE status IN ('added', 'deleted', 'real-change')""")
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.summary_lines(plain_results(spark, sf_dir))
+
+
+@query(TREES + r"""
+, p AS (SELECT a.rel, split_part(a.text, chr(10), 1) AS a, split_part(b.text, chr(10), 1) AS b FROM u_old a JOIN u_new b ON a.rel = b.rel),
+q AS (SELECT *, list_max(list_filter(generate_series(0, least(length(a), length(b))), lambda k: left(a, k) = left(b, k))) AS pre FROM p),
+s AS (SELECT *, list_max(list_filter(generate_series(0, least(length(a), length(b)) - pre), lambda k: k = 0 OR right(a, k) = right(b, k))) AS suf FROM q)
+SELECT rel, CAST(CASE WHEN pre < length(a) - suf THEN pre - length(regexp_extract(left(a, pre), '[\pL\pN_]*$')) ELSE pre END AS INT) AS old_lo,
+  CAST(CASE WHEN pre < length(a) - suf THEN length(a) - suf + length(regexp_extract(substr(a, length(a) - suf + 1), '^[\pL\pN_]*')) ELSE length(a) - suf END AS INT) AS old_hi,
+  CAST(CASE WHEN pre < length(b) - suf THEN pre - length(regexp_extract(left(b, pre), '[\pL\pN_]*$')) ELSE pre END AS INT) AS new_lo,
+  CAST(CASE WHEN pre < length(b) - suf THEN length(b) - suf + length(regexp_extract(substr(b, length(b) - suf + 1), '^[\pL\pN_]*')) ELSE length(b) - suf END AS INT) AS new_hi FROM s""".replace("\\\\p", "\\p"))
+def char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changed stretch of each pair's first line."""
+    old, new = trees(spark, sf_dir)
+    first = lambda t, c: t.select("rel", F.split(text.unix_lines(F.col("text")), "\n", -1)[0].alias(c))
+    return first(old, "a").join(first(new, "b"), "rel").select("rel", scopes.char_span(F.col("a"), F.col("b")).alias("s")).select("rel", "s.*")
+
+
+@query()
+def scope_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per scope of C and A2L files made from documents: a function or block around each text."""
+    i = F.col("doc_id").cast("string")
+    docs = read(spark, sf_dir, "documents").where("doc_id % 2 = 0 or doc_id % 4 = 1")
+    body = F.regexp_replace("text", "[{}();\"'/]", " ")
+    c = F.concat(F.lit("#include <a.h>\nint v;\nvoid f"), i, F.lit("(void)\n{\n  if (v) {\n"), body, F.lit("\n  }\n}\nstruct s"), i, F.lit(" {\n  int x;\n};\n"))
+    a = F.concat(F.lit("/begin MODULE M"), i, F.lit("\n/begin CHARACTERISTIC K"), i, F.lit(' "/begin no"\n'), body, F.lit("\n/end CHARACTERISTIC\n/end MODULE\n"))
+    is_c = F.col("doc_id") % 2 == 0
+    files = docs.select(F.concat(F.lit("d"), i, F.when(is_c, ".c").otherwise(".a2l")).alias("rel"), F.when(is_c, c).otherwise(a).alias("text"))
+    return scopes.scope_labels(files).select("rel", F.explode("labels").alias("label")).groupBy("rel", "label").agg(F.count("*").alias("lines"))
+
+
+@query(CODES + FACT_SQL + "SELECT CASE fact_type WHEN 'rte' THEN 'RTE access points' ELSE 'A2L variables' END AS section, CASE change WHEN '-' THEN '−' ELSE change END AS sign, name, CASE WHEN fact_type = 'rte' THEN '' WHEN name LIKE 'K%' THEN 'CHARACTERISTIC' ELSE 'MEASUREMENT' END AS detail, rel, name AS key FROM f")
+def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scopes.summary_rows(code_facts(spark, sf_dir))

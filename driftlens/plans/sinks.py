@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.functions.text import ruleset
 from driftlens.operators.rollup import STATUSES, exit_code, status_summary
 
 # Fixed values.
@@ -89,3 +90,18 @@ def write_html(results: DataFrame, rows: DataFrame, path: str, title: str = "Com
                 last = r["rel"]
             f.write(f"<tr class={r['mode']}><td>{esc(r['old_no'])}<td>{esc(r['old_txt'])}<td>{esc(r['new_no'])}<td>{esc(r['new_txt'])}</tr>\n")
         f.write("</table>" if last is not None else "")
+
+
+def write_arxml_report(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """Verdicts of XML and A2L files, and their fact differences (scopes.summary_rows) by section; written even if empty."""
+    esc = lambda x: html.escape("" if x is None else str(x))
+    typed = results.where(ruleset(F.col("rel")).isin("arxml", "a2l"))
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("<!DOCTYPE html><meta charset=utf-8><title>ARXML and A2L</title><h1>ARXML and A2L</h1>")
+        for kind in ("arxml", "a2l"):
+            counts = typed.where(ruleset(F.col("rel")) == kind).groupBy("status").count().orderBy("status").collect()
+            f.write(f"<h2>{kind.upper()}</h2><p>" + esc(", ".join(f"{r['status']}: {r['count']}" for r in counts) or "no files") + "</p>")
+        last = None
+        for r in summary.orderBy("section", "sign", "name", "rel").toLocalIterator():
+            f.write((f"<h3>{esc(r['section'])}</h3>" if r["section"] != last else "") + f"<p>{esc(r['sign'])} {esc(r['name'])} {esc(r['detail'])} <i>{esc(r['rel'])}</i></p>\n")
+            last = r["section"]
