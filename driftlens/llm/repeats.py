@@ -25,14 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, K = 50, 12
-#: Bytes of documents that a task parses at once, and of documents to a bucket on average; either takes some 120 to
-#: 300 bytes of memory a byte.
-GATHER, BUCKET = 1 << 20, 1 << 19
+WINDOW, K = 50, 10
+#: Bytes of documents that a task parses at once, and of documents to a bucket on average; either takes some 40 to
+#: 60 bytes of memory a byte.
+GATHER, BUCKET = 4 << 20, 2 << 20
 LAST = np.iinfo(np.int64).max
+#: About this many documents show which K-byte strings are common; one is if it begins so many of their phrases.
+SAMPLE_DOCS, COMMON = 5000, 40
+LEVEL = 9
 
 _TABLE = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
 _P = 0x9E3779B97F4A7C15
+_NONE = np.empty(0, np.uint64)
 
 
 def _power(n: int) -> np.uint64:
@@ -96,7 +100,20 @@ def _same(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray, block
     return out
 
 
-def _hashed(buf: np.ndarray, triggers: bool, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+def _ranked(k: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Mixed hashes of K-byte strings, those of common (sorted) strings above all others."""
+    v = _mixed(k) >> np.uint64(1)
+    if len(common):
+        maybe = np.zeros(1 << 16, bool)
+        maybe[(common >> np.uint64(47)).astype(np.int64)] = True
+        at = np.flatnonzero(maybe[(v >> np.uint64(47)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(common, v[at]), len(common) - 1)
+        at = at[common[found] == v[at]]
+        v[at] |= np.uint64(1 << 63)
+    return v
+
+
+def _hashed(buf: np.ndarray, triggers: bool, common: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Trigger (if asked for) and hash of each window, a block of places at a time, which fits the processor's cache."""
     n = max(0, len(buf) - WINDOW + 1)
     trigger, hashes = np.empty(n if triggers else 0, np.uint64), np.empty(n, np.uint64)
@@ -105,16 +122,16 @@ def _hashed(buf: np.ndarray, triggers: bool, block: int = 1 << 17) -> tuple[np.n
         k, w = _rolled(part, (K, WINDOW))
         hashes[at : at + block] = w
         if triggers:
-            trigger[at : at + block] = _least(_mixed(k), WINDOW - K + 1)
+            trigger[at : at + block] = _least(_ranked(k, common), WINDOW - K + 1)
     return trigger, hashes
 
 
-def _phrases(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _phrases(buf: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents that end at ends in buf: each phrase's document, first window, number of windows, trigger, hash."""
     none = np.empty(0, np.int64)
     if len(buf) < WINDOW:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    trigger, w_hash = _hashed(buf, True)
+    trigger, w_hash = _hashed(buf, True, common)
     doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[: len(trigger)]
     inside = np.arange(len(trigger), dtype=np.int32) + WINDOW <= ends.astype(np.int32)[doc]
     new = inside.copy()
@@ -132,7 +149,7 @@ def _phrases(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _packed(docs: np.ndarray, prints: np.ndarray, places: np.ndarray, counts: np.ndarray, data: np.ndarray) -> bytes:
     head = np.array([len(docs)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in (head, docs, prints, places.astype(np.int32), counts.astype(np.int32), data)))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(x.tobytes() for x in (head, docs, prints, places.astype(np.int32), counts.astype(np.int32), data)))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -153,11 +170,11 @@ def _span_rows(docs: np.ndarray, prints: np.ndarray, lo: np.ndarray, hi: np.ndar
     return docs[new], prints[new], [x.tobytes() for x in np.split(pairs, new[1:])] if len(docs) else []
 
 
-def _parse(rows: list[tuple[int, int, bytes]], buckets: int) -> pa.RecordBatch:
+def _parse(rows: list[tuple[int, int, bytes]], buckets: int, common: np.ndarray = _NONE) -> pa.RecordBatch:
     """The parse of one gathering: spans settled here, and what is left, dealt to buckets."""
     ids, prints = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
     buf = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-    doc, start, count, trigger, name = _phrases(buf, np.cumsum([len(r[2]) for r in rows]))
+    doc, start, count, trigger, name = _phrases(buf, np.cumsum([len(r[2]) for r in rows]), common)
     first_byte = np.cumsum([len(r[2]) for r in rows]) - np.array([len(r[2]) for r in rows])
     # The dictionary: phrases in order of name, length and document, the least document first.
     order = np.lexsort((ids[doc], count, name)) if len(doc) else np.empty(0, int)
@@ -172,7 +189,7 @@ def _parse(rows: list[tuple[int, int, bytes]], buckets: int) -> pa.RecordBatch:
     left[later] = False
     doc, start, count, trigger = (x[left] for x in (doc, start, count, trigger))
     bucket = (_mixed(trigger) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((start, bucket))
     doc, start, count, bucket = (x[order] for x in (doc, start, count, bucket))
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, int)
     blobs = []
@@ -198,7 +215,7 @@ def _settle(blobs: list[bytes]) -> tuple[list, list, list]:
     del parts
     lens = counts.astype(np.int64) + WINDOW - 1
     starts = np.cumsum(lens) - lens
-    _, hashes = _hashed(buf, False)
+    _, hashes = _hashed(buf, False, _NONE)
     at = _spread(starts, counts.astype(np.int64))  # every window's place in buf
     phrase = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
     hashes = hashes[at]
@@ -234,11 +251,37 @@ def _settle(blobs: list[bytes]) -> tuple[list, list, list]:
     return _span_rows(docs[phrase[a]], prints[phrase[a]], in_doc(a), in_doc(z) + WINDOW)
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, print (a hash of the text, as ids may repeat) and pairs of bytes to remove, packed, in several rows each."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(64, size // BUCKET)
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (null: LAST), print and text (binary) of each row. print tells rows with equal ids apart, and is 0 if there are none."""
+    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))
+    unique = docs.groupBy(doc_id).count().where("count > 1").isEmpty()
+    return docs.select(doc_id.alias("doc_id"), (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("print"), F.col(text_col).cast("binary").alias("text"))
+
+
+def _common(rows: DataFrame, n: int) -> np.ndarray:
+    """Triggers that begin COMMON phrases or more in about SAMPLE_DOCS documents.
+
+    They only rank behind others as triggers, lest windows around the commonest words meet in one bucket; results don't
+    depend on them. A sample of bounded size has a bounded number of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column(0).to_pylist()]
+            found = _phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), _NONE)[3]
+            names, counts = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts.astype(np.int64))], names=["trigger", "n"])
+
+    few = rows.where(F.xxhash64("doc_id", F.lit(4)).bitwiseAND(2**31 - 1) < int(min(1.0, SAMPLE_DOCS / max(1, n)) * 2**31))
+    counted = few.select("text").mapInArrow(run, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["trigger"] for r in counted.collect()], np.int64).view(np.uint64))
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """doc_id, print and pairs of bytes to remove, packed, in several rows for each of keyed()."""
+    size, n = rows.agg(F.sum(F.length("text")), F.count("*")).first()
+    buckets = max(64, (size or 0) // BUCKET)
+    common = _common(rows, n)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -247,10 +290,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 held.append((i, p, t or b""))
                 n += len(held[-1][2])
                 if n >= GATHER:
-                    yield _parse(held, buckets)
+                    yield _parse(held, buckets, common)
                     held, n = [], 0
         if held:
-            yield _parse(held, buckets)
+            yield _parse(held, buckets, common)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs = None, []
@@ -287,12 +330,23 @@ def union(packed: list[bytes]) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (binary, whole), and runs: array of (first, end) of the bytes to remove, of each row."""
-    per = spans(docs, id_col, text_col).groupBy("doc_id", "print").agg(F.collect_list("spans").alias("spans"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    per = per.withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
-    joined = rows.join(per, (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("_doc")) & (F.col("print") == F.col("_print")), "left")
-    return joined.select("doc_id", "text", "spans")
+    """doc_id, packed (its whole text, see whole()) and spans (packed pairs of bytes to remove, see union()) of each row."""
+    rows = keyed(docs, id_col, text_col)
+    per = spans(rows).groupBy("doc_id", "print").agg(F.collect_list("spans").alias("spans"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts cross the network compressed."""
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t or b"") for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "print", "packed"])
+
+    packed = rows.mapInArrow(squeeze, "doc_id long, print long, packed binary")
+    joined = packed.join(per, ["doc_id", "print"], "left")
+    return joined.select(F.when(F.col("doc_id") != int(LAST), F.col("doc_id")).alias("doc_id"), "packed", "spans")
+
+
+def whole(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def digests(joined: DataFrame) -> DataFrame:
@@ -303,7 +357,7 @@ def digests(joined: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for d, t, packed in zip(*b.columns, strict=True):
-                t, runs, at, kept = t.as_py(), union(packed.as_py() or []), 0, hashlib.sha256()
+                t, runs, at, kept = whole(t.as_py()), union(packed.as_py() or []), 0, hashlib.sha256()
                 view = memoryview(t)
                 for lo, hi in runs:
                     kept.update(view[at:lo])
