@@ -19,8 +19,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: How many cuts, of how many characters at most, and how many pairs a transducer remembers.
-REMEMBERED, LONGEST, PAIRS = 200_000, 64, 1_000_000
+REMEMBERED, LONGEST, PAIRS = 300_000, 64, 1_000_000
 BPE = 2
 
 
@@ -55,16 +55,21 @@ class Transducer(dict):
         self.silent = {i for i in ids if model.is_control(i)}
         self.prefix = MARK if spec.normalizer_spec.add_dummy_prefix else ""
         self.bpe = spec.trainer_spec.model_type == BPE
-        self.reach = max(map(len, self.arcs))
-        # Pieces by their last character, the longest first: a place's arcs are tried from these lengths.
+        # Lengths of pieces by their last three characters (or all of a shorter piece), the longest first.
         lengths: dict[str, set[int]] = {}
         for p in self.arcs:
-            lengths.setdefault(p[-1], set()).add(len(p))
+            lengths.setdefault(p[-3:], set()).add(len(p))
         self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
-        inner = any(MARK in p.lstrip(MARK) for p in self.arcs)
-        joined = {c for p in self.arcs if len(p) > 1 for c in p}
-        self.cuts = re.compile(".+", re.S) if inner or "\n" in joined else re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        # No piece reaches across a line feed, into a run of marks, or from a letter to one of self.ends.
+        inner = any(MARK in p.lstrip(MARK) or len(p) > 1 and "\n" in p for p in self.arcs)
+        self.cuts = re.compile(".+", re.S) if inner else re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        joined = {b for p in self.arcs for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.ends = "".join(c for c in ".,;:!?|*#$%&()<>\"'" if c not in joined)
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
+        # What an id stands for on its own. Bytes of longer characters depend on their neighbours.
+        self.alone = ["" if i in self.silent else chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else self.text_of[i].replace(MARK, " ") for i in ids]
+        self.high = np.array([self.byte_of.get(i, 0) >= 128 for i in ids])
 
     def merged(self, text: str) -> list[str]:
         """Pieces by merging neighbours, the best score first and then the leftmost."""
@@ -95,15 +100,21 @@ class Transducer(dict):
     def shortest_path(self, text: str) -> list[int]:
         n = len(text)
         cost, arc, start = [0.0] + [math.inf] * n, [None] * (n + 1), [0] * (n + 1)
+        lengths, arcs, weight = self.lengths, self.arcs, self.weight
         for end in range(1, n + 1):
-            for length in self.lengths.get(text[end - 1], ()):
-                if length > end or cost[end - length] == math.inf:
-                    continue
-                i = self.arcs.get(text[end - length : end])
-                if i is not None and (c := cost[end - length] + self.weight(arc[end - length], i)) < cost[end]:
-                    cost[end], arc[end], start[end] = c, i, end - length
-                    if self.bpe:
-                        break
+            # Longest first: pieces of three characters or more by their ending, then those of two and one.
+            for tail in (text[end - 3 : end] if end > 2 else "", text[end - 2 : end] if end > 1 else "", text[end - 1]):
+                for length in lengths.get(tail, ()):
+                    at = end - length
+                    if at < 0 or cost[at] == math.inf:
+                        continue
+                    i = arcs.get(text[at:end])
+                    if i is not None and (c := cost[at] + weight(arc[at], i)) < cost[end]:
+                        cost[end], arc[end], start[end] = c, i, at
+                        if self.bpe:
+                            break
+                if self.bpe and cost[end] == 0:
+                    break
             if cost[end] == math.inf and text[end - 1] not in self.arcs:
                 cost[end], arc[end], start[end] = cost[end - 1] + self.weight(arc[end - 1], -1), -1, end - 1
         if cost[n] == math.inf:
@@ -117,30 +128,32 @@ class Transducer(dict):
     def as_bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")] if self.byte_ids else [self.unknown]
 
-    def __missing__(self, cut: str) -> list[int]:
-        ids = self.shortest_path(cut)
+    def __missing__(self, cut: str) -> bytes:
+        ids = self.older.get(cut)
+        if ids is None:
+            core = cut.rstrip(self.ends)
+            if len(core) < len(cut) and core[-1:].isalpha():
+                ids = self[core] + self[cut[len(core) :]]
+            else:
+                ids = array("i", self.shortest_path(cut)).tobytes()
         if len(cut) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[cut] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         cuts = self.cuts.findall(self.prefix + text.replace(" ", MARK)) if text else []
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, cuts)), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, cuts)), np.int32)
 
     def decode(self, ids) -> str:
-        out, held = [], bytearray()
-        for i in map(int, ids):
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            out.append("" if i in self.silent else self.text_of[i])
-        out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        ids = np.asarray(ids, np.int32)
+        if not self.high[ids].any():
+            text = "".join(map(self.alone.__getitem__, ids.tolist()))
+        else:
+            out = [bytes([self.byte_of[i]]) if i in self.byte_of else self.alone[i].encode() for i in ids.tolist()]
+            text = b"".join(out).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -208,7 +221,7 @@ def encoded_and_checked(docs: DataFrame, model_path: str, keep: list[str], text_
                 lists.append(t.encode(text))
                 same.append(t.decode(lists[-1]) == text.replace(MARK, " "))
             lens = np.array([len(x) for x in lists], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)).astype(np.int32)), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32), pa.int32()))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *lists]), pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lens), ids, pa.array(same, pa.bool_())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
