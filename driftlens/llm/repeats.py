@@ -197,7 +197,7 @@ def _parse(rows: list[tuple[int, int, bytes]], buckets: int, common: np.ndarray
         at = slice(a, z)
         blobs.append(_packed(ids[doc[at]], prints[doc[at]], start[at] - first_byte[doc[at]], count[at], buf[_spread(start[at], count[at] + WINDOW - 1)]))
     n, m = len(s), len(blobs)
-    to = np.concatenate([(_mixed(p.view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if n else np.empty(0, np.int64), bucket[cuts]])
+    to = np.concatenate([(_mixed(p.view(np.uint64) ^ (d.view(np.uint64) * np.uint64(_P))) % np.uint64(buckets)).astype(np.int64) if n else np.empty(0, np.int64), bucket[cuts]])
     return pa.RecordBatch.from_arrays([
         pa.array(to, pa.int32()), pa.array([*d] + [None] * m, pa.int64()), pa.array([*p] + [None] * m, pa.int64()),
         pa.array(s + [None] * m, pa.binary()), pa.array([None] * n + blobs, pa.binary())], schema=_arrow(PARSED))
