@@ -282,12 +282,13 @@ def hunk_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.stops(line_hunks(spark, sf_dir))
 
 
-@query(HUNKS + """SELECT a.rel, a.i1, a.i2, b.i1 AS r1, b.i2 AS r2 FROM h a JOIN h b ON a.rel = b.rel AND a.kind <> 'real' AND b.kind = 'real'
+@query(HUNKS + """, a AS (SELECT rel, kind, i1 + 12 AS i1, i2 + 12 AS i2, j1 + 12 AS j1, j2 + 12 AS j2 FROM h) SELECT a.rel, a.i1, a.i2, b.i1 AS r1, b.i2 AS r2 FROM a JOIN h b ON a.rel = b.rel AND a.kind <> 'real' AND b.kind = 'real'
 AND ((a.i1 < b.i2 AND b.i1 < a.i2) OR (a.i1 = a.i2 AND b.i1 <= a.i1 AND a.i1 <= b.i2) OR (b.i1 = b.i2 AND a.i1 <= b.i1 AND b.i1 <= a.i2)
   OR (a.j1 < b.j2 AND b.j1 < a.j2) OR (a.j1 = a.j2 AND b.j1 <= a.j1 AND a.j1 <= b.j2) OR (b.j1 = b.j2 AND a.j1 <= b.j1 AND b.j1 <= a.j2))""")
 def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = line_hunks(spark, sf_dir)
-    a, b = h.where("kind != 'real'").alias("a"), h.where("kind = 'real'").alias("b")
+    later = h.withColumns({c: F.col(c) + 12 for c in ("i1", "i2", "j1", "j2")})
+    a, b = later.where("kind != 'real'").alias("a"), h.where("kind = 'real'").alias("b")
     c = lambda x: F.col(x)
     meets = linediff.touches(c("a.i1"), c("a.i2"), c("b.i1"), c("b.i2")) | linediff.touches(c("a.j1"), c("a.j2"), c("b.j1"), c("b.j2"))
     return a.join(b, (c("a.rel") == c("b.rel")) & meets).select("a.rel", "a.i1", "a.i2", c("b.i1").alias("r1"), c("b.i2").alias("r2"))

@@ -79,6 +79,8 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """A folder's or zip archive's files."""
     if os.path.isfile(root):
         return read_zip(spark, root)
+    if not os.path.isdir(root):
+        raise SourceError(f"{root} is neither a folder nor a file")
     spark.dataSource.register(TreeSource)
     return spark.read.format("tree").load(root)
 
