@@ -47,15 +47,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long) of each row; if keyed, its text_key as key before fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*b.schema.names[:-1], "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    key = [text_key(text).alias("key")] if keyed else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, text.alias("text")).mapInArrow(run, "doc_id long, key long, fp long" if keyed else "doc_id long, fp long")
 
 
 def _bits_of(i: int) -> int:
@@ -191,13 +193,30 @@ def with_components(fps: DataFrame, distance: int = 3) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_key(text: Column) -> Column:
+    """With the id it tells the rows of a table apart; null and empty texts have keys of their own."""
+    return F.xxhash64(text)
+
+
+def survivors(docs: DataFrame, rows: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The least row of docs of each component, by id (null ids last), then by text_key. rows: doc_id, key, fp; labels: node, label.
+
+    Of rows that share id and text one stays; unlike texts stand for themselves, whatever their ids.
+    """
+    named = rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    least = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
+    first = least.select(F.col("row.doc_id").alias("_first"), F.col("row.key").alias("_key"))
+    ours = F.col(id_col).cast("long"), text_key(F.col(text_col).cast("string"))
+    kept = docs.join(first, ours[0].eqNullSafe(F.col("_first")) & (ours[1] == F.col("_key")), "left_semi")
+    unique = rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    return kept if unique else kept.withColumn("_key", ours[1]).withColumn("_first", ours[0]).dropDuplicates(["_first", "_key"]).drop("_first", "_key")
+
+
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The row of docs with the least id of each component; all columns and whole texts stay as they are.
 
-    Of rows that share that id one stays. Rows with a null id stay if their component has no id at all.
+    A component without any id keeps the row of the least text_key.
     """
-    groups = near_duplicates(docs, id_col, text_col)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    unique = groups.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if unique else kept.dropDuplicates([id_col])
+    rows = checkpointed(fingerprints(docs, id_col, text_col, keyed=True))
+    labels = components(links(rows.select("fp").distinct()))
+    return survivors(docs, rows, labels, text_col, id_col)
