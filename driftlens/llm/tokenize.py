@@ -33,8 +33,9 @@ class PieceEncoder(dict):
     """Pieces of text to their token ids, as bytes; what is new is encoded by the tokenizer.
 
     Only plain letters go to its model directly: for them lower-casing is all that comes before. ASCII marks at the end
-    of a piece are never joined to a letter or digit, and so are looked up apart. When full, the pieces not used since
-    it was last full are forgotten.
+    of a piece are never joined to a letter or digit, and so are looked up apart, unless the piece holds an added token
+    (in any case, as some are matched after lower-casing): such a piece is encoded whole. When full, the pieces not used
+    since it was last full are forgotten.
     """
 
     def __init__(self, path: str):
@@ -45,6 +46,7 @@ class PieceEncoder(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.plain = all([t.id for t in self.model.tokenize(w.lower())] == self._whole(w) for w in ("The", "q", "ZYXWVUTSRQPONMLKJIHGFEDCBA"))
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.older: dict[str, bytes] = {"": b""}
 
     def _whole(self, piece: str) -> list[int]:
@@ -53,11 +55,12 @@ class PieceEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            core = piece.rstrip(ENDS)
-            if len(core) < len(piece) and core and core[-1].isascii() and core[-1].isalnum():
+            core, low = piece.rstrip(ENDS), piece.lower()
+            if any(t in low for t in self.added):
+                found = array("i", self._whole(piece)).tobytes()
+            elif len(core) < len(piece) and core and core[-1].isascii() and core[-1].isalnum():
                 found = self[core] + self[piece[len(core) :]]
             elif self.plain and piece.isascii() and piece.isalpha():
-                low = piece.lower()
                 found = self[low] if low != piece else array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
             else:
                 found = array("i", self._whole(piece)).tobytes()
