@@ -12,7 +12,7 @@ from driftlens.llm.common import read, scratch
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     titles = pages.select(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1).alias("title"))
-    return urls.judge(pages, urls.unigrams(titles, "title"), keep=["page_id"])
+    return urls.judge(pages, urls.unigrams(titles, "title", urls.host_parts(pages, "url")), keep=["page_id"])
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

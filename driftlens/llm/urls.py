@@ -2,7 +2,8 @@
 
 Concatenated host names are split into words by unigram Viterbi; the unigrams are counted over the titles of all pages.
 Multinomial naive Bayes learns from the urls that a rule decides, all of them, and judges the others. Tokens are
-hashed to CELLS cells, so the model's size is fixed; the unigrams kept are the VOCABULARY most frequent ones.
+hashed to CELLS cells, so that model's size is fixed. Totals and the least count are those of all words; of the words
+themselves only those that some host label contains are fetched, as no other can be part of a segmentation.
 
 A null url, or one without ://, has an empty host and path and no tokens: the prior decides. Rows are judged one by
 one, so repeated rows, ties, null ids and extra columns do not matter. Without any decided url all are allowed. An
@@ -23,11 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ascii_lower
+from driftlens.llm.common import ascii_lower, checkpointed
 
 # Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-CELLS, VOCABULARY = 1 << 16, 50_000
+CELLS, LONGEST = 1 << 16, 24
 LABELS = ("allow", "block")
 
 
@@ -48,17 +49,34 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return rule, verdict
 
 
-def unigrams(texts: DataFrame, text_col: str, size: int = VOCABULARY) -> dict[str, float]:
-    """Log probabilities of the most frequent words, counted over all rows."""
+class Unigrams(dict):
+    """Words to their log probabilities. least is the least of all words counted, those left out included."""
+
+    least = 0.0
+
+
+def host_parts(urls: DataFrame, url_col: str) -> DataFrame:
+    """w: all stretches up to LONGEST characters of the distinct host labels."""
+    host, _ = split_url(F.col(url_col))
+    labels = urls.select(F.explode(F.split(host, "[^a-z0-9]+")).alias("label")).where("label <> ''").distinct()
+    starts = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("s"))
+    return starts.select(F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - F.col("s") + 1))).alias("n"), "label", "s").select(F.expr("substring(label, s, n)").alias("w")).distinct()
+
+
+def unigrams(texts: DataFrame, text_col: str, parts: DataFrame | None = None) -> Unigrams:
+    """Log probabilities of the words, counted over all rows; of words outside of parts (w), if given, only the least."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]+"), 0)).alias("w"))
-    counts = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()
-    total = sum(r["count"] for r in counts) + 1
-    return {r["w"]: math.log(r["count"] / total) for r in counts}
+    counts = checkpointed(words.groupBy("w").count())
+    total, least = counts.agg(F.sum("count"), F.min("count")).first()
+    needed = counts if parts is None else counts.join(parts, "w", "left_semi")
+    model = Unigrams((r["w"], math.log(r["count"] / (total + 1))) for r in needed.collect())
+    model.least = math.log(least / (total + 1)) if total else 0.0
+    return model
 
 
-def segment(name: str, model: dict[str, float], longest: int = 24) -> list[str]:
+def segment(name: str, model: dict[str, float], longest: int = LONGEST) -> list[str]:
     """The most probable words of a concatenated name. Unknown stretches cost more than any word, by length."""
-    floor = min(model.values(), default=0.0) - 2
+    floor = (model.least if isinstance(model, Unigrams) else min(model.values(), default=0.0)) - 2
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
     for end in range(1, len(name) + 1):
         for start in range(max(0, end - longest), end):
