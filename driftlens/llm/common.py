@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.sources.stored import checkpointed, looked_up, scratch, shared_dir, small, written
+
+__all__ = ["ascii_lower", "checkpointed", "looked_up", "read", "scratch", "shared_dir", "small", "space_words", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -23,25 +25,3 @@ def ascii_lower(text: Column) -> Column:
 def space_words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="driftlens-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors cost a reread and not a rerun."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for files that a job writes and reads again."""
-    import uuid
-
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
