@@ -21,7 +21,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.captures(warc.read(spark, path, payloads=False))
     field = lambda name: F.regexp_extract(F.col("metadata")[0]["fields"], rf"(?m)^{name}: (\S+)\r?$", 1)
     number = lambda text: F.when(text != "null", text).cast("long")
-    refers = F.regexp_extract("answer.refers_to", r"^<urn:page:(-?\d+)>$", 1)
+    refers = F.regexp_extract("answer.refers_to", r"^<urn:page:(-?\d+):\d+>$", 1)
     return found.select(
         number(field("page")).alias("page_id"), F.coalesce("answer.payload_bytes", field("payloadLength").cast("long")).alias("payload_bytes"), F.col("answer.payload_digest").alias("payload_digest"),
         F.col("answer.type").alias("record_type"), F.when(F.length(refers) > 0, refers).cast("long").alias("refers_to"))

@@ -3,14 +3,12 @@
 import base64
 import hashlib
 import itertools
-import math
 import random
-from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftlens.llm import html_text, queries_web, urls, warc
+from driftlens.llm import html_text, queries_web, warc
 from driftlens.llm.common import scratch
 
 PAGES = [
@@ -33,57 +31,6 @@ def sf(spark, tmp_path_factory):
     return path
 
 
-def plain_rule(host, path):
-    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-    fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return max(fit)[1:] if fit else (None, None)
-
-
-def plain_split(url):
-    if not url or "://" not in url:
-        return "", ""
-    rest = url.split("://", 1)[1]
-    end = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
-    path = rest[end:]
-    stop = min((path.find(c) for c in "?#" if c in path), default=len(path))
-    return "".join(c.lower() if c.isascii() else c for c in rest[:end]), path[:stop]
-
-
-def test_url_filter(spark, sf):
-    for where in (sf, "/root/testdata/sf0.001"):
-        got = {r["page_id"]: r for r in queries_web.op6_url_filter(spark, where).collect()}
-        rows = spark.read.parquet(f"{where}/pages.parquet").collect()
-        assert len(got) == len(rows)
-        titles = Counter(w for r in rows for t in __import__("re").findall(r"(?is)<title[^>]*>(.*?)</title", r["html"] or "")[:1] for w in __import__("re").findall("[a-z]+", t.lower()))
-        total = sum(titles.values()) + 1
-        words = {w: math.log(n / total) for w, n in titles.items()}
-        seg = urls.Segmenter(words)
-        counts, docs = [Counter(), Counter()], [1, 1]
-        split = {r["page_id"]: plain_split(r["url"]) for r in rows}
-        for h, p in split.values():
-            if v := plain_rule(h, p)[1]:
-                counts[v == "block"].update(urls._cells(urls.tokens(h, p, seg)))
-                docs[v == "block"] += 1
-        sums = [sum(c.values()) + urls.CELLS for c in counts]
-        for i, (h, p) in split.items():
-            rule, verdict = plain_rule(h, p)
-            if verdict is None:
-                s = math.log(docs[1] / docs[0]) + sum(math.log((counts[1][c] + 1) / sums[1]) - math.log((counts[0][c] + 1) / sums[0]) for c in urls._cells(urls.tokens(h, p, seg)))
-                if abs(s) < 1e-9:
-                    continue
-                verdict = "block" if s > 0 else "allow"
-            assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (h, p, rule, verdict)
-
-
-def test_segmentation_is_the_best(spark):
-    model = {"the": -1.0, "r": -4.0, "her": -2.0, "t": -5.0, "rha": -2.5, "ha": -2.2}
-    floor = min(model.values()) - 2
-    for name in ("therha", "hathe", "xther", "q"):
-        cuts = [[name[a:b] for a, b in itertools.pairwise((0, *c, len(name)))] for n in range(len(name)) for c in itertools.combinations(range(1, len(name)), n)]
-        cost = lambda ws: sum(model.get(w, floor * (1 + len(w))) for w in ws)
-        assert abs(cost(urls.segment(name, model)) - max(map(cost, cuts))) < 1e-9
-
-
 def test_warc_round_trip(spark, sf):
     for where in (sf, "/root/testdata/sf0.001"):
         rows = spark.read.parquet(f"{where}/pages.parquet").collect()
@@ -108,12 +55,30 @@ def test_warc_captures_are_whole(spark, sf):
     assert payloads == {(h or "").encode() for _, _, h in PAGES}
 
 
-def test_warc_members_one_by_one():
+def test_warc_members_one_by_one(spark, tmp_path):
     import gzip
 
-    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 9\r\n\r\nH\r\n\r\nbody\r\n\r\n"
-    found = list(warc.parse(memoryview(gzip.compress(one) + gzip.compress(one.replace(b"<a>", b"<b>")))))
-    assert [(r["record_id"], r["payload"]) for r in found] == [("<a>", b"body"), ("<b>", b"body")]
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 21\r\n\r\nH\r\n\r\n\xff body\r\n\r\nmore\r\n\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one.replace(b"<a>", b"<b>")))
+    (tmp_path / "b.warc").write_bytes(one.replace(b"<a>", b"<c>"))
+    found = warc.read(spark, str(tmp_path)).orderBy("record_id").collect()
+    assert [(r["record_id"], bytes(r["payload"])) for r in found] == [(k, b"\xff body\r\n\r\nmore\r\n") for k in ("<a>", "<b>", "<c>")]
+    (tmp_path / "c.warc").write_bytes(one[:-12])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read(spark, str(tmp_path)).collect()
+
+
+def test_warc_repeated_and_null_ids(spark):
+    rows = [(None, "u", "x"), (None, "v", "x"), (None, "w", "y"), (5, "u", "y"), (5, "u", "y"), (5, "u", "z"), (4, "t", "y"), (6, None, None), (7, "", "\r\n\r\nWARC/1.1\r\n\r\n")]
+    path = scratch(spark, "warc")
+    warc.write(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, largest int").repartition(2), path)
+    found = warc.captures(warc.read(spark, path)).collect()
+    assert len(found) == len({r["capture"] for r in found}) == len(rows) and all(len(r["requests"]) == 1 and len(r["metadata"]) == 1 for r in found)
+    said = sorted((r["answer"]["record_id"].split(":")[2], r["answer"]["type"], bytes(r["answer"]["payload"] or b"")) for r in found)
+    y = [("5", "response", b"y")] * 2 + [("5", "response", b"z")]
+    assert said == sorted([("null", "response", b"x")] * 2 + [("null", "revisit", b""), ("4", "revisit", b""), *y, ("6", "response", b""), ("7", "response", b"\r\n\r\nWARC/1.1\r\n\r\n")])
+    records = {r["capture"] for r in found}
+    assert all(r["answer"]["refers_to"] in records for r in found if r["answer"]["type"] == "revisit")
 
 
 def test_empty_pages(spark, tmp_path):
