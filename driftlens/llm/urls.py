@@ -1,35 +1,31 @@
 """URL filters: rules by host and path, then naive Bayes over segmented host and path tokens.
 
 Concatenated host names are split into words by unigram Viterbi; the unigrams are counted over the titles of all pages.
-Multinomial naive Bayes learns from the urls that a rule decides, all of them, and judges the others. Tokens are
-hashed to CELLS cells, so that model's size is fixed. Totals and the least count are those of all words; of the words
-themselves only those that some host label contains are fetched, as no other can be part of a segmentation.
+Multinomial naive Bayes learns from the urls that a rule decides, all of them, and judges the others. Neither model is
+fetched or held as a whole: each distinct host label is segmented with the words found in it alone, and tokens meet their
+counts in joins. No word, token or length is left out. Log ratios are summed as whole billionths, so that the order of
+addition does not matter.
 
 A null url, or one without ://, has an empty host and path and no tokens: the prior decides. Rows are judged one by
-one, so repeated rows, ties, null ids and extra columns do not matter. Without any decided url all are allowed. An
+one, so repeated rows, ties and null ids do not matter; at even odds a url is allowed. Kept columns may have any name but
+give way to those of the result. Very long hosts and paths are judged whole. Without any decided url all are allowed. An
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ascii_lower, checkpointed
+from driftlens.llm.common import ascii_lower, checkpointed, looked_up, written
 
 # Fixed values: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-CELLS, LONGEST = 1 << 16, 24
-LABELS = ("allow", "block")
+MATCHES = "array<struct<start:int,length:int,log_p:double>>"
+OWN = ("host", "path", "rule", "verdict")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -49,107 +45,99 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return rule, verdict
 
 
-class Unigrams(dict):
-    """Words to their log probabilities. least is the least of all words counted, those left out included."""
-
-    least = 0.0
-
-
-def host_parts(urls: DataFrame, url_col: str) -> DataFrame:
-    """w: all stretches up to LONGEST characters of the distinct host labels."""
-    host, _ = split_url(F.col(url_col))
-    labels = urls.select(F.explode(F.split(host, "[^a-z0-9]+")).alias("label")).where("label <> ''").distinct()
-    starts = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("s"))
-    return starts.select(F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("label") - F.col("s") + 1))).alias("n"), "label", "s").select(F.expr("substring(label, s, n)").alias("w")).distinct()
-
-
-def unigrams(texts: DataFrame, text_col: str, parts: DataFrame | None = None) -> Unigrams:
-    """Log probabilities of the words, counted over all rows; of words outside of parts (w), if given, only the least."""
+def unigrams(texts: DataFrame, text_col: str) -> DataFrame:
+    """w, count: the words of all rows."""
     words = texts.select(F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[a-z]+"), 0)).alias("w"))
-    counts = checkpointed(words.groupBy("w").count())
-    total, least = counts.agg(F.sum("count"), F.min("count")).first()
-    needed = counts if parts is None else counts.join(parts, "w", "left_semi")
-    model = Unigrams((r["w"], math.log(r["count"] / (total + 1))) for r in needed.collect())
-    model.least = math.log(least / (total + 1)) if total else 0.0
-    return model
-
-
-def segment(name: str, model: dict[str, float], longest: int = LONGEST) -> list[str]:
-    """The most probable words of a concatenated name. Unknown stretches cost more than any word, by length."""
-    floor = (model.least if isinstance(model, Unigrams) else min(model.values(), default=0.0)) - 2
-    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
-    for end in range(1, len(name) + 1):
-        for start in range(max(0, end - longest), end):
-            w = name[start:end]
-            p = best[start] + model.get(w, floor * (1 + len(w)))
-            if p > best[end]:
-                best[end], back[end] = p, start
-    out, end = [], len(name)
-    while end:
-        out.append(name[back[end] : end])
-        end = back[end]
+    return checkpointed(words.groupBy("w").count())
+
+
+def segment(name: str, matches: list[tuple[int, int, float]], floor: float) -> list[str]:
+    """The most probable words of a concatenated name, of which matches (first place, length, log probability) are known.
+
+    An unknown stretch costs floor, and floor for each character. At equal probability the longer last word is taken.
+    """
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for start, length, p in sorted(matches):
+        ends.setdefault(start + length, []).append((start, p))
+    n = len(name)
+    # Best ends in a word and in an unknown stretch, and where that began.
+    word, stretch = [(0.0, 0)] + [(-math.inf, 0)] * n, [(-math.inf, 0)] * (n + 1)
+    for i in range(1, n + 1):
+        for start, p in ends.get(i, ()):
+            if (q := max(word[start][0], stretch[start][0]) + p) > word[i][0]:
+                word[i] = q, start
+        begun, going = word[i - 1][0] + 2 * floor, stretch[i - 1][0] + floor
+        stretch[i] = (begun, i - 1) if begun > going else (going, stretch[i - 1][1])
+    out, i = [], n
+    while i:
+        start = (word if word[i][0] >= stretch[i][0] else stretch)[i][1]
+        out.append(name[start:i])
+        i = start
     return out[::-1]
 
 
-class Segmenter(dict):
-    """Host labels to their words; hosts come again and again."""
+def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """label and words of each label (distinct, not empty), by the unigrams in counts (w, count).
 
-    def __init__(self, model: dict[str, float]):
-        self.model = model
+    Of a label only stretches as long as some word are looked up, each place and length once.
+    """
+    total, least, lengths = counts.agg(F.sum("count"), F.min("count"), F.collect_set(F.length("w"))).first()
+    floor = (math.log(least / (total + 1)) if total else 0.0) - 2
+    at = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("s"))
+    left = F.length("label") - F.col("s") + 1
+    parts = at.select("label", "s", F.explode_outer(F.filter(F.lit(sorted(lengths) or [1]), lambda n: n <= left)).alias("n"))
+    parts = parts.select("label", "s", "n", F.when(F.col("n").isNotNull(), F.expr("substring(label, s, n)")).alias("w"))
+    known = counts.select("w", F.log(F.col("count") / F.lit(float((total or 0) + 1))).alias("log_p"))
+    match = F.struct((F.col("s") - 1).cast("int").alias("start"), F.col("n").cast("int").alias("length"), "log_p")
+    per = looked_up(parts, known, "w").groupBy("label").agg(F.collect_list(F.when(F.col("log_p").isNotNull(), match)).cast(MATCHES).alias("matches"))
 
-    def __missing__(self, label: str) -> list[str]:
-        if len(self) > 100_000:
-            self.clear()
-        self[label] = words = segment(label, self.model)
-        return words
+    @F.pandas_udf("array<string>")
+    def run(names: pd.Series, matches: pd.Series) -> pd.Series:
+        return pd.Series([segment(x, [(m["start"], m["length"], m["log_p"]) for m in found], floor) for x, found in zip(names, matches, strict=True)], dtype=object)
 
+    return checkpointed(per.select("label", run("label", "matches").alias("words")))
 
-def tokens(host: str, path: str, words: Segmenter) -> list[str]:
-    out = [f"h:{w}" for label in re.split(r"[^a-z0-9]+", host) if label for w in words[label]]
-    return out + [f"p:{re.sub('[0-9]+', '0', w)}" for w in re.split(r"[^a-z0-9]+", path.lower()) if w]
 
+def host_words(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """host and words of each distinct host: those of its labels, in order."""
+    labels = hosts.select("host", F.posexplode(F.split("host", "[^a-z0-9]+")).alias("at", "label")).where("label <> ''")
+    found = looked_up(labels, segmented(labels.select("label").distinct(), counts), "label")
+    per = found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("all"))
+    return checkpointed(per.select("host", F.flatten(F.transform("all", lambda x: x["words"])).alias("words")))
 
-def _cells(toks: list[str]) -> list[int]:
-    return [xxhash.xxh32_intdigest(t) % CELLS for t in toks]
 
+def tokens(words: Column, path: Column) -> Column:
+    """Host words, and path words with numbers made one."""
+    hosts = F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w))
+    parts = F.array_remove(F.split(F.lower(path), "[^a-z0-9]+"), "")
+    return F.concat(hosts, F.transform(parts, lambda w: F.concat(F.lit("p:"), F.regexp_replace(w, "[0-9]+", "0"))))
 
-def train(judged: DataFrame, words: dict[str, float]) -> tuple[np.ndarray, float]:
-    """Per cell the log ratio of block to allow, and the prior's, from all rows of judged (host, path, verdict)."""
-    schema = pa.schema([("label", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(words)
-        for b in batches:
-            c: Counter = Counter()
-            for h, p, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                label = LABELS.index(v)
-                c.update((label, k) for k in _cells(tokens(h, p, seg)))
-                c[label, -1] += 1
-            rows = [[k[0] for k in c], [k[1] for k in c], list(c.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
+def train(judged: DataFrame) -> tuple[DataFrame, float, float]:
+    """From rows (tokens, verdict): each token's log ratio of block to allow in billionths, what every token adds, the prior's.
 
-    counts, docs = np.ones((2, CELLS)), np.ones(2)
-    for r in judged.select("host", "path", "verdict").mapInArrow(count, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect():
-        if r["cell"] < 0:
-            docs[r["label"]] += r["n"]
-        else:
-            counts[r["label"], r["cell"]] += r["n"]
-    ratio = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return ratio[1] - ratio[0], float(np.log(docs[1] / docs[0]))
+    A token's probability is its count and one, over all tokens of the verdict and one for each distinct token.
+    """
+    counts = judged.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")])
+    counts = checkpointed(counts)
+    distinct, allowed, blocked = counts.agg(F.count("*"), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum("block"), F.lit(0))).first()
+    prior = judged.agg(F.log((F.count_if(F.col("verdict") == "block") + 1) / (F.count_if(F.col("verdict") == "allow") + 1))).first()[0]
+    ratio = F.round(F.log((F.col("block") + 1) / (F.col("allow") + 1)) * 1e9).cast("long")
+    return counts.select("token", ratio.alias("ratio")), math.log((allowed + distinct) / (blocked + distinct)) if distinct else 0.0, prior
 
 
-def judge(pages: DataFrame, words: dict[str, float], rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", keep: list[str] = ()) -> DataFrame:
-    """keep with host, path, rule, verdict of each row. keep must not hold those names."""
+def judge(pages: DataFrame, counts: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url", keep: list[str] = ()) -> DataFrame:
+    """keep with host, path, rule, verdict of each row. counts: unigrams()."""
+    keep = [c for c in keep if c.lower() not in OWN]
     host, path = split_url(F.col(url_col))
-    rows = pages.select(*[F.col(c) for c in keep], host.alias("host"), path.alias("path"))
+    rows = pages.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
-    ratio, prior = train(rows.where(F.col("verdict").isNotNull()), words)
-
-    @F.pandas_udf("string")
-    def bayes(hosts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        seg = Segmenter(words)
-        for h, p in hosts:
-            yield h.combine(p, lambda a, b: LABELS[int(prior + ratio[_cells(tokens(a, b, seg))].sum() > 0)]).astype(object)
-
-    return rows.withColumn("verdict", F.coalesce("verdict", bayes("host", "path")))
+    rows = looked_up(rows, host_words(rows.select("host").distinct(), counts), "host")
+    rows = rows.select(F.monotonically_increasing_id().alias("_uid"), "_keep", "host", "path", rule.alias("rule"), verdict.alias("verdict"), tokens(F.col("words"), F.col("path")).alias("tokens"))
+    rows = written(rows, "urls")  # numbers stay with their rows from here on
+    ratios, each, prior = train(rows.where("verdict is not null").select("tokens", "verdict"))
+    open_rows = rows.where("verdict is null").select("_uid", F.explode("tokens").alias("token"))
+    sums = looked_up(open_rows, ratios, "token").groupBy("_uid").agg((F.coalesce(F.sum("ratio"), F.lit(0)) / 1e9 + F.count(F.lit(1)) * each).alias("odds"))
+    bayes = F.when(F.coalesce("odds", F.lit(0.0)) + prior > 0, "block").otherwise("allow")
+    judged = rows.drop("tokens").join(sums, "_uid", "left")
+    return judged.select(*[F.col("_keep")[c].alias(c) for c in keep], "host", "path", "rule", F.coalesce("verdict", bayes).alias("verdict"))
