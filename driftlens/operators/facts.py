@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from driftlens.functions import names
 
 # XML tags that define what is summarised.
-INTERFACES = {f"{k}-INTERFACE" for k in ("SENDER-RECEIVER", "CLIENT-SERVER", "MODE-SWITCH", "NV-DATA", "PARAMETER", "TRIGGER")}
-COMPONENTS = {f"{k}-SW-COMPONENT-TYPE" for k in ("APPLICATION", "SENSOR-ACTUATOR", "COMPLEX-DEVICE-DRIVER", "SERVICE", "ECU-ABSTRACTION", "NV-BLOCK")}
+INTERFACES = set("SENDER-RECEIVER-INTERFACE CLIENT-SERVER-INTERFACE MODE-SWITCH-INTERFACE NV-DATA-INTERFACE PARAMETER-INTERFACE TRIGGER-INTERFACE".split())
+COMPONENTS = set(
+    "APPLICATION-SW-COMPONENT-TYPE SENSOR-ACTUATOR-SW-COMPONENT-TYPE COMPLEX-DEVICE-DRIVER-SW-COMPONENT-TYPE SERVICE-SW-COMPONENT-TYPE ECU-ABSTRACTION-SW-COMPONENT-TYPE NV-BLOCK-SW-COMPONENT-TYPE".split()
+)
 PORTS = {"P-PORT-PROTOTYPE": "P-PORT", "R-PORT-PROTOTYPE": "R-PORT", "PR-PORT-PROTOTYPE": "PR-PORT"}
 FACTS = "rel string, parsed boolean, fact_type string, owner string, name string, descr string"
 
@@ -97,6 +99,16 @@ def a2l_facts(files: DataFrame) -> DataFrame:
     return last.select("rel", F.lit(True).alias("parsed"), F.lit("a2l").alias("fact_type"), F.lit(None).cast("string").alias("owner"), "name", "descr")
 
 
+def text_facts(files: DataFrame) -> DataFrame:
+    """rte_facts and a2l_facts of files in one pass over their texts."""
+    none = F.array().cast("array<struct<fact_type:string,name:string,descr:string>>")
+    rte = F.transform(names.rte_calls(F.col("text")), lambda x: F.struct(F.lit("rte").alias("fact_type"), x.alias("name"), F.lit("").alias("descr")))
+    a2l = F.transform(names.a2l_objects(F.col("text")), lambda o: F.struct(F.lit("a2l").alias("fact_type"), o["name"].alias("name"), o["kind"].alias("descr")))
+    found = F.when(F.col("rel").endswith(".c"), rte).when(F.lower("rel").endswith(".a2l"), a2l).otherwise(none)
+    rows = files.select("rel", F.posexplode(found).alias("pos", "f")).groupBy("rel", "f.fact_type", "f.name").agg(F.max_by("f.descr", "pos").alias("descr"))
+    return rows.select("rel", F.lit(True).alias("parsed"), "fact_type", F.lit(None).cast("string").alias("owner"), "name", "descr")
+
+
 def fact_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """change (+, -, ~), old and new description of facts. A file with a side that doesn't parse gives none.
 

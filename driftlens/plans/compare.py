@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import text
 from driftlens.operators import classify, facts, moves
+from driftlens.sources.stored import checkpointed
 
 RESULT = ["rel", "status", "binary", "notes", "renames", "hunks"]
 
@@ -29,17 +30,44 @@ def paired(old: DataFrame, new: DataFrame) -> DataFrame:
 def ladder(pairs: DataFrame) -> DataFrame:
     """pairs with the status that equality alone decides, null where lines must be compared, and a first note."""
     unix = {c: text.unix_lines(F.col(c)) for c in ("old_text", "new_text")}
-    return pairs.withColumn("status", F.when(F.col("in_new").isNull(), "deleted").when(F.col("in_old").isNull(), "added").when(F.col("old_text") == F.col("new_text"), "identical").when(unix["old_text"] == unix["new_text"], "ignorable-only")).withColumn(
-        "note", F.when(F.col("status") == "ignorable-only", "line-endings"))
+    return _decided(pairs, F.col("old_text") == F.col("new_text"), unix["old_text"] == unix["new_text"])
+
+
+def _decided(pairs: DataFrame, same: Column, alike: Column) -> DataFrame:
+    status = F.when(F.col("in_new").isNull(), "deleted").when(F.col("in_old").isNull(), "added").when(same, "identical").when(alike, "ignorable-only")
+    return pairs.withColumn("status", status).withColumn("note", F.when(F.col("status") == "ignorable-only", "line-endings"))
+
+
+def statuses(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(rel, status, note) as by ladder(), kept. Paths and SHA-256 digests meet, texts stay where they are."""
+
+    def slim(tree: DataFrame, side: str) -> DataFrame:
+        whole, unix = F.sha2("text", 256), F.sha2(text.unix_lines(F.col("text")), 256)
+        has_return = F.contains("text", F.lit("\r"))
+        return tree.select("rel", whole.alias(f"{side}_whole"), F.when(has_return, unix).otherwise(whole).alias(f"{side}_unix"), F.lit(True).alias(f"in_{side}"))
+
+    pairs = slim(old, "old").join(slim(new, "new"), "rel", "full_outer")
+    return checkpointed(_decided(pairs, F.col("old_whole") == F.col("new_whole"), F.col("old_unix") == F.col("new_unix")).select("rel", "status", "note"))
+
+
+def texts_of(rels: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(rel, rules, old_text, new_text) of paths on both sides, with line feeds at line ends: no other text is moved."""
+    sides = [t.join(rels.select("rel"), "rel", "left_semi").select("rel", text.unix_lines(F.col("text")).alias(c)) for t, c in ((old, "old_text"), (new, "new_text"))]
+    return sides[0].join(sides[1], "rel").select("rel", text.ruleset(F.col("rel")).alias("rules"), "old_text", "new_text")
+
+
+def only_in(tree: DataFrame, found: DataFrame, status: str) -> DataFrame:
+    """Files of tree that have a status in found."""
+    return tree.join(found.where(F.col("status") == status).select("rel"), "rel", "left_semi")
 
 
 def scan_texts(old: DataFrame, new: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-    """Results (RESULT) of two trees (rel, text). Pairs that equality decides never reach Python."""
-    pairs = ladder(paired(*(t.where(text.selected(F.col("rel"), include, exclude)) for t in (old, new))))
+    """Results (RESULT) of two trees (rel, text). Texts of pairs that equality decides are neither moved nor reach Python."""
+    old, new = (t.where(text.selected(F.col("rel"), include, exclude)) for t in (old, new))
+    found = statuses(old, new)
     notes = F.when(F.col("note").isNull(), F.array().cast("array<string>")).otherwise(F.array("note"))
-    plain = pairs.where("status is not null").select("rel", "status", F.lit(False).alias("binary"), notes.alias("notes"), no_renames().alias("renames"), no_hunks().alias("hunks"))
-    rest = pairs.where("status is null").select("rel", text.ruleset(F.col("rel")).alias("rules"), text.unix_lines(F.col("old_text")).alias("old_text"), text.unix_lines(F.col("new_text")).alias("new_text"))
-    judged = classify.classified(rest.repartition("rel")).select("rel", "status", F.lit(False).alias("binary"), "notes", "renames", "hunks")
+    plain = found.where("status is not null").select("rel", "status", F.lit(False).alias("binary"), notes.alias("notes"), no_renames().alias("renames"), no_hunks().alias("hunks"))
+    judged = classify.classified(texts_of(found.where("status is null"), old, new)).select("rel", "status", F.lit(False).alias("binary"), "notes", "renames", "hunks")
     return plain.unionByName(judged)
 
 
@@ -92,13 +120,15 @@ def tree_facts(results: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     return facts.fact_diff(of(old), of(new))
 
 
-def linked_moves(results: DataFrame, old: DataFrame, new: DataFrame, guard: int | None = moves.GUARD) -> DataFrame:
-    """(added_rel, deleted_rel, similarity, move_status, hunks) of files that moved, compared across their paths."""
-    added = new.join(results.where("status = 'added'").select("rel"), "rel", "left_semi")
-    deleted = old.join(results.where("status = 'deleted'").select("rel"), "rel", "left_semi")
-    found = moves.find(added, deleted, guard).persist()  # paths and scores alone; read three times
-    pairs = found.join(old.select(F.col("rel").alias("deleted_rel"), F.col("text").alias("old_text")), "deleted_rel").join(new.select(F.col("rel").alias("added_rel"), F.col("text").alias("new_text")), "added_rel")
-    olds = pairs.select(F.col("added_rel").alias("rel"), F.col("old_text").alias("text"))
-    news = pairs.select(F.col("added_rel").alias("rel"), F.col("new_text").alias("text"))
+def linked_moves(results: DataFrame, old: DataFrame, new: DataFrame, guard: int | None = None) -> DataFrame:
+    """(added_rel, deleted_rel, similarity, move_status, hunks) of files that moved, compared across their paths.
+
+    results (rel, status) and the pairs found are kept; texts are read for the pairs alone.
+    """
+    found = checkpointed(results.select("rel", "status"))
+    pairs = checkpointed(moves.find(only_in(new, found, "added"), only_in(old, found, "deleted"), guard))
+    olds, news = (t.withColumnRenamed("rel", c) for t, c in ((old, "deleted_rel"), (new, "added_rel")))
+    olds = olds.join(pairs.select("deleted_rel", F.col("added_rel").alias("rel")), "deleted_rel").select("rel", "text")
+    news = news.join(pairs.select("added_rel"), "added_rel", "left_semi").select(F.col("added_rel").alias("rel"), "text")
     judged = scan_texts(olds, news).select(F.col("rel").alias("added_rel"), F.col("status").alias("move_status"), "hunks")
-    return found.join(judged, "added_rel")
+    return pairs.join(judged, "added_rel")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import names, text
 from driftlens.operators import classify, facts, layout, linediff, moves, review, rollup, scopes
 from driftlens.plans import compare, sinks
+from driftlens.sources.stored import checkpointed
 from driftlens.sources.trees import code_trees, document_trees
 
 QUERIES: dict = {}
@@ -47,10 +48,10 @@ u_old AS (SELECT rel, ext, replace(replace(text, chr(13) || chr(10), chr(10)), c
 u_new AS (SELECT rel, ext, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM new)
 """
 CODES = r"""
-WITH d AS (SELECT doc_id AS i, text, 'm' || (doc_id % 200) AS m FROM documents WHERE doc_id % 3 < 2),
+WITH d AS (SELECT doc_id AS i, text, 'm' || (doc_id // 2 % 200) AS m FROM documents),
 k AS (SELECT d.*, s.k, (i + s.k * (i % 3)) % 13 AS p FROM d, (SELECT unnest([0, 1]) AS k) s WHERE i % 25 <> s.k),
-side AS (SELECT k, i, m || '/' || m || '_f' || i || CASE WHEN i % 3 = 0 THEN '.c' ELSE '.a2l' END AS rel, m, i % 3 = 0 AS is_c, p,
-  CASE WHEN i % 3 = 0 THEN '// Rte_Call_old_x' || chr(10) || 'v = Rte_Read_P' || p || '_Sig();' || chr(10) || 'Rte_Write_Q' || (i % 5) || '_Out(v); /* Rte_Mode_no */' || chr(10)
+side AS (SELECT k, i, m || '/' || m || '_f' || i || CASE WHEN i % 2 = 0 THEN '.c' ELSE '.a2l' END AS rel, m, i % 2 = 0 AS is_c, p,
+  CASE WHEN i % 2 = 0 THEN '// Rte_Call_old_x' || chr(10) || 'v = Rte_Read_P' || p || '_Sig();' || chr(10) || 'Rte_Write_Q' || (i % 5) || '_Out(v); /* Rte_Mode_no */' || chr(10)
     || 'log("Rte_Pim_text"); rtb_Sum_c' || ((i + k) % 9) || ' = tmp_' || (i % 4) || ';' || chr(10) || text
   ELSE '/begin CHARACTERISTIC K_' || p || ' "/begin MEASUREMENT no" /* /begin MEASUREMENT no2 */' || chr(10) || '/begin measurement M_' || (i % 7) || chr(10) || text END AS text FROM k)
 """
@@ -81,9 +82,12 @@ LADDER = TREES + rf"""
 
 @query(LADDER + "SELECT rel, step FROM l")
 def tree_status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = compare.ladder(compare.paired(*trees(spark, sf_dir)))
-    same = text.collapse_ws(text.unix_lines(F.col("old_text"))) == text.collapse_ws(text.unix_lines(F.col("new_text")))
-    return pairs.select("rel", F.when(F.col("status") == "ignorable-only", "line-endings").when(F.col("status").isNotNull(), F.col("status")).when(same, "whitespace").otherwise("other").alias("step"))
+    old, new = trees(spark, sf_dir)
+    found = compare.statuses(old, new)
+    collapsed = lambda c: text.collapse_ws(F.col(c))
+    lines = compare.texts_of(found.where("status is null"), old, new).select("rel", F.when(collapsed("old_text") == collapsed("new_text"), "whitespace").otherwise("other").alias("step"))
+    plain = found.where("status is not null").select("rel", F.when(F.col("status") == "ignorable-only", "line-endings").otherwise(F.col("status")).alias("step"))
+    return plain.unionByName(lines)
 
 
 @query(LADDER + "SELECT step, count(*) AS files FROM l GROUP BY step")
@@ -156,8 +160,7 @@ f AS (SELECT coalesce(a.rel, b.rel) AS rel, coalesce(a.fact_type, b.fact_type) A
 
 
 def code_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = codes(spark, sf_dir)
-    return facts.fact_diff(*(facts.rte_facts(t).unionByName(facts.a2l_facts(t)) for t in (old, new)))
+    return facts.fact_diff(*map(facts.text_facts, codes(spark, sf_dir)))
 
 
 @query(CODES + FACT_SQL + "SELECT rel, name, change FROM f WHERE fact_type = 'rte'")
@@ -186,8 +189,10 @@ def fact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Added and deleted files: paths meet first, and texts follow for those that are alone."""
     old, new = trees(spark, sf_dir)
-    return new.join(old.select("rel"), "rel", "left_anti"), old.join(new.select("rel"), "rel", "left_anti")
+    alone = lambda t, other: t.join(t.select("rel").join(other.select("rel"), "rel", "left_anti"), "rel", "left_semi")
+    return alone(new, old), alone(old, new)
 
 
 SIDES = TREES + """
@@ -225,7 +230,7 @@ def moves_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def moves_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moves.find(*sides(spark, sf_dir), guard=None)
+    return moves.find(*sides(spark, sf_dir))
 
 
 @query(TREES + """
@@ -311,12 +316,11 @@ CODE_STATUS = "CASE WHEN substr(md5(rel), 1, 1) IN ('0', '1', '2', '3') THEN 're
 
 def code_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Results of the code trees by equality of text, and their model groups."""
-    pairs = compare.ladder(compare.paired(*codes(spark, sf_dir)))
-    res = pairs.select("rel", F.coalesce("status", F.lit("real-change")).alias("status"), F.lit(False).alias("binary"), F.lit(True).alias("has_facts"))
+    res = compare.statuses(*codes(spark, sf_dir)).select("rel", F.coalesce("status", F.lit("real-change")).alias("status"), F.lit(False).alias("binary"), F.lit(True).alias("has_facts"))
     # A model's own C file, so that each folder is a model; its files are named after it.
     own = res.select(F.split("rel", "/")[0].alias("m")).distinct().select(F.concat("m", F.lit("/"), "m", F.lit(".c")).alias("rel"), F.lit("identical").alias("status"), F.lit(False).alias("binary"), F.lit(True).alias("has_facts"))
     res = res.unionByName(own)
-    return res, rollup.model_groups(res.select("rel"))
+    return res, checkpointed(rollup.model_groups(res.select("rel")))
 
 
 CODE_RESULTS = CODES + """
@@ -404,8 +408,8 @@ def review_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = compare.ladder(compare.paired(*trees(spark, sf_dir))).where("status is null")
-    return pairs.select("rel", text.ruleset(F.col("rel")).alias("rules"), text.unix_lines(F.col("old_text")).alias("old_text"), text.unix_lines(F.col("new_text")).alias("new_text"))
+    old, new = trees(spark, sf_dir)
+    return compare.texts_of(compare.statuses(old, new).where("status is null"), old, new)
 
 
 @query()
@@ -429,26 +433,23 @@ def classify_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def aligned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = changed_pairs(spark, sf_dir)
-    judged = classify.classified(pairs).select("rel", "hunks")
-    return layout.aligned_rows(pairs.join(judged, "rel"))
+    return layout.aligned_rows(classify.classified(changed_pairs(spark, sf_dir), texts=True))
 
 
 @query()
 def review_hunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = changed_pairs(spark, sf_dir)
-    return review.hunk_units(pairs.join(classify.classified(pairs).select("rel", "hunks"), "rel"))
+    return review.hunk_units(classify.classified(changed_pairs(spark, sf_dir), texts=True))
 
 
 @query()
 def linked_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = trees(spark, sf_dir)
-    return compare.linked_moves(plain_results(spark, sf_dir), old, new, guard=None).select("added_rel", "deleted_rel", "similarity", "move_status", F.size("hunks").alias("n_hunks"))
+    return compare.linked_moves(compare.statuses(old, new), old, new).select("added_rel", "deleted_rel", "similarity", "move_status", F.size("hunks").alias("n_hunks"))
 
 
 @query()
 def xml_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of XML files made from the part and supplier tables: a package per brand, an interface or component per part."""
+    """Facts of XML files made from the part table: a package per brand, an interface or component per part."""
     p = read(spark, sf_dir, "part")
     key = F.col("p_partkey")
     body = F.when(key % 2 == 0, F.format_string("<SENDER-RECEIVER-INTERFACE><SHORT-NAME>If%d</SHORT-NAME></SENDER-RECEIVER-INTERFACE>", key)).otherwise(
@@ -470,18 +471,21 @@ def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(TREES + r"""
-, p AS (SELECT a.rel, split_part(a.text, chr(10), 1) AS a, split_part(b.text, chr(10), 1) AS b FROM u_old a JOIN u_new b ON a.rel = b.rel),
+, la AS (SELECT rel, unnest(string_split(text, chr(10))) AS a, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM u_old),
+lb AS (SELECT rel, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM u_new),
+p AS (SELECT la.rel, CAST(la.line AS INT) AS line, a, b FROM la JOIN lb ON la.rel = lb.rel AND la.line = lb.line WHERE a <> b),
 q AS (SELECT *, list_max(list_filter(generate_series(0, least(length(a), length(b))), lambda k: left(a, k) = left(b, k))) AS pre FROM p),
 s AS (SELECT *, list_max(list_filter(generate_series(0, least(length(a), length(b)) - pre), lambda k: k = 0 OR right(a, k) = right(b, k))) AS suf FROM q)
-SELECT rel, CAST(CASE WHEN pre < length(a) - suf THEN pre - length(regexp_extract(left(a, pre), '[\pL\pN_]*$')) ELSE pre END AS INT) AS old_lo,
+SELECT rel, line, CAST(CASE WHEN pre < length(a) - suf THEN pre - length(regexp_extract(left(a, pre), '[\pL\pN_]*$')) ELSE pre END AS INT) AS old_lo,
   CAST(CASE WHEN pre < length(a) - suf THEN length(a) - suf + length(regexp_extract(substr(a, length(a) - suf + 1), '^[\pL\pN_]*')) ELSE length(a) - suf END AS INT) AS old_hi,
   CAST(CASE WHEN pre < length(b) - suf THEN pre - length(regexp_extract(left(b, pre), '[\pL\pN_]*$')) ELSE pre END AS INT) AS new_lo,
   CAST(CASE WHEN pre < length(b) - suf THEN length(b) - suf + length(regexp_extract(substr(b, length(b) - suf + 1), '^[\pL\pN_]*')) ELSE length(b) - suf END AS INT) AS new_hi FROM s""".replace("\\\\p", "\\p"))
 def char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The changed stretch of each pair's first line."""
-    old, new = trees(spark, sf_dir)
-    first = lambda t, c: t.select("rel", F.split(text.unix_lines(F.col("text")), "\n", -1)[0].alias(c))
-    return first(old, "a").join(first(new, "b"), "rel").select("rel", scopes.char_span(F.col("a"), F.col("b")).alias("s")).select("rel", "s.*")
+    """The changed stretch of each two unlike lines at one place of a pair."""
+    pairs = changed_pairs(spark, sf_dir)
+    lines = F.arrays_zip(text.lines(F.col("old_text")).alias("a"), text.lines(F.col("new_text")).alias("b"))
+    rows = pairs.select("rel", F.posexplode(lines).alias("line", "z")).where("z.a <> z.b")
+    return rows.select("rel", "line", scopes.char_span(F.col("z.a"), F.col("z.b")).alias("s")).select("rel", "line", "s.*")
 
 
 @query()

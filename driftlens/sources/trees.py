@@ -85,19 +85,24 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("tree").load(root)
 
 
+def _inside(member: zipfile.ZipInfo) -> bool:
+    """Whether a member is a file below the archive's root: no link, no absolute path, no way up."""
+    parts = member.filename.replace("\\", "/").split("/")
+    link = (member.external_attr >> 16) & 0o170000 == 0o120000
+    return not (link or ".." in parts or member.filename.startswith(("/", "\\")) or ":" in parts[0])
+
+
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """A zip archive's files; members are read in tasks. A lone folder around everything is left out."""
+    """A zip archive's files; members are read in tasks. A lone folder around everything is left out, as are members outside the archive."""
     if not zipfile.is_zipfile(path):
         raise SourceError(f"{path} is no zip archive")
     with zipfile.ZipFile(path) as z:
         members = [i for i in z.infolist() if not i.is_dir()]
     if not members:
         raise SourceError(f"{path} holds no files")
-    for i in members:
-        parts = i.filename.replace("\\", "/").split("/")
-        if ".." in parts or i.filename.startswith(("/", "\\")) or ":" in parts[0]:
-            raise SourceError(f"{path} reaches outside itself: {i.filename}")
-    names = [i.filename for i in members if (i.external_attr >> 16) & 0o170000 != 0o120000 and not set(i.filename.split("/")[:-1]) & set(SKIPPED_DIRS)]
+    names = [i.filename for i in members if _inside(i) and not set(i.filename.split("/")[:-1]) & set(SKIPPED_DIRS)]
+    if not names:
+        raise SourceError(f"{path} holds no files but such as lie outside of it")
     heads = {n.split("/")[0] for n in names}
     cut = len(next(iter(heads))) + 1 if len(heads) == 1 and all("/" in n for n in names) else 0
 
@@ -112,15 +117,39 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInPandas(run, SCHEMA)
 
 
-def git_log(repo: str, sub: str = ".", limit: int = 100) -> list[tuple[str, str, str, str, str]]:
-    """(sha, short, date, author, subject) of the latest commits that touch sub."""
-    out = _git(repo, "log", f"-n{limit}", "--date=short", "--format=%H%x1f%h%x1f%ad%x1f%an%x1f%s", "--", sub)
+def repo_root(path: str) -> str:
+    """The top folder of the repository that a folder or file lies in."""
+    return _git(path if os.path.isdir(path) else os.path.dirname(path) or ".", "rev-parse", "--show-toplevel").decode().strip()
+
+
+def rel_in_repo(path: str) -> str:
+    """A path from its repository's top folder, '' for that folder."""
+    rel = os.path.relpath(os.path.realpath(path), os.path.realpath(repo_root(path))).replace(os.sep, "/")
+    return "" if rel == "." else rel
+
+
+def resolve(repo: str, revision: str) -> str:
+    """The full name of the commit that a revision stands for. What begins like an option is none."""
+    if revision.startswith("-"):
+        raise SourceError(f"{revision} is no revision")
+    return _git(repo, "rev-parse", "--verify", f"{revision}^{{commit}}").decode().strip()
+
+
+def label(source: str) -> str:
+    """What a folder or archive is called in reports."""
+    return os.path.basename(os.path.abspath(source)) or source
+
+
+def git_log(repo: str, sub: str = ".", limit: int | None = None) -> list[tuple[str, str, str, str, str]]:
+    """(sha, short, date, author, subject) of the commits that touch sub, the latest first; with a limit, so many."""
+    few = [] if limit is None else [f"-n{limit}"]
+    out = _git(repo, "log", *few, "--date=short", "--format=%H%x1f%h%x1f%ad%x1f%an%x1f%s", "--", sub)
     return [tuple(x.split("\x1f")) for x in out.decode("utf-8", "replace").splitlines() if x]
 
 
 def read_commit(spark: SparkSession, repo: str, revision: str, into: str, sub: str = "") -> DataFrame:
     """The tree of a commit. The archive is written to into, a folder that all executors see."""
-    sha = _git(repo, "rev-parse", "--verify", f"{revision}^{{commit}}").decode().strip()
+    sha = resolve(repo, revision)
     path = os.path.join(into, f"{sha}.zip")
     if not os.path.exists(path):
         _git(repo, "archive", "--format=zip", f"--output={path}", f"{sha}:{sub}" if sub else sha)
@@ -148,6 +177,11 @@ def read_review(path: str) -> tuple[dict, str | None]:
         return {}, str(e)
 
 
+def review_path(report: str) -> str:
+    """Where the review of a report or comparison is kept unless told otherwise: beside it."""
+    return os.path.splitext(report)[0] + ".review.json"
+
+
 def save_review(path: str, entries: dict) -> None:
     """Writes the entries, but never over a file that can't be read."""
     wrong = read_review(path)[1]
@@ -184,13 +218,14 @@ def code_trees(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two trees of C and A2L files (rel, text): documents with access points and calibration objects in them."""
     i = F.col("doc_id")
     s = lambda c: c.cast("string")
-    m = F.concat(F.lit("m"), s(i % 200))
+    m = F.concat(F.lit("m"), s((i / 2).cast("long") % 200))
 
     def side(k: int) -> DataFrame:
         p = (i + k * (i % 3)) % 13
         c = F.concat(F.lit("// Rte_Call_old_x\nv = Rte_Read_P"), s(p), F.lit("_Sig();\nRte_Write_Q"), s(i % 5), F.lit('_Out(v); /* Rte_Mode_no */\nlog("Rte_Pim_text"); rtb_Sum_c'), s((i + k) % 9), F.lit(" = tmp_"), s(i % 4), F.lit(";\n"), "text")
         a = F.concat(F.lit("/begin CHARACTERISTIC K_"), s(p), F.lit(' "/begin MEASUREMENT no" /* /begin MEASUREMENT no2 */\n/begin measurement M_'), s(i % 7), F.lit("\n"), "text")
-        files = docs.where(i % 3 < 2).select(F.concat(m, F.lit("/"), m, F.when(i % 3 == 0, F.concat(F.lit("_f"), s(i), F.lit(".c"))).otherwise(F.concat(F.lit("_f"), s(i), F.lit(".a2l")))).alias("rel"), F.when(i % 3 == 0, c).otherwise(a).alias("text"), "doc_id")
+        is_c = i % 2 == 0
+        files = docs.select(F.concat(m, F.lit("/"), m, F.lit("_f"), s(i), F.when(is_c, ".c").otherwise(".a2l")).alias("rel"), F.when(is_c, c).otherwise(a).alias("text"), "doc_id")
         return files.where(i % 25 != k).drop("doc_id")
 
     return side(0), side(1)
