@@ -1,24 +1,25 @@
 """SimHash near-duplicates by segment-popcount embedding, grid range-join and exact verification.
 
-A fingerprint is cut into segments of SEGMENT bits, and each is mapped to its bit count. The Manhattan distance of two
-such vectors never exceeds the Hamming distance of the fingerprints. The vector's coordinates are dealt to BANDS bands;
-at distance d or less, BANDS - d bands at least have equal counts throughout, so each choice of BANDS - d bands is one
-projection of the grid, and every link meets in some cell of some projection. Members of a cell are verified exactly
-on their 64 bits.
+A fingerprint is cut into segments of SEGMENT bits, and each is mapped to its bit count: a point whose Manhattan distance
+from another never exceeds the Hamming distance of their fingerprints. The coordinates are dealt to HALVES parts. At
+distance d or less some part is at Manhattan distance d // HALVES or less, so each part is a grid of its own, on which
+every point has its home cell and ranges over the cells within that distance; a link meets where a point in range finds
+one at home. What meets is sifted by the Manhattan distance of the whole points and verified on the 64 bits.
 
-Copies cost nothing here: cells hold distinct fingerprints. A cell gives a spanning forest of its links, not its pairs.
-Cells beyond `block` members are cut into blocks, and pairs of blocks are tasks of their own, so no group grows without
-bound and no link is lost. Components come from alternating large-star and small-star steps over a table of edges.
+Two points at odd distance differ in the parity of their sums, so at distance 1 only those of even sum range over other
+cells. Copies cost nothing here: cells hold distinct fingerprints. A cell gives a spanning forest of its links, not its
+pairs. Cells beyond `block` members are cut into blocks, and pairs of blocks are tasks of their own, so no group grows
+without bound and no link is lost. Components come from alternating large-star and small-star steps over a table of edges.
 
 Null texts count as empty: fingerprint zero, linked like any other. Rows are kept apart even if ids repeat; a null id
 keeps its fingerprint, never names a component, and has a null component only if its whole component has null ids.
-Extra columns are ignored. An empty table gives an empty result.
+Very long texts are hashed whole. Extra columns are ignored or, where rows are kept, kept; none can clash with those made
+here. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import checkpointed
+from driftlens.llm.common import checkpointed, small
 
 SEED = 42
-BITS, SEGMENT, BANDS = 64, 2, 6
+BITS, SEGMENT, HALVES = 64, 2, 2
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -60,13 +61,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, text.alias("text")).mapInArrow(run, "doc_id long, key long, fp long" if keyed else "doc_id long, fp long")
 
 
-def _bits_of(i: int) -> int:
-    """A mask of the bits of band i: segments are dealt to the bands in turn, the first bits first."""
-    per = BITS // SEGMENT
-    lo, hi = i * per // BANDS, (i + 1) * per // BANDS
-    return sum(((1 << SEGMENT) - 1) << (s * SEGMENT) for s in range(lo, hi))
-
-
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -78,67 +72,113 @@ def segment_counts(fp: Column) -> Column:
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))  # 0, 1 or 2, without signed overflow
 
 
-def cells(fps: DataFrame, distance: int) -> DataFrame:
-    """fp with one row per projection of the grid: cell hashes the projection's number and its counts."""
-    counts = segment_counts(F.col("fp"))
-    keys = [F.xxhash64(F.lit(k), F.col("counts").bitwiseAND(F.lit(_signed(sum(map(_bits_of, chosen)))))) for k, chosen in enumerate(combinations(range(BANDS), BANDS - distance))]
-    return fps.select("fp", counts.alias("counts")).select("fp", F.explode(F.array(*keys)).alias("cell"))
-
-
-def _forest(fps: np.ndarray, split: int, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of fps at distance or less. Up to split lies one block, beyond it another (or none)."""
-    n, edges = len(fps), []
-    root = np.arange(n)
-    rows = range(n) if split == n else range(split)
-    for i in rows:
-        others = np.arange(i + 1, n) if split == n else np.arange(split, n)
-        near = others[np.bitwise_count(fps[others] ^ fps[i]) <= distance]
-        for r in np.unique(root[near]):
+def part_masks() -> list[int]:
+    """Which bits of the packed counts each part of the coordinates has."""
+    wide = BITS // HALVES
+    return [((1 << wide) - 1) << (wide * k) for k in range(HALVES)]
+
+
+def grid(fps: DataFrame, distance: int) -> DataFrame:
+    """fp, cell, and home: whether the point lies in the cell or only ranges over it."""
+    reach = distance // HALVES
+    if reach > 1:
+        raise ValueError(f"ranges reach over one cell, so distances go up to {2 * HALVES - 1}")
+    rows = fps.select("fp", segment_counts(F.col("fp")).alias("counts"))
+    cells = []
+    for part, mask in enumerate(part_masks()):
+        key = lambda c, part=part, mask=mask: F.xxhash64(F.lit(part), c.bitwiseAND(F.lit(_signed(mask))))
+        cells.append(F.array(F.struct(key(F.col("counts")).alias("cell"), F.lit(True).alias("home"))))
+        if reach:
+            even = F.bit_count(F.col("counts").bitwiseAND(F.lit(_signed(mask & 0x5555555555555555)))) % 2 == 0
+            around = []
+            for k in range(BITS // SEGMENT // HALVES * part, BITS // SEGMENT // HALVES * (part + 1)):
+                count = F.shiftrightunsigned("counts", SEGMENT * k).bitwiseAND(F.lit((1 << SEGMENT) - 1))
+                for up, inside in ((True, count < SEGMENT), (False, count > 0)):
+                    around.append(F.when(even & inside, key(moved(F.col("counts"), k, up))))
+            cells.append(F.transform(F.array_compact(F.array(*around)), lambda c: F.struct(c.alias("cell"), F.lit(False).alias("home"))))
+    return rows.select("fp", F.explode(F.concat(*cells)).alias("at")).select("fp", "at.cell", "at.home")
+
+
+def moved(counts: Column, k: int, up: bool) -> Column:
+    """Packed counts with that of segment k one higher or lower: 00, 01 and 10 stand for 0, 1 and 2."""
+    low, both = 1 << (SEGMENT * k), 3 << (SEGMENT * k)
+    # 0 to 1 and 1 to 0 flip the low bit; 1 to 2 and 2 to 1 flip both.
+    flips = F.when((counts.bitwiseAND(F.lit(_signed(low))) == 0) == F.lit(up), F.lit(_signed(low))).otherwise(F.lit(_signed(both)))
+    return counts.bitwiseXOR(flips)
+
+
+def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the points of fingerprints: a lower bound of their Hamming distance."""
+    odd = np.uint64(0x5555555555555555)
+    # With 2-bit segments, unlike counts differ by 2 only where one is 0 and the other 2.
+    ones_a, ones_b = (a ^ a >> np.uint64(1)) & odd, (b ^ b >> np.uint64(1)) & odd
+    twos_a, twos_b = a & a >> np.uint64(1) & odd, b & b >> np.uint64(1) & odd
+    by_two = ~ones_a & ~ones_b & odd & (twos_a ^ twos_b)
+    return np.bitwise_count(ones_a ^ ones_b).astype(np.int64) + 2 * np.bitwise_count(by_two)
+
+
+def near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Whether fingerprints lie at distance or less: by the bound first, then by their bits."""
+    found = manhattan(a, b) <= distance
+    if found.any():
+        found &= np.bitwise_count(a ^ b) <= distance
+    return found
+
+
+def _forest(fps: np.ndarray, home: np.ndarray, second: np.ndarray, apart: bool, distance: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of fps at distance or less that have an end at home; if apart, only links between the two blocks."""
+    edges, root = [], np.arange(len(fps))
+    for i in np.flatnonzero(home):
+        others = np.ones(len(fps), bool) if not apart else second != second[i]
+        others &= ~home | (np.arange(len(fps)) > i)
+        others = np.flatnonzero(others)
+        others = others[near(fps[others], fps[i], distance)]
+        for r in np.unique(root[others]):
             if r != root[i]:
-                j = near[root[near] == r][0]
-                edges.append((i, int(j)))
+                edges.append((i, int(others[root[others] == r][0])))
                 root[root == r] = root[i]
     return edges
 
 
+#: One fingerprint in so many shows which cells are to be cut into blocks.
+SHOWN = 16
+
+
 def links(fps: DataFrame, distance: int = 3, block: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all that lie at distance or less."""
-    members = cells(fps, distance)
-    sizes = members.groupBy("cell").count().where(F.col("count") > 1)
-    met = members.join(sizes, "cell")
+    members = grid(fps, distance)
+    crowded = members.where(F.pmod(F.xxhash64("fp"), F.lit(SHOWN)) == 0).groupBy("cell").count().where(F.col("count") * SHOWN > block)
     # A member of a cell of n blocks goes to the n pairs of blocks that its own block is part of.
-    n = F.ceil(F.col("count") / block).cast("int")
-    met = met.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int"))
-    met = met.select("cell", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    met = met.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "fp")
+    met = members.join(small(checkpointed(crowded)), "cell", "left").withColumn("n", F.coalesce(F.ceil(F.col("count") * SHOWN / block), F.lit(1)).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int"))
+    met = met.select("cell", "fp", "home", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    met = met.select("cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"), "home", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come one after another, as the rows are sorted by their key; the last one may go on in the next batch."""
         rest = None
         for b in _with_end(batches):
             if b is not None:
-                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
                 rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
             if rest is None or not len(rest[0]):
                 continue
-            cell, lo, hi = rest[:3]
+            cell, lo, hi, second, home, fp = *rest[:5], rest[5].view(np.uint64)
             new = np.flatnonzero((cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
             ends = [*new] if b is not None else [*new, len(cell)]
             starts = [0, *new][: len(ends)]
             starts, ends = np.array(starts, int), np.array(ends, int)
             # Cells of two, the most, are verified all at once.
             two = starts[ends - starts == 2]
-            two = two[(lo[two] == hi[two]) | (rest[3][two] != rest[3][two + 1])]
-            two = two[np.bitwise_count(rest[4][two].view(np.uint64) ^ rest[4][two + 1].view(np.uint64)) <= distance]
-            a, z = [*rest[4][two]], [*rest[4][two + 1]]
+            two = two[(home[two] | home[two + 1]) & ((lo[two] == hi[two]) | (second[two] != second[two + 1]))]
+            two = two[near(fp[two], fp[two + 1], distance)]
+            a, z = [*rest[5][two]], [*rest[5][two + 1]]
             more = ends - starts > 2
             for s, e in zip(starts[more], ends[more], strict=True):
-                second, fps = rest[3][s:e], rest[4][s:e]
-                fps = np.concatenate([fps[~second], fps[second]])
-                one = lo[s] == hi[s]
-                for i, j in _forest(fps.view(np.uint64), len(fps) if one else int((~second).sum()), distance):
-                    a.append(fps[i])
-                    z.append(fps[j])
+                if home[s:e].any():
+                    for i, j in _forest(fp[s:e], home[s:e], second[s:e], lo[s] != hi[s], distance):
+                        a.append(rest[5][s + i])
+                        z.append(rest[5][s + j])
             if len(ends):
                 rest = [x[ends[-1] :] for x in rest]
             if a:
@@ -205,11 +245,12 @@ def survivors(docs: DataFrame, rows: DataFrame, labels: DataFrame, text_col: str
     """
     named = rows.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("row"))
-    first = least.select(F.col("row.doc_id").alias("_first"), F.col("row.key").alias("_key"))
-    ours = F.col(id_col).cast("long"), text_key(F.col(text_col).cast("string"))
-    kept = docs.join(first, ours[0].eqNullSafe(F.col("_first")) & (ours[1] == F.col("_key")), "left_semi")
+    first = least.select(F.col("row.doc_id").alias("first"), F.col("row.key").alias("key"))
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col).cast("string")).alias("own"))
+    kept = held.join(first, F.col("id").eqNullSafe(F.col("first")) & (F.col("own") == F.col("key")), "left_semi")
     unique = rows.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
-    return kept if unique else kept.withColumn("_key", ours[1]).withColumn("_first", ours[0]).dropDuplicates(["_first", "_key"]).drop("_first", "_key")
+    kept = kept if unique else kept.dropDuplicates(["id", "own"])
+    return kept.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
