@@ -1,12 +1,18 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text. A naive Bayes classifier over a block's features (its tags and class names, length,
-share of link text, last character) is trained on blocks that the page's own structure labels; its log odds, with a
-fixed weight where structure speaks, become terminal capacities. Neighbouring blocks, and neighbours under one parent,
-are joined by smoothness edges. The minimum cut separates content from boilerplate.
+A page is cut into blocks of text. A naive Bayes classifier over a block's features (its tag and the names of its nearest
+named element, length, share of link text, last character) is trained on blocks in zones that pages mark themselves; its
+log odds, together with the zone's, become terminal capacities. Neighbouring blocks, and neighbours under one parent, are
+joined by smoothness edges, weaker between zones. The minimum cut separates content from boilerplate.
+
+A zone is boilerplate below an element whose tag or name says so, unless that element wraps the page: html and body do,
+and what holds a main element, the largest article, or most of the text of a page that marks no content outside of it.
+Other article and main elements are zones of content. The zone is one vote: with classifier and neighbours against it, it
+loses.
 
 Null and empty pages have an empty text. Pages are labelled one by one: repeated rows, ties, null ids and extra columns
-do not matter. An empty table gives an empty result. The classifier is trained on about SAMPLE_PAGES pages.
+do not matter; a column of the result's name gives way to it. Very long pages are labelled whole, in time proportional to
+their blocks. An empty table gives an empty result. The classifier is trained on about SAMPLE_PAGES pages.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 2000
-#: Weights of edges between neighbours and between neighbours under one parent; of structure; the classifier's limit.
-NEAR, SIBLING, STRUCTURE, LIMIT = 0.6, 0.8, 5.0, 3.0
+#: Weights of edges between neighbours and between neighbours under one parent, the share of an edge between zones; of a zone; the classifier's limit.
+NEAR, SIBLING, ACROSS, ZONE, LIMIT = 0.6, 0.8, 0.2, 4.0, 3.0
 # Names of HTML and words that sites use for what is not the article.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = set("script style noscript template svg math iframe object canvas audio video head title".split())
@@ -40,32 +46,40 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 PART = re.compile(r"[^a-z0-9]+")
 
 
+#: Of WORDS, those that name what readers wrote: an element so named is no wrapper for holding most of the text.
+READERS = {"comment", "comments", "reply", "replies", "respond"}
+
+
+class Node:
+    """An element: its place in the tree, the text below it, and what it says of that text."""
+
+    __slots__ = ("article", "main", "parent", "size", "tag", "words", "zone")
+
+    def __init__(self, tag: str, parent: int, words: frozenset[str]):
+        self.tag, self.parent, self.words = tag, parent, words
+        self.size, self.main, self.article, self.zone = 0, tag == "main", tag == "article" and not words & WORDS, 0
+
+
 class Block:
-    __slots__ = ("features", "hint", "links", "parent", "text")
+    __slots__ = ("features", "links", "parent", "text", "zone")
 
-    def __init__(self, text: str, links: int, parent: int, path: list[tuple[str, int, frozenset]]):
+    def __init__(self, text: str, links: int, parent: int):
         self.text, self.links, self.parent = text, links, parent
-        tags = [t for t, _, _ in path]
-        words = frozenset().union(*(w for _, _, w in path)) if path else frozenset()
-        content = any(t in CONTENT for t in tags)
-        off = any(t in NOT_CONTENT and not (t == "header" and content) for t in tags) or bool(words & WORDS)
-        self.hint = -1 if off else 1 if content else 0
-        size, share = len(text), links / max(1, len(text))
-        self.features = [f"tag:{tags[-1] if tags else ''}", f"size:{min(12, size.bit_length())}", f"links:{math.ceil(3 * share)}", f"end:{text[-1] in '.!?:;…' or text[-1].isdigit()}", *(f"name:{w}" for w in sorted(words))]
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks of text, in order."""
+    """The page's blocks of text, in order, each with its zone (-1, 0, 1) and features."""
     out: list[Block] = []
-    path: list[tuple[str, int, frozenset]] = []
+    nodes = [Node("", -1, frozenset())]
+    path: list[int] = [0]
     opened: Counter = Counter()
     held: list[str] = []
-    links, in_link, number, at = 0, False, 0, 0
+    links, in_link, at = 0, False, 0
 
     def flush() -> None:
         nonlocal links
         if text := " ".join("".join(held).split()):
-            out.append(Block(text, min(links, len(text)), path[-1][1] if path else 0, path))
+            out.append(Block(text, min(links, len(text)), path[-1]))
         held.clear()
         links = 0
 
@@ -76,6 +90,11 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links += len(held[-1].strip())
 
+    def close() -> str:
+        tag = nodes[path.pop()].tag
+        opened[tag] -= 1
+        return tag
+
     while m := TOKEN.search(page, at):
         take(page[at : m.start()])
         at = m.end()
@@ -89,73 +108,108 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            if opened[name]:
-                while path:
-                    last = path.pop()[0]
-                    opened[last] -= 1
-                    if last == name:
-                        break
+            if opened[name] > 0:
+                while close() != name:
+                    pass
         elif name in DROPPED:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not attributes.rstrip().endswith("/"):
-            if path and path[-1][0] == name and name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                opened[path.pop()[0]] -= 1
-            number += 1
+            if nodes[path[-1]].tag == name and name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
+                close()
             words = frozenset(w for x in NAMES.finditer(attributes) for w in PART.split((x[1] or x[2] or x[3] or "").lower()) if w)
-            path.append((name, number, words))
+            nodes.append(Node(name, path[-1], words))
+            path.append(len(nodes) - 1)
             opened[name] += 1
     take(page[at:])
     flush()
+    _mark(nodes, out)
     return out
 
 
+def _mark(nodes: list[Node], found: list[Block]) -> None:
+    """Zones and features. Parents come before their children, so one pass up and one down do."""
+    for b in found:
+        nodes[b.parent].size += len(b.text)
+    for n in reversed(nodes[1:]):
+        nodes[n.parent].size += n.size
+    largest = max((n for n in nodes if n.article), key=lambda n: n.size, default=None)
+    marked = [int(n.main or n is largest) for n in nodes]  # such elements below a node, itself included
+    for k in range(len(nodes) - 1, 0, -1):
+        marked[nodes[k].parent] += marked[k]
+    all_text, named = nodes[0].size, [frozenset()] * len(nodes)
+    for k, n in enumerate(nodes[1:], 1):
+        above = nodes[n.parent].zone
+        off = n.tag in NOT_CONTENT and not (n.tag == "header" and above > 0) or bool(n.words & WORDS)
+        content = n.tag in CONTENT and not n.words & WORDS
+        below = marked[k] - int(n.main or n is largest)
+        wraps = n.tag in ("html", "body") or below > 0 or 2 * n.size > all_text and marked[k] == marked[0] and not n.words & READERS
+        n.zone = -1 if above < 0 or off and not wraps else 1 if content else above
+        named[k] = n.words if n.words and not (off and wraps) else named[n.parent]
+    for b in found:
+        size, b.zone = len(b.text), nodes[b.parent].zone
+        end = b.text[-1] in ".!?:;…" or b.text[-1].isdigit()
+        b.features = [f"tag:{nodes[b.parent].tag}", f"size:{min(12, size.bit_length())}", f"links:{math.ceil(3 * b.links / size)}", f"end:{end}", *(f"name:{w}" for w in sorted(named[b.parent]))]
+
+
 def min_cut(weights: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes lie on the source's side of the minimum cut; weights above 0 pull there, below 0 away."""
-    n = len(weights)
-    around = [0.0] * n
-    for a, b, w in edges:
-        around[a] += w
-        around[b] += w
-    # A pull above all of a node's edges decides it; its edges then pull its neighbours.
-    side: list[bool | None] = [w > 0 if abs(w) > r else None for w, r in zip(weights, around, strict=True)]
-    weights, left, queue = list(weights), [], deque(i for i in range(n) if side[i] is not None)
-    links: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    """Which nodes lie on the source's side of a minimum cut; weights above 0 pull there, below 0 away.
+
+    A node with two neighbours at most is taken out: the least cost of its two sides, for each choice of theirs, is again
+    a pull on each of them and an edge between them. On pages, where a block is joined to those before and after it and to
+    those of its parent, this takes out every node; what is left of other graphs is cut by shortest augmenting paths.
+    """
+    pull = list(weights)
+    around: list[dict[int, float]] = [{} for _ in pull]
     for a, b, w in edges:
-        links[a].append((b, w))
-        links[b].append((a, w))
-    while queue:
-        i = queue.popleft()
-        for j, w in links[i]:
-            if side[j] is None:
-                weights[j] += w if side[i] else -w
-                around[j] -= w
-                if abs(weights[j]) > around[j]:
-                    side[j] = weights[j] > 0
-                    queue.append(j)
-    left = [i for i in range(n) if side[i] is None]
-    if not left:
-        return [bool(x) for x in side]
-    # Shortest augmenting paths on the rest; source n, sink n + 1.
-    cap: list[dict[int, float]] = [{} for _ in range(n + 2)]
+        if a != b:
+            around[a][b] = around[b][a] = around[a].get(b, 0.0) + w
+    order, todo, gone = [], [i for i, n in enumerate(around) if len(n) <= 2], [False] * len(pull)
+    while todo:
+        v = todo.pop()
+        if gone[v] or len(around[v]) > 2:
+            continue
+        gone[v] = True
+        links = list(around[v].items())
+        order.append((v, links))
+        (a, p), (b, q) = (links + [(-1, 0.0)] * 2)[:2]
+        x = -pull[v]
+        none, both, first, second = min(0.0, x + p + q), min(p + q, x), min(p, x + q), min(q, x + p)
+        half = max(0.0, (first + second - none - both) / 2)
+        if a >= 0:
+            pull[a] -= first - none - half
+        if b >= 0:
+            pull[b] -= both - first + half
+        for n, _ in links:
+            del around[n][v]
+        if b >= 0 and half > 0:
+            around[a][b] = around[b][a] = around[a].get(b, 0.0) + half
+        todo += [n for n, _ in links if len(around[n]) <= 2]
+    left = [i for i in range(len(pull)) if not gone[i]]
+    side = _by_flow(pull, around, left) if left else {}
+    for v, links in reversed(order):
+        cost = -pull[v] + sum(w if not side[n] else -w for n, w in links)
+        side[v] = cost < -1e-12
+    return [side[i] for i in range(len(pull))]
+
+
+def _by_flow(pull: list[float], around: list[dict[int, float]], left: list[int]) -> dict[int, bool]:
+    source, sink = len(pull), len(pull) + 1
+    cap: dict[int, dict[int, float]] = {i: dict(around[i]) for i in left} | {source: {}, sink: {}}
     for i in left:
-        w = weights[i]
-        cap[n][i], cap[i][n], cap[i][n + 1], cap[n + 1][i] = max(w, 0.0), 0.0, max(-w, 0.0), 0.0
-        for j, c in links[i]:
-            if side[j] is None:
-                cap[i][j] = cap[i].get(j, 0.0) + c
+        cap[source][i], cap[i][source], cap[i][sink], cap[sink][i] = max(pull[i], 0.0), 0.0, max(-pull[i], 0.0), 0.0
     while True:
-        before, queue = {n: n}, deque([n])
-        while queue and n + 1 not in before:
+        before, queue = {source: source}, deque([source])
+        while queue and sink not in before:
             i = queue.popleft()
             for j, c in cap[i].items():
                 if c > 1e-9 and j not in before:
                     before[j] = i
                     queue.append(j)
-        if n + 1 not in before:
-            return [i in before if side[i] is None else bool(side[i]) for i in range(n)]
-        trail, j = [], n + 1
-        while j != n:
+        if sink not in before:
+            return {i: i in before for i in left}
+        trail, j = [], sink
+        while j != source:
             trail.append((before[j], j))
             j = before[j]
         flow = min(cap[i][j] for i, j in trail)
@@ -166,19 +220,18 @@ def min_cut(weights: list[float], edges: list[tuple[int, int, float]]) -> list[b
 
 def main_text(page: str | None, odds: dict[str, float]) -> str:
     found = blocks(page or "")
-    weights = [b.hint * STRUCTURE + max(-LIMIT, min(LIMIT, sum(odds.get(f, 0.0) for f in b.features))) for b in found]
+    weights = [b.zone * ZONE + max(-LIMIT, min(LIMIT, sum(odds.get(f, 0.0) for f in b.features))) for b in found]
     edges, last = [], {}
     for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEAR))
-        if b.parent in last:
-            edges.append((last[b.parent], i, SIBLING))
+        for before, w in ((i - 1, NEAR), (last.get(b.parent, -1), SIBLING)):
+            if before >= 0:
+                edges.append((before, i, w if found[before].zone == b.zone else w * ACROSS))
         last[b.parent] = i
     return "\n".join(b.text for b, keep in zip(found, min_cut(weights, edges), strict=True) if keep)
 
 
 def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Log odds of content for each feature, from the blocks that structure labels in about sample_pages pages."""
+    """Log odds of content for each feature, from the blocks in zones of about sample_pages pages."""
     n = max(1, pages.select(F.count("*")).first()[0])
     few = pages.where(F.xxhash64(id_col, F.lit(9)).bitwiseAND(2**31 - 1) < int(min(1.0, sample_pages / n) * 2**31)).select(html_col)
     schema = pa.schema([("feature", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
@@ -188,8 +241,8 @@ def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sam
             c: Counter = Counter()
             for page in b.column(0):
                 for x in blocks(page.as_py() or ""):
-                    if x.hint:
-                        c.update((f, x.hint) for f in x.features)
+                    if x.zone:
+                        c.update((f, x.zone) for f in x.features)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.int32()), pa.array(list(c.values()), pa.int64())], schema=schema)
 
     sums: dict[int, Counter] = {1: Counter(), -1: Counter()}
@@ -201,7 +254,7 @@ def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sam
 
 
 def extract(pages: DataFrame, odds: dict[str, float], html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """pages with out_col, the main text of each whole page."""
+    """pages with out_col, the main text of each whole page; a column of that name gives way."""
 
     @F.pandas_udf("string")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
