@@ -16,9 +16,10 @@ RULESETS = {
     ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c++": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".h++": "cpp",
 }
 SKIPPED_DIRS = (".git", "__pycache__", ".svn")
+#: How many bytes are searched for a NUL: part of what a binary file is held to be, not a limit on work.
 BINARY_SNIFF = 8192
 
-# What Python's str.isspace() holds to be white space, without the line feed.
+# What Python's str.isspace() holds to be white space, without the line feed.
 SPACE = r"[\t\x0B\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"[\p{L}\p{N}_]"
 
@@ -42,6 +43,7 @@ XML_NOISE = {
     "sw-version": r"<SW-VERSION(?:\s[^>]*)?>[^<]*</SW-VERSION>",
     "description": "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}>|<{t}\s*/>" for t in ("DESC", "LONG-NAME", "INTRODUCTION")),
 }
+# Words and tokens of C.
 KEYWORDS = (
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch "
     "typedef union unsigned void volatile while _Bool _Complex _Imaginary bool true false NULL"
@@ -123,6 +125,11 @@ def blank_strings(text: Column, rules: str) -> Column:
     return let(text, lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(COMMENT_TOKENS[rules]), 0), lambda k: F.when(k.rlike("^[\"']"), F.regexp_replace(k, r"[^\n]", " ")).otherwise(k)), ""))
 
 
+def strip_directives(text: Column) -> Column:
+    """Preprocessor lines blanked, with those that a backslash at the end carries on."""
+    return let(text, lambda t: _without(t, r"(?m)(^[ \t]*+#(?:[^\n]*\\[^\S\n]*\n)*+[^\n]*+)|[^\n]*+\n|[^\n]++"))
+
+
 def strip_xml(text: Column, rule: str) -> Column:
     """One kind of XML noise blanked; UUIDs become empty ones."""
     if rule == "uuid":

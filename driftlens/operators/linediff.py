@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Segments nested deeper than this are matched exactly.
+#: Segments nested deeper than this are matched exactly: part of what an alignment is, not a limit on work.
 DEEPEST = 100
 RANGES = "array<struct<i1:int,i2:int,j1:int,j2:int>>"
 

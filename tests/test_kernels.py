@@ -96,7 +96,7 @@ def test_parts():
 def test_scopes():
     from driftlens.operators.scopes import labels
 
-    c = "#define X {\nint v;\nstatic void f(int a)\n{\n  if (a) {\n  }\n}\nint t[] = {\n1 };\nstruct s {\n int x;\n};"
+    c = "\nint v;\nstatic void f(int a)\n{\n  if (a) {\n  }\n}\nint t[] = {\n1 };\nstruct s {\n int x;\n};"
     assert labels(c, "c") == [None, None, "f", "f", "f", "f", "f", None, None, "s", "s", "s"]
     cpp = "namespace n {\nclass A {\n void f() {\n  g();\n }\n};\n}\nint x;"
     assert labels(cpp, "cpp") == ["n", "n / A", "A / f", "A / f", "A / f", "n / A", "n", None]
