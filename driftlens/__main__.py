@@ -10,22 +10,42 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
-from driftlens.operators import layout, rollup, scopes
+from driftlens.operators import layout, review, rollup, scopes
+from driftlens.operators import report as reports
 from driftlens.plans import compare, sinks
 from driftlens.sources import trees
 
 
+# What reports are called unless told otherwise.
+REPORT, ARXML_REPORT = "compare_report.html", "arxml_update.html"
+
+
+def write_hint(path: str, e: OSError) -> str:
+    """Why a file could not be written, with what is mostly the cause."""
+    why = e.strerror or str(e)
+    if not os.path.isdir(os.path.dirname(os.path.abspath(path))):
+        why += f" -- the folder {os.path.dirname(path)} does not exist"
+    elif isinstance(e, PermissionError):
+        why += " -- the file may be open elsewhere, or read-only"
+    return f"{path}: {why}"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="driftlens", description=__doc__)
     p.add_argument("old")
     p.add_argument("new")
-    for name in ("report", "arxml-report", "json", "sarif"):
+    for name in ("json", "sarif"):
         p.add_argument(f"--{name}", metavar="FILE")
+    p.add_argument("--report", metavar="FILE", nargs="?", const=REPORT)
+    p.add_argument("--arxml-report", metavar="FILE", nargs="?", const=ARXML_REPORT)
     p.add_argument("--include", action="append", default=[], metavar="GLOB")
     p.add_argument("--exclude", action="append", default=[], metavar="GLOB")
     p.add_argument("--arxml-only", action="store_true")
     p.add_argument("--fold", action="append", default=[], choices=rollup.FOLDABLE)
     p.add_argument("--exit-zero", action="store_true")
+    p.add_argument("--review", metavar="FILE", help="sign-offs; those of the current tree stand in the report")
+    p.add_argument("--baseline-name", metavar="NAME")
+    p.add_argument("--current-name", metavar="NAME")
     return p
 
 
@@ -46,20 +66,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (OSError, trees.SourceError) as e:
         print(e, file=sys.stderr)
         return 2
-    try:
-        if args.json:
-            sinks.write_json(results, args.json, baseline=args.old, current=args.new)
-        if args.sarif:
-            sinks.write_sarif(results, args.sarif)
-        texts = [t.where("list_error is null").select("rel", text.decode(F.col("content")).alias("text")) for t in (old, new)]
-        if args.report:
-            both = texts[0].withColumnRenamed("text", "old_text").join(texts[1].withColumnRenamed("text", "new_text"), "rel")
-            sinks.write_html(results, layout.aligned_rows(both.join(results.where(F.size("hunks") > 0).select("rel", "hunks"), "rel")), args.report)
-        if args.arxml_report:
-            sinks.write_arxml_report(results, scopes.summary_rows(compare.tree_facts(results, *texts)), args.arxml_report)
-    except OSError as e:
-        print(f"results could not be written: {e}", file=sys.stderr)
-        return 2
+    texts = [t.where("list_error is null").select("rel", text.decode(F.col("content")).alias("text")) for t in (old, new)]
+    found = compare.tree_facts(results, *texts).persist()
+    groups = rollup.model_groups(results.select("rel"))
+    parsed = compare.parsed_files(results, *texts)
+    advice = rollup.advisories(results.join(parsed, "rel", "left"), groups, found)
+    names = args.baseline_name or trees.label(args.old), args.current_name or trees.label(args.new)
+
+    def report(path: str) -> None:
+        pairs = compare.texts_of(results.where(F.size("hunks") > 0), *texts).join(results.select("rel", "hunks"), "rel")
+        hunks = results.select("rel", F.posexplode("hunks").alias("hunk_idx", "h")).select("rel", "hunk_idx", "h.*")
+        tops = {"Overview": reports.overview(results, groups, found), "Advisories": advice, "Changes of the model": scopes.summary_rows(found).drop("key")}
+        if args.review:
+            entries = trees.review_entries(results.sparkSession, args.review)
+            tops["Review"] = review.tally(review.hunk_units(pairs), entries)
+        sinks.write_html(results, reports.shown_rows(layout.aligned_rows(pairs), reports.hunk_groups(hunks)), path, f"{names[0]} and {names[1]}", tops, reports.notes(found))
+
+    outputs = (
+        (args.json, lambda p: sinks.write_json(results, p, args.old, args.new, args.baseline_name, args.current_name, advice)),
+        (args.sarif, lambda p: sinks.write_sarif(results, p)),
+        (args.report, report),
+        (args.arxml_report, lambda p: sinks.write_arxml_report(results, scopes.summary_rows(found), p)),
+    )
+    for path, put in outputs:
+        try:
+            if path:
+                put(path)
+        except OSError as e:
+            print(f"results could not be written: {write_hint(path, e)}", file=sys.stderr)
+            return 2
     return code
 
 

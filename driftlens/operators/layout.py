@@ -49,7 +49,7 @@ def focus(hunks: DataFrame) -> DataFrame:
 
 
 def aligned_rows(pairs: DataFrame) -> DataFrame:
-    """Rows (rel, row_no, old_no, old_txt, new_no, new_txt, mode, kind) of pairs (rel, old_text, new_text, hunks).
+    """Rows (rel, row_no, old_no, old_txt, new_no, new_txt, mode, kind, hunk_idx) of pairs (rel, old_text, new_text, hunks).
 
     A hunk takes as many rows as its longer side; between hunks the sides go together.
     """
@@ -64,8 +64,8 @@ def aligned_rows(pairs: DataFrame) -> DataFrame:
     seg = seg.select("rel", "a", "b", "no", "z", eq.alias("eq"), F.explode(F.when(eq + own > 0, F.sequence(F.lit(0), eq + own - 1)).otherwise(F.array().cast("array<int>"))).alias("k"))
     same = F.col("k") < F.col("eq")
     at = lambda side, first, last: F.when(same, F.col(f"z.p.{last}") + F.col("k")).when(F.col(f"z.h.{first}") + F.col("k") - F.col("eq") < F.col(f"z.h.{last}"), F.col(f"z.h.{first}") + F.col("k") - F.col("eq"))
-    out = seg.select("rel", "no", "k", at("a", "i1", "i2").alias("o"), at("b", "j1", "j2").alias("n"), "a", "b", F.when(same, "equal").otherwise(F.col("z.h.kind")).alias("kind"))
-    out = out.select("rel", "no", "k", (F.col("o") + 1).alias("old_no"), F.get("a", F.col("o")).alias("old_txt"), (F.col("n") + 1).alias("new_no"), F.get("b", F.col("n")).alias("new_txt"), F.when(F.col("kind") == "equal", "ctx").otherwise(mode_of(F.col("kind"))).alias("mode"), "kind")
+    out = seg.select("rel", "no", "k", at("a", "i1", "i2").alias("o"), at("b", "j1", "j2").alias("n"), "a", "b", F.when(same, "equal").otherwise(F.col("z.h.kind")).alias("kind"), F.when(~same, F.col("no")).alias("hunk_idx"))
+    out = out.select("rel", "no", "k", (F.col("o") + 1).alias("old_no"), F.get("a", F.col("o")).alias("old_txt"), (F.col("n") + 1).alias("new_no"), F.get("b", F.col("n")).alias("new_txt"), F.when(F.col("kind") == "equal", "ctx").otherwise(mode_of(F.col("kind"))).alias("mode"), "kind", "hunk_idx")
     w = Window.partitionBy("rel").orderBy("no", "k")
     return out.withColumn("row_no", F.row_number().over(w) - 1).drop("no", "k")
 

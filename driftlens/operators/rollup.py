@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions.text import ruleset
+from driftlens.sources.stored import checkpointed
 
 # Fixed values.
 STATUSES = ("identical", "comment-only", "ignorable-only", "real-change", "added", "deleted", "error")
@@ -100,12 +101,12 @@ def advisories(results: DataFrame, groups: DataFrame, facts: DataFrame) -> DataF
     changed = F.col("status").isin(*CHANGED)
     is_c, is_xml, is_a2l = (F.col("family") == k for k in ("c", "arxml", "a2l"))
     no = F.lit(False)
-    per = rows.groupBy("model").agg(
+    per = checkpointed(rows.groupBy("model").agg(
         F.max(is_c).alias("has_c"), F.max(is_c & changed).alias("c_changed"), F.min(~is_c | (F.col("status") == "identical")).alias("c_same"),
         F.max(is_xml & (F.coalesce("xml_moved", no) | (changed & ~F.coalesce("has_facts", no)))).alias("xml"),
-        F.max(is_a2l & (F.coalesce("a2l_moved", no) | (changed & F.coalesce("binary", no)))).alias("a2l"), F.max(F.coalesce("rte_added", no)).alias("rte"))
+        F.max(is_a2l & (F.coalesce("a2l_moved", no) | (changed & F.coalesce("binary", no)))).alias("a2l"), F.max(F.coalesce("rte_added", no)).alias("rte")))  # a row per model, read three times
     surfaces = F.array_join(F.filter(F.array(F.when(F.col("xml"), "ARXML"), F.when(F.col("a2l"), "A2L")), lambda x: x.isNotNull()), " and ")
     stale = per.where(F.col("has_c") & ~F.col("c_changed") & (F.col("xml") | F.col("a2l"))).select("model", F.concat(surfaces, F.lit(" changed but the generated C did not")).alias("message"))
-    peer = per.agg(F.max(F.col("has_c") & F.col("c_same")).alias("peer"))
-    gained = per.where("rte").join(F.broadcast(peer), F.col("peer")).select("model", F.lit("gained an RTE access while a peer model stayed identical -- regenerate the architecture before integrating").alias("message"))
+    a_peer_stayed = not per.where("has_c and c_same").isEmpty()
+    gained = per.where(F.col("rte") & F.lit(a_peer_stayed)).select("model", F.lit("gained an RTE access while a peer model stayed identical -- regenerate the architecture before integrating").alias("message"))
     return stale.unionByName(gained)

@@ -120,6 +120,14 @@ def tree_facts(results: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     return facts.fact_diff(of(old), of(new))
 
 
+def parsed_files(results: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(rel, has_facts): whether both sides of a changed XML file could be parsed."""
+    changed = results.where((F.col("status") == "real-change") & (text.ruleset(F.col("rel")) == "arxml"))
+    sides = [facts.xml_facts(t.join(changed.select("rel"), "rel", "left_semi").select("rel", text.unix_lines(F.col("text")).alias("text"))) for t in (old, new)]
+    broken = sides[0].unionByName(sides[1]).where("not parsed").select("rel").distinct()
+    return changed.select("rel").join(broken.withColumn("broken", F.lit(True)), "rel", "left").select("rel", F.col("broken").isNull().alias("has_facts"))
+
+
 def linked_moves(results: DataFrame, old: DataFrame, new: DataFrame, guard: int | None = None) -> DataFrame:
     """(added_rel, deleted_rel, similarity, move_status, hunks) of files that moved, compared across their paths.
 

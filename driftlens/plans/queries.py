@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import names, text
-from driftlens.operators import classify, facts, layout, linediff, moves, review, rollup, scopes
+from driftlens.operators import classify, facts, layout, linediff, moves, report, review, rollup, scopes
 from driftlens.plans import compare, sinks
 from driftlens.sources.stored import checkpointed
 from driftlens.sources.trees import code_trees, document_trees
@@ -228,7 +228,14 @@ def moves_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.clear_best(moves.similarities(*sides(spark, sf_dir)))
 
 
-@query()
+@query(SIMILAR + """, xa AS (SELECT ext, sha1(text) AS h, min(rel) AS added_rel FROM (SELECT a.rel, a.ext, n.text FROM added a JOIN new n ON n.rel = a.rel) GROUP BY 1, 2 HAVING count(*) = 1),
+xd AS (SELECT ext, sha1(text) AS h, min(rel) AS deleted_rel FROM (SELECT a.rel, a.ext, o.text FROM deleted a JOIN old o ON o.rel = a.rel) GROUP BY 1, 2 HAVING count(*) = 1),
+ex AS (SELECT added_rel, deleted_rel, CAST(1.0 AS DOUBLE) AS similarity FROM xa JOIN xd ON xa.ext = xd.ext AND xa.h = xd.h),
+rest AS (SELECT * FROM sim WHERE added_rel NOT IN (SELECT added_rel FROM ex) AND deleted_rel NOT IN (SELECT deleted_rel FROM ex)),
+r AS (SELECT *, max(similarity) OVER (PARTITION BY added_rel) AS ba, max(similarity) OVER (PARTITION BY deleted_rel) AS bd,
+  coalesce(nth_value(similarity, 2) OVER (PARTITION BY added_rel ORDER BY similarity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS na,
+  coalesce(nth_value(similarity, 2) OVER (PARTITION BY deleted_rel ORDER BY similarity DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS nd FROM rest)
+SELECT * FROM ex UNION ALL SELECT added_rel, deleted_rel, similarity FROM r WHERE similarity = ba AND similarity = bd AND similarity - na >= 0.1 AND similarity - nd >= 0.1""")
 def moves_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.find(*sides(spark, sf_dir))
 
@@ -447,7 +454,11 @@ def linked_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.linked_moves(compare.statuses(old, new), old, new).select("added_rel", "deleted_rel", "similarity", "move_status", F.size("hunks").alias("n_hunks"))
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT p_partkey AS k, '/' || regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g') AS pkg FROM part)
+SELECT 'p' || k || '.arxml' AS rel, true AS parsed, 'iface' AS fact_type, NULL AS owner, pkg || '/If' || k AS name, 'SENDER-RECEIVER-INTERFACE' AS descr FROM p WHERE k % 2 = 0
+UNION ALL SELECT 'p' || k || '.arxml', true, 'swc', NULL, pkg || '/C' || k, '' FROM p WHERE k % 2 = 1
+UNION ALL SELECT 'p' || k || '.arxml', true, 'port', pkg || '/C' || k, 'Out', 'P-PORT If' || (k - 1) FROM p WHERE k % 2 = 1""")
 def xml_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of XML files made from the part table: a package per brand, an interface or component per part."""
     p = read(spark, sf_dir, "part")
@@ -458,11 +469,88 @@ def xml_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.xml_facts(files)
 
 
-@query()
+@query(RESULTS_SQL + """SELECT rel, '{"path":"' || rel || '","status":"' || status || '","binary":false}' AS entry FROM r""")
 def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.file_entries(plain_results(spark, sf_dir))
 
 
+@query()
+def json_entries_with_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON, findings and shown lines of the full comparison."""
+    res = checkpointed(compare.scan_texts(*trees(spark, sf_dir)))
+    return sinks.file_entries(res).join(sinks.findings(res).select("rel", "message"), "rel", "left")
+
+
+@query()
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the report's groups, placeholders and notes of moved blocks."""
+    judged = checkpointed(classify.classified(changed_pairs(spark, sf_dir), texts=True))
+    hunks = judged.select("rel", F.posexplode("hunks").alias("hunk_idx", "h")).select("rel", "hunk_idx", "h.*")
+    return report.shown_rows(layout.aligned_rows(judged), report.hunk_groups(hunks))
+
+
+PAGE_FILES = rf"WITH r AS (SELECT regexp_replace(url, '^[a-z]+://', '') || '#' || page_id AS rel, {PAGE_STATUS} AS status FROM pages)"
+
+
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select(F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("#"), F.col("page_id").cast("string")).alias("rel"), F.expr(PAGE_STATUS).alias("status"))
+
+
+@query(PAGE_FILES + r""", f AS (SELECT * FROM r WHERE contains(lower(rel), '/en') AND status <> 'identical'),
+p AS (SELECT DISTINCT rel, status, array_to_string(list_slice(string_split(rel, '/'), 1, n), '/') AS dir FROM (SELECT rel, status, unnest(generate_series(1, len(string_split(rel, '/')) - 1)) AS n FROM f)),
+d AS (SELECT dir, max(CASE status WHEN 'real-change' THEN 4 WHEN 'added' THEN 2 WHEN 'deleted' THEN 2 WHEN 'ignorable-only' THEN 1 ELSE 0 END) AS pr, max(CASE status WHEN 'deleted' THEN 1 ELSE 0 END) AS del FROM p GROUP BY dir)
+SELECT dir AS path, regexp_replace(dir, '/?[^/]*$', '') AS parent, CAST(len(string_split(dir, '/')) AS INT) AS depth, true AS is_dir,
+  CASE pr WHEN 4 THEN 'real-change' WHEN 2 THEN CASE WHEN del = 1 THEN 'deleted' ELSE 'added' END WHEN 1 THEN 'ignorable-only' ELSE 'comment-only' END AS status FROM d
+UNION ALL SELECT rel, regexp_replace(rel, '/?[^/]*$', ''), CAST(len(string_split(rel, '/')) AS INT), false, status FROM f""")
+def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.nodes(page_results(spark, sf_dir), " /EN ", hide_identical=True)
+
+
+@query(PAGE_FILES + "SELECT rel, status, CAST(CASE status WHEN 'real-change' THEN 0 WHEN 'ignorable-only' THEN 1 WHEN 'added' THEN 2 ELSE 3 END AS INT) AS place FROM r WHERE status NOT IN ('identical', 'comment-only')")
+def detail_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.detail_order(page_results(spark, sf_dir))
+
+
+@query(PAGE_FILES + r""", f AS (SELECT regexp_replace(rel, '/?[^/]*$', '') AS folder, rel FROM r WHERE status IN ('real-change', 'added', 'deleted'))
+SELECT folder, rel, coalesce(lead(rel) OVER w, min(rel) OVER (PARTITION BY folder)) AS next_rel, coalesce(lag(rel) OVER w, max(rel) OVER (PARTITION BY folder)) AS prev_rel FROM f WINDOW w AS (PARTITION BY folder ORDER BY rel)""")
+def file_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.file_stops(page_results(spark, sf_dir))
+
+
+CHIP_SQL = """
+, t AS (SELECT {key}, CASE WHEN fact_type = 'rte' THEN 5 ELSE 6 END AS place, CASE WHEN fact_type = 'rte' THEN 'RTE' WHEN name LIKE 'K%' THEN 'Characteristic' ELSE 'Measurement' END AS label,
+  count(*) FILTER (change = '+') AS a, count(*) FILTER (change = '-') AS r FROM {rows} GROUP BY 1, 2, 3),
+chip AS (SELECT {key}, string_agg(CASE WHEN a > 0 AND r > 0 THEN '+' || a || '/−' || r WHEN a > 0 THEN '+' || a ELSE '−' || r END || ' ' || label, '   ·   ' ORDER BY place, label) AS chips FROM t GROUP BY 1)
+"""
+
+
+@query(CODES + FACT_SQL + CHIP_SQL.format(key="rel", rows="f") + "SELECT rel, chips FROM chip")
+def fact_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.chips(code_facts(spark, sf_dir))
+
+
+@query(CODES + FACT_SQL + """SELECT rel, CASE fact_type WHEN 'rte' THEN 'RTE' ELSE 'A2L' END AS topic, string_agg(CASE change WHEN '-' THEN '−' ELSE '+' END || name || CASE WHEN fact_type = 'rte' THEN '' WHEN name LIKE 'K%' THEN ' (CHARACTERISTIC)' ELSE ' (MEASUREMENT)' END,
+  '; ' ORDER BY change, name) AS note FROM f GROUP BY 1, 2""")
+def fact_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.notes(code_facts(spark, sf_dir))
+
+
+@query(CODE_RESULTS + FACT_SQL + CHIP_SQL.format(key="model", rows="f JOIN g ON f.rel = g.rel") + """SELECT g.model, count(*) AS files, count(*) FILTER (status = 'identical') AS identical, count(*) FILTER (status = 'comment-only') AS comment_only, count(*) FILTER (status = 'ignorable-only') AS ignorable_only,
+  count(*) FILTER (status = 'real-change') AS real_change, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status = 'error') AS error, coalesce(max(chips), '') AS chips FROM g LEFT JOIN chip ON chip.model = g.model GROUP BY g.model""")
+def model_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.overview(*code_results(spark, sf_dir), code_facts(spark, sf_dir))
+
+
+@query(r"""
+WITH u AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS rel, page_id FROM pages), t AS (SELECT rel, count(*) AS units, count(*) FILTER (page_id % 3 = 0) AS reviewed FROM u GROUP BY rel),
+x AS (SELECT array_to_string(list_slice(string_split(rel, '/'), 1, n), '/') AS path, units, reviewed FROM (SELECT *, unnest(generate_series(0, len(string_split(rel, '/')))) AS n FROM t))
+SELECT path, CAST(sum(units) AS BIGINT) AS units, CAST(sum(reviewed) AS BIGINT) AS reviewed, sum(units) = sum(reviewed) AS done FROM x GROUP BY path""")
+def review_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("rel"), F.col("page_id").cast("string").alias("unit_key"))
+    entries = units.where(F.col("unit_key").cast("long") % 3 == 0).select("rel", "unit_key", F.lit("").alias("note"), F.lit(True).alias("reviewed"))
+    return review.folder_tally(units, entries)
+
+
 @query(RESULTS_SQL + """, c AS (SELECT unnest(['identical', 'comment-only', 'ignorable-only', 'real-change', 'added', 'deleted', 'error']) AS s, unnest(generate_series(0, 6)) AS k)
 SELECT 1 AS section, '0' || k AS ord, s || ': ' || (SELECT count(*) FROM r WHERE status = s) AS line FROM c
 UNION ALL SELECT 2, rel, rel || '  ' || CASE status WHEN 'added' THEN 'Added' WHEN 'deleted' THEN 'Deleted' ELSE 'Modified: 0 hunk(s)' END FROM r WHERE status IN ('added', 'deleted', 'real-change')""")
@@ -488,7 +576,10 @@ def char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rel", "line", scopes.char_span(F.col("z.a"), F.col("z.b")).alias("s")).select("rel", "line", "s.*")
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id AS i, doc_id % 2 = 0 AS is_c, len(string_split(regexp_replace(text, '[{}();"\'/]', ' ', 'g'), chr(10))) AS n FROM documents)
+SELECT 'd' || i || '.c' AS rel, 'f' || i AS label, CAST(n + 5 AS BIGINT) AS lines FROM d WHERE is_c UNION ALL SELECT 'd' || i || '.c', 's' || i, 3 FROM d WHERE is_c UNION ALL SELECT 'd' || i || '.c', NULL, 3 FROM d WHERE is_c
+UNION ALL SELECT 'd' || i || '.a2l', 'K' || i, n + 2 FROM d WHERE NOT is_c UNION ALL SELECT 'd' || i || '.a2l', 'M' || i, 2 FROM d WHERE NOT is_c UNION ALL SELECT 'd' || i || '.a2l', NULL, 1 FROM d WHERE NOT is_c""".replace("\\'", "''"))
 def scope_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines per scope of C and A2L files made from documents: a function or block around each text."""
     i = F.col("doc_id").cast("string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import html
 import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftlens import __version__
 from driftlens.functions.text import ruleset
 from driftlens.operators.rollup import STATUSES, exit_code, status_summary
 
@@ -17,9 +19,15 @@ RULE_NAMES = {"error": "CompareIncomplete", "real-change": "Modified", "added":
 
 
 def file_entries(results: DataFrame) -> DataFrame:
-    """(rel, entry): each file's result as JSON."""
+    """(rel, entry): each file's result as JSON. Empty notes, renames and hunks are left out, as is what a file doesn't have.
+
+    Of moved files also moved_from or moved_to, move_status and move_similarity, if results has them.
+    """
     hunks = F.transform("hunks", lambda h: F.struct(h["kind"].alias("kind"), F.array(h["i1"], h["i2"]).alias("old_range"), F.array(h["j1"], h["j2"]).alias("new_range"), h["moved_to"].alias("moved_to"), h["moved_from"].alias("moved_from")))
-    return results.select("rel", F.to_json(F.struct(F.col("rel").alias("path"), "status", "binary", "notes", "renames", hunks.alias("hunks"))).alias("entry"))
+    some = lambda c, x: F.when(F.size(c) > 0, x).alias(c)
+    moved = [c for c in ("moved_from", "moved_to", "move_status", "move_similarity") if c in results.columns]
+    entry = F.struct(F.col("rel").alias("path"), "status", "binary", some("notes", F.col("notes")), some("renames", F.col("renames")), some("hunks", hunks), *moved)
+    return results.select("rel", F.to_json(entry).alias("entry"))
 
 
 def message(status: Column, hunks: Column, binary: Column, notes: Column) -> Column:
@@ -45,26 +53,40 @@ def sarif_results(results: DataFrame) -> DataFrame:
     return findings(results).select("rel", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(uri).alias("locations"))).alias("result"))
 
 
+def _document(path: str, head: str, rows: DataFrame, column: str, foot: str) -> None:
+    """One file of head, rows in order of path, and foot. Spark makes the rows; they pass through a partition at a time."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(head)
+        for k, r in enumerate(rows.orderBy("rel").toLocalIterator()):
+            f.write(("," if k else "") + "\n" + r[column])
+        f.write(foot)
+
+
+def write_parts(rows: DataFrame, column: str, path: str) -> None:
+    """Rows as lines of text files that Spark writes under path, in order of rel: for results too many for one file."""
+    rows.repartitionByRange("rel").sortWithinPartitions("rel").select(F.col(column).alias("value")).write.text(path)
+
+
 def write_sarif(results: DataFrame, path: str) -> None:
-    """A SARIF 2.1.0 log; results are streamed in order of path, a partition at a time."""
+    """A SARIF 2.1.0 log."""
     rules = [{"id": s, "name": RULE_NAMES[s], "shortDescription": {"text": RULE_NAMES[s]}} for s in LEVELS]
-    head = json.dumps({"tool": {"driver": {"name": "driftlens", "rules": rules}}})[:-1]
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [' + head + ', "results": [')
-        for k, r in enumerate(sarif_results(results).orderBy("rel").toLocalIterator()):
-            f.write(("," if k else "") + "\n" + r["result"])
-        f.write("]}]}\n")
+    run = json.dumps({"tool": {"driver": {"name": "driftlens", "version": __version__, "rules": rules}}})[:-1]
+    _document(path, '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [' + run + ', "results": [', sarif_results(results), "result", "]}]}\n")
 
 
-def write_json(results: DataFrame, path: str, **about: str) -> None:
-    """The JSON document of schema 1."""
+def document_head(results: DataFrame, baseline: str, current: str, baseline_label: str | None = None, current_label: str | None = None, advisories: DataFrame | None = None) -> dict:
+    """What the JSON document of schema 1 says of a comparison as a whole. advisories: model, message."""
     summary, code = status_summary(results).first().asDict(), exit_code(results).first()["exit_code"]
-    head = {"schema": 1, "tool": "driftlens", **about, "summary": {s: summary[s.replace("-", "_")] for s in STATUSES}, "exit_code": code}
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(head)[:-1] + ', "files": [')
-        for k, r in enumerate(file_entries(results).orderBy("rel").toLocalIterator()):
-            f.write(("," if k else "") + "\n" + r["entry"])
-        f.write("]}\n")
+    said = [] if advisories is None else [{"model": r["model"], "message": r["message"]} for r in advisories.orderBy("model", "message").toLocalIterator()]
+    head = {"schema": 1, "tool": "driftlens", "version": __version__, "generated": datetime.datetime.now().isoformat(timespec="seconds"), "baseline": baseline, "current": current}
+    head |= {"summary": {s: summary[s.replace("-", "_")] for s in STATUSES}, "exit_code": code, "consistency": said}
+    return head | {k: v for k, v in (("baseline_label", baseline_label), ("current_label", current_label)) if v}
+
+
+def write_json(results: DataFrame, path: str, baseline: str = "", current: str = "", baseline_label: str | None = None, current_label: str | None = None, advisories: DataFrame | None = None) -> None:
+    """The JSON document of schema 1."""
+    head = document_head(results, baseline, current, baseline_label, current_label, advisories)
+    _document(path, json.dumps(head, ensure_ascii=False)[:-1] + ', "files": [', file_entries(results), "entry", "]}\n")
 
 
 def summary_lines(results: DataFrame) -> DataFrame:
@@ -74,22 +96,52 @@ def summary_lines(results: DataFrame) -> DataFrame:
     return counts.select(F.lit(1).alias("section"), F.format_string("%02d", "ord").alias("ord"), "line").unionByName(files)
 
 
-def write_html(results: DataFrame, rows: DataFrame, path: str, title: str = "Comparison") -> None:
-    """A report: counts, and for each changed file its aligned rows (rel, row_no, ..., mode); context far from changes is left out."""
+def write_html(results: DataFrame, rows: DataFrame, path: str, title: str = "Comparison", tops: dict[str, DataFrame] | None = None, notes: DataFrame | None = None) -> None:
+    """A report: counts, tables on top by title, and a section for each file with shown rows (report.shown_rows) or a status to read.
+
+    A section that can't be made says so in its place. notes: rel, note.
+    """
     esc = lambda x: html.escape("" if x is None else str(x))
-    near = rows.where("mode != 'ctx'")
+    sections = results.where(F.col("status").isin(*LEVELS) | (F.size("hunks") > 0)).select("rel", "status", "notes", F.lit(-1).alias("row_no"))
+    said = notes.groupBy("rel").agg(F.array_join(F.sort_array(F.collect_list("note")), "; ").alias("more")) if notes is not None else results.select("rel", F.lit(None).cast("string").alias("more")).limit(0)
+    heads = sections.join(said, "rel", "left").select("rel", "row_no", F.struct("status", F.array_join("notes", "; ").alias("notes"), "more").alias("head"))
+    code = rows.groupBy("rel", "row_no").agg(F.sort_array(F.collect_list(F.struct("sub", "grp", "what", "old_no", "old_txt", "new_no", "new_txt", "mode", "said"))).alias("cells"))
+    both = heads.withColumn("cells", F.lit(None).cast(dict(code.dtypes)["cells"])).unionByName(code.withColumn("head", F.lit(None).cast(dict(heads.dtypes)["head"])))
     with open(path, "w", encoding="utf-8") as f:
         f.write(f"<!DOCTYPE html><meta charset=utf-8><title>{esc(title)}</title><h1>{esc(title)}</h1><ul>")
         for s, n in status_summary(results).first().asDict().items():
             f.write(f"<li>{esc(s.replace('_', '-'))}: {n}</li>")
         f.write("</ul>")
-        last = None
-        for r in near.orderBy("rel", "row_no").toLocalIterator():
-            if r["rel"] != last:
-                f.write(("</table>" if last is not None else "") + f"<h2>{esc(r['rel'])}</h2><table>")
-                last = r["rel"]
-            f.write(f"<tr class={r['mode']}><td>{esc(r['old_no'])}<td>{esc(r['old_txt'])}<td>{esc(r['new_no'])}<td>{esc(r['new_txt'])}</tr>\n")
-        f.write("</table>" if last is not None else "")
+        for name, table in (tops or {}).items():
+            f.write(f"<h2>{esc(name)}</h2><table><tr>" + "".join(f"<th>{esc(c)}" for c in table.columns) + "</tr>")
+            for r in table.orderBy(*table.columns).toLocalIterator():
+                f.write("<tr>" + "".join(f"<td>{esc(x)}" for x in r) + "</tr>\n")
+            f.write("</table>")
+        open_table, group = False, None
+        for r in both.orderBy("rel", "row_no").toLocalIterator():
+            if r["head"] is not None:
+                f.write(("</table>" if open_table else "") + _section(r["rel"], r["head"]) + "<table>")
+                open_table, group = True, None
+            for c in r["cells"] or ():
+                f.write(("<tr class=gap><td colspan=4></tr>" if group not in (None, c["grp"]) else "") + _line(c))
+                group = c["grp"]
+        f.write("</table>" if open_table else "")
+
+
+def _section(rel: str, head) -> str:
+    """A file's heading; what can't be said becomes an error in its place."""
+    try:
+        more = "".join(f"<p>{html.escape(x)}</p>" for x in (head["notes"], head["more"]) if x)
+        return f"<h2>{html.escape(rel)}</h2><p>{html.escape(head['status'])}</p>{more}"
+    except Exception as e:  # one file's trouble must not cost the report
+        return f"<h2>error</h2><p>section failed: {html.escape(type(e).__name__)}</p>"
+
+
+def _line(c) -> str:
+    esc = lambda x: html.escape("" if x is None else str(x))
+    if c["what"] != "code":
+        return f"<tr class={c['what']}><td colspan=4>{esc(c['said'])}</tr>\n"
+    return f"<tr class={c['mode']}><td>{esc(c['old_no'])}<td>{esc(c['old_txt'])}<td>{esc(c['new_no'])}<td>{esc(c['new_txt'])}</tr>\n"
 
 
 def write_arxml_report(results: DataFrame, summary: DataFrame, path: str) -> None:

@@ -177,9 +177,18 @@ def read_review(path: str) -> tuple[dict, str | None]:
         return {}, str(e)
 
 
-def review_path(report: str) -> str:
-    """Where the review of a report or comparison is kept unless told otherwise: beside it."""
-    return os.path.splitext(report)[0] + ".review.json"
+def review_path(new_root: str) -> str:
+    """Where the review of a current folder is kept unless told otherwise: beside it, as it may be made anew."""
+    return os.path.join(os.path.dirname(os.path.abspath(new_root)), "codegen-review.json")
+
+
+def review_entries(spark: SparkSession, path: str) -> DataFrame:
+    """A review file's entries as rows (rel, unit_key, note, reviewed)."""
+    entries, wrong = read_review(path)
+    if wrong:
+        raise SourceError(f"{path}: {wrong}")
+    rows = [(rel, key, e.get("note"), bool(e.get("reviewed"))) for rel, units in entries.items() for key, e in units.items()]
+    return spark.createDataFrame(rows, "rel string, unit_key string, note string, reviewed boolean")
 
 
 def save_review(path: str, entries: dict) -> None:
