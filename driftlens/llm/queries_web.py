@@ -33,4 +33,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_url_filter": op6_url_filter, "op8_warc": op8_warc, "op9_html_text": op9_html_text}
-SQL: dict[str, str] = {}
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages),
+n AS (SELECT *, list_transform(generate_series(0, 7), lambda i: list_reduce(list_transform(generate_series(1, 5), lambda k: strpos('0123456789abcdef', substr(x, 5 * i + k, 1)) - 1), lambda a, b: a * 16 + b)) AS twenty FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(twenty, lambda v: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v // d % 32 + 1 AS BIGINT), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM n
+"""
+SQL: dict[str, str] = {"op8_warc": OP8_SQL}
