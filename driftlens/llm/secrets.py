@@ -5,8 +5,8 @@ samples drawn from hashes) and one of ordinary identifiers (words of a bounded s
 mean log-likelihood ratio per character step. Tokens of MIN_TOKEN characters or more that look random are added as
 spans of kind `markov` to those of the patterns; pattern spans always stay, and spans of two kinds may overlap.
 
-Null and empty texts have no spans. Rows are scanned one by one, so repeated rows, ties and null ids each keep their
-row; extra columns are ignored; an empty table gives an empty result, with the model of random strings against a
+Null and empty texts have no spans; very long ones are scanned whole. Rows are scanned one by one, so repeated rows, ties and null ids each keep their
+row; extra columns are ignored or kept, whatever their names; an empty table gives an empty result, with the model of random strings against a
 uniform one. Spans are in code points with the end exclusive.
 """
 
