@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from driftlens.functions.names import mode_of
+from driftlens.functions.text import let
 
 CONTEXT, CONTENT_LINES = 3, 400
 LOUD = ("real", "moved")
@@ -51,23 +52,34 @@ def focus(hunks: DataFrame) -> DataFrame:
 def aligned_rows(pairs: DataFrame) -> DataFrame:
     """Rows (rel, row_no, old_no, old_txt, new_no, new_txt, mode, kind, hunk_idx) of pairs (rel, old_text, new_text, hunks).
 
-    A hunk takes as many rows as its longer side; between hunks the sides go together.
+    A hunk takes as many rows as its longer side; between hunks the sides go together. A file's rows are made in one array and
+    then dealt out, so that no row carries its file's lines along.
     """
-    rows = pairs.select("rel", F.split("old_text", "\n", -1).alias("a"), F.split("new_text", "\n", -1).alias("b"), "hunks")
-    ends = F.struct(F.lit("equal").alias("kind"), F.size("a").alias("i1"), F.size("a").alias("i2"), F.size("b").alias("j1"), F.size("b").alias("j2"))
-    bare = F.transform("hunks", lambda h: F.struct(h["kind"].alias("kind"), h["i1"].alias("i1"), h["i2"].alias("i2"), h["j1"].alias("j1"), h["j2"].alias("j2")))
-    rows = rows.withColumn("h", F.concat(bare, F.array(ends)))
-    rows = rows.withColumn("p", F.concat(F.array(F.struct(F.lit("equal").alias("kind"), *[F.lit(0).alias(c) for c in ("i1", "i2", "j1", "j2")])), bare))
-    # Each hunk gives the equal lines before it and then its own.
-    seg = rows.select("rel", "a", "b", F.posexplode(F.arrays_zip("p", "h")).alias("no", "z"))
-    eq, own = F.col("z.h.i1") - F.col("z.p.i2"), F.greatest(F.col("z.h.i2") - F.col("z.h.i1"), F.col("z.h.j2") - F.col("z.h.j1"))
-    seg = seg.select("rel", "a", "b", "no", "z", eq.alias("eq"), F.explode(F.when(eq + own > 0, F.sequence(F.lit(0), eq + own - 1)).otherwise(F.array().cast("array<int>"))).alias("k"))
-    same = F.col("k") < F.col("eq")
-    at = lambda side, first, last: F.when(same, F.col(f"z.p.{last}") + F.col("k")).when(F.col(f"z.h.{first}") + F.col("k") - F.col("eq") < F.col(f"z.h.{last}"), F.col(f"z.h.{first}") + F.col("k") - F.col("eq"))
-    out = seg.select("rel", "no", "k", at("a", "i1", "i2").alias("o"), at("b", "j1", "j2").alias("n"), "a", "b", F.when(same, "equal").otherwise(F.col("z.h.kind")).alias("kind"), F.when(~same, F.col("no")).alias("hunk_idx"))
-    out = out.select("rel", "no", "k", (F.col("o") + 1).alias("old_no"), F.get("a", F.col("o")).alias("old_txt"), (F.col("n") + 1).alias("new_no"), F.get("b", F.col("n")).alias("new_txt"), F.when(F.col("kind") == "equal", "ctx").otherwise(mode_of(F.col("kind"))).alias("mode"), "kind", "hunk_idx")
-    w = Window.partitionBy("rel").orderBy("no", "k")
-    return out.withColumn("row_no", F.row_number().over(w) - 1).drop("no", "k")
+
+    def rows(a: Column, b: Column) -> Column:
+        end = F.struct(F.size(a).alias("i1"), F.size(a).alias("i2"), F.size(b).alias("j1"), F.size(b).alias("j2"), F.lit("equal").alias("kind"))
+        start = F.struct(*[F.lit(0).alias(c) for c in ("i1", "i2", "j1", "j2")], F.lit("equal").alias("kind"))
+        bare = F.transform("hunks", lambda h: F.struct(*[h[c].alias(c) for c in ("i1", "i2", "j1", "j2", "kind")]))
+        # Each hunk, and the end, with the one before it: the equal lines between come first, then the hunk's own rows.
+        steps = F.arrays_zip(F.concat(F.array(start), bare).alias("p"), F.concat(bare, F.array(end)).alias("h"))
+
+        def of(z: Column, no: Column) -> Column:
+            p, h = z["p"], z["h"]
+            equal, own = h["i1"] - p["i2"], F.greatest(h["i2"] - h["i1"], h["j2"] - h["j1"])
+
+            def row(k: Column) -> Column:
+                same, past = k < equal, k - equal
+                at = lambda first, last: F.when(same, p[last] + k).when(h[first] + past < h[last], h[first] + past)
+                o, n = at("i1", "i2"), at("j1", "j2")
+                return F.struct((o + 1).alias("old_no"), F.get(a, o).alias("old_txt"), (n + 1).alias("new_no"), F.get(b, n).alias("new_txt"), F.when(same, "equal").otherwise(h["kind"]).alias("kind"), F.when(~same, no).alias("hunk_idx"))
+
+            return F.transform(F.when(equal + own > 0, F.sequence(F.lit(0), equal + own - 1)).otherwise(F.array().cast("array<int>")), row)
+
+        return F.flatten(F.transform(steps, of))
+
+    made = let(F.split("old_text", "\n", -1), lambda a: let(F.split("new_text", "\n", -1), lambda b: rows(a, b)))
+    out = pairs.select("rel", F.posexplode(made).alias("row_no", "r")).select("rel", "row_no", "r.*")
+    return out.select("rel", "old_no", "old_txt", "new_no", "new_txt", F.when(F.col("kind") == "equal", "ctx").otherwise(mode_of(F.col("kind"))).alias("mode"), "kind", "hunk_idx", "row_no")
 
 
 def mute(rows: DataFrame, modes: tuple[str, ...]) -> DataFrame:
