@@ -21,6 +21,7 @@ BINARY_SNIFF = 8192
 
 # What Python's str.isspace() holds to be white space, without the line feed.
 SPACE = r"[\t\x0B\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# What Python's \w holds.
 WORD = r"[\p{L}\p{N}_]"
 
 _DOUBLE = r'"(?:[^"\\\n]++|\\.)*+(?:"|(?=\n)|\\?\z)'

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftlens.functions.names import mode_of
 from driftlens.functions.text import let
 
+#: Lines around a change, and lines of a one-sided file, that a report shows: what it is, not a limit on work.
 CONTEXT, CONTENT_LINES = 3, 400
 LOUD = ("real", "moved")
 

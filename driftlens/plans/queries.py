@@ -595,3 +595,70 @@ def scope_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CODES + FACT_SQL + "SELECT CASE fact_type WHEN 'rte' THEN 'RTE access points' ELSE 'A2L variables' END AS section, CASE change WHEN '-' THEN '−' ELSE change END AS sign, name, CASE WHEN fact_type = 'rte' THEN '' WHEN name LIKE 'K%' THEN 'CHARACTERISTIC' ELSE 'MEASUREMENT' END AS detail, rel, name AS key FROM f")
 def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scopes.summary_rows(code_facts(spark, sf_dir))
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of text files, one per customer: of twelve lines every fourth is replaced, and some files gain a line."""
+    k = F.col("c_custkey")
+    at = F.sequence(F.lit(0), F.lit(11))
+    line = lambda j: F.concat(F.lit("l"), j.cast("string"), F.lit(" k"), k.cast("string"))
+    more = F.when((k % 3 == 0) & ((k + 11) % 4 != 0), F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))
+    new = F.concat(F.transform(at, lambda j: F.when((k + j) % 4 == 0, F.concat(F.lit("new"), j.cast("string"))).otherwise(line(j))), more)
+    rel = F.concat(F.lit("c"), k.cast("string"), F.lit(".txt"))
+    return read(spark, sf_dir, "customer").select(rel.alias("rel"), F.lit("plain").alias("rules"), F.array_join(F.transform(at, line), "\n").alias("old_text"), F.array_join(new, "\n").alias("new_text"))
+
+
+EDITED = """
+WITH k AS (SELECT c_custkey AS k, 'c' || c_custkey || '.txt' AS rel, c_custkey % 3 = 0 AND (c_custkey + 11) % 4 <> 0 AS more FROM customer),
+l AS (SELECT k, rel, CAST(j AS INT) AS j, 'l' || j || ' k' || k AS o, CASE WHEN (k + j) % 4 = 0 THEN 'new' || j ELSE 'l' || j || ' k' || k END AS n, (k + j) % 4 = 0 AS edited FROM k, (SELECT unnest(generate_series(0, 11)) AS j) s),
+h AS (SELECT rel, j AS i1, j + 1 AS i2, j AS j1, j + 1 AS j2, o, n FROM l WHERE edited UNION ALL SELECT rel, 12, 12, 12, 13, '', 'extra' FROM k WHERE more)
+"""
+
+
+@query(EDITED + "SELECT rel, i1, i2, j1, j2 FROM h")
+def edited_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linediff.hunks(edited(spark, sf_dir)).select("rel", F.explode("ranges").alias("r")).select("rel", "r.*")
+
+
+@query(EDITED + """SELECT rel, CAST(j AS INT) AS row_no, j + 1 AS old_no, o AS old_txt, j + 1 AS new_no, n AS new_txt, CASE WHEN edited THEN 'real' ELSE 'ctx' END AS mode FROM l
+UNION ALL SELECT rel, 12, NULL, NULL, 13, 'extra', 'real' FROM k WHERE more""")
+def edited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = layout.aligned_rows(classify.classified(edited(spark, sf_dir), texts=True))
+    return rows.select("rel", "row_no", "old_no", "old_txt", "new_no", "new_txt", "mode")
+
+
+@query(EDITED + """SELECT rel, left(sha1('hunk' || chr(0) || 'real' || chr(0) || o || chr(0) || n || chr(0)), 16) || '#0' AS unit_key, CAST(row_number() OVER (PARTITION BY rel ORDER BY i1) - 1 AS INT) AS hunk_idx,
+  'BASELINE ' || CASE WHEN i1 = i2 THEN '-' ELSE '' || i2 END || ' · CURRENT ' || j2 AS label FROM h""")
+def edited_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.hunk_units(classify.classified(edited(spark, sf_dir), texts=True))
+
+
+#: Edits of C and XML files by number, with the status and the kinds of hunks that they must come to.
+C_EDITS = [
+    ("identical", ""), ("comment-only", "comment"), ("ignorable-only", "rename"), ("ignorable-only", "reorder"), ("real-change", "real"), ("ignorable-only", "whitespace"), ("ignorable-only", ""), ("real-change", "moved"), ("real-change", "comment, real"),
+]
+XML_EDITS = [("identical", ""), ("ignorable-only", "uuid"), ("ignorable-only", "timestamp"), ("ignorable-only", "sw-version"), ("ignorable-only", "description"), ("comment-only", "comment"), ("real-change", "real"), ("real-change", "real, uuid")]
+
+
+def _verdicts(column: int) -> str:
+    c, x = (" ".join(f"WHEN {n} THEN '{e[column]}'" for n, e in enumerate(edits)) for edits in (C_EDITS, XML_EDITS))
+    return f"CASE WHEN s_or_c = 0 THEN CASE k % {len(C_EDITS)} {c} END ELSE CASE k % {len(XML_EDITS)} {x} END END"
+
+
+@query(f"""WITH d AS (SELECT c_custkey AS k, unnest([0, 1]) AS s_or_c FROM customer)
+SELECT 'c' || k || CASE s_or_c WHEN 0 THEN '.c' ELSE '.arxml' END AS rel, {_verdicts(0)} AS status, {_verdicts(1)} AS kinds FROM d""")
+def edited_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A C and an XML file per customer, each with one edit of a known verdict, as two trees that are compared."""
+    k = F.col("c_custkey")
+    s = k.cast("string")
+    note, body, rest = F.concat(F.lit("int a"), s, F.lit(";\n/* note */\n")), F.concat(F.lit("void f(void)\n{\n  rtb_Sum_a1 = in"), s, F.lit(";\n  p = in1;\n  q = in2;\n  out = rtb_Sum_a1;\n}\n")), F.lit("int z1;\nint z2;\nint z3 = 3;\n")
+    c = F.concat(note, body, rest)
+    swap = lambda t, a, b: F.replace(t, F.lit(a), F.lit(b))
+    c_new = [c, swap(c, "note", "other"), swap(c, "rtb_Sum_a1", "rtb_Sum_k2"), swap(c, "  p = in1;\n  q = in2;\n", "  q = in2;\n  p = in1;\n"), swap(c, "= 3", "= 4"), swap(c, "int z1", "int  z1"), swap(c, "\n", "\r\n"), F.concat(note, rest, body), swap(swap(c, "note", "other"), "= 3", "= 4")]
+    x = F.concat(F.lit('<A>\n<P UUID="u'), s, F.lit('">\n<SHORT-NAME>N'), s, F.lit("</SHORT-NAME>\n<DESC>words</DESC>\n<DATE>2024</DATE>\n<SW-VERSION>1</SW-VERSION>\n<!-- note -->\n<V>1</V>\n</P>\n</A>\n"))
+    x_new = [x, swap(x, 'UUID="u', 'UUID="v'), swap(x, "2024", "2025"), swap(x, "<SW-VERSION>1", "<SW-VERSION>2"), swap(x, "words", "more words"), swap(x, "note", "other"), swap(x, "<V>1", "<V>2"), swap(swap(x, 'UUID="u', 'UUID="v'), "<V>1", "<V>2")]
+    pick = lambda new: F.element_at(F.array(*new), (k % len(new) + 1).cast("int"))
+    files = F.array(F.struct(F.concat(F.lit("c"), s, F.lit(".c")).alias("rel"), c.alias("old"), pick(c_new).alias("new")), F.struct(F.concat(F.lit("c"), s, F.lit(".arxml")).alias("rel"), x.alias("old"), pick(x_new).alias("new")))
+    rows = read(spark, sf_dir, "customer").select(F.explode(files).alias("f")).select("f.*")
+    res = compare.scan_texts(rows.select("rel", F.col("old").alias("text")), rows.select("rel", F.col("new").alias("text")))
+    return res.select("rel", "status", F.array_join(F.array_sort(F.array_distinct(F.transform("hunks", lambda h: h["kind"]))), ", ").alias("kinds"))
