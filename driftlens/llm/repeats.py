@@ -5,12 +5,13 @@ the window changes. A phrase runs from its first window to the end of its last,
 each window lies in exactly one phrase, and equal windows have the same trigger value wherever they stand. Each task
 gathers a dictionary of distinct phrases for some megabytes of documents at a time; occurrences whose whole phrase also
 stands in a smaller document there are settled at once, and the rest of the parse is dealt to buckets by trigger value.
-A bucket holds all unsettled phrases that can share a window. It orders all suffixes of its dictionary that are a window
-long by their hash (only classes of equal windows matter here, not their alphabetical order), compares the bytes of
-equal hashes, and reads off for each class the least document. The windows found so combine, per document, into spans.
+A bucket holds all unsettled phrases that can share a window: its dictionary, and their occurrences, its parse. The suffix
+array of the dictionary puts equal windows side by side; the least document of the phrases that hold them, read off the
+parse, decides. The windows found so combine, per document, into spans. As no window crosses phrases, the parse needs no
+suffix array of its own.
 
 Nothing is gathered per key: a phrase that many documents share enters a bucket once for each gathering of some
-megabytes. Null texts count as empty. A null id counts as larger than any other; rows with equal ids never remove each
+megabytes, and is held there once. Very long texts are parsed whole. Null texts count as empty. A null id counts as larger than any other; rows with equal ids never remove each
 other's bytes. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -208,47 +209,80 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
+def _ordered(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of a dictionary as far as it matters: of the places at, those whose WINDOW bytes come twice or more,
+    in alphabetical order, and the number of each one's class of equal bytes.
+
+    Sorted by eight bytes, and those still alike by the next few, until WINDOW bytes are compared.
+    """
+    eight = buf.astype(np.uint64)
+    for k in (1, 2, 4):
+        eight = (eight[:-k] << np.uint64(8 * k)) | eight[k:]
+    # Places alone in their slot of a table come once; the others are sorted.
+    slots = np.uint64(max(10, min(24, 2 + len(at).bit_length())))
+    slot = ((eight[at] * _power(1)) ^ (eight[at + WINDOW // 2 - 4] * _power(3)) ^ (eight[at + WINDOW - 8] * _power(5))) >> (np.uint64(64) - slots)
+    last = np.zeros(1 << int(slots), np.int32)
+    last[slot] = np.arange(len(at), dtype=np.int32)
+    shared = np.zeros(1 << int(slots), bool)
+    shared[slot[last[slot] != np.arange(len(at), dtype=np.int32)]] = True
+    order = np.flatnonzero(shared[slot])
+    group, done = np.zeros(len(order), np.uint64), 0
+    while done < WINDOW and len(order):
+        # Class and as many bytes as fit beside it in one number, which sorts fast.
+        fit = (64 - int(group[-1]).bit_length()) // 8
+        done = min(done, WINDOW - fit)
+        key = (eight[at[order] + min(done, WINDOW - 8)] << np.uint64(8 * (done - min(done, WINDOW - 8)))) >> np.uint64(64 - 8 * fit)
+        if fit < 8:
+            key |= group << np.uint64(8 * fit)
+        by = np.argsort(key)
+        order, key = order[by], key[by]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(starts, append=len(order))
+        twice = np.repeat(sizes > 1, sizes)
+        order, group, done = order[twice], np.repeat(np.arange(int((sizes > 1).sum()), dtype=np.uint64), sizes[sizes > 1]), done + fit
+    return order, group
+
+
 def _settle(blobs: list[bytes]) -> tuple[list, list, list]:
-    """Spans of one bucket: windows that also stand in a smaller document."""
-    parts = [_unpacked(b) for b in blobs]
-    docs, prints, places, counts, buf = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Spans of one bucket: windows that also stand in a smaller document.
+
+    The parse says which phrase of the dictionary stands where. An occurrence of a phrase in a document that is not the
+    phrase's least is gone as a whole. In the least document those windows are gone that the dictionary's suffix array
+    shows in a phrase whose least document is smaller.
+    """
+    places_of: dict[bytes, int] = {}
+    parts: list[tuple[np.ndarray, ...]] = []
+    for docs, prints, places, counts, data in map(_unpacked, blobs):
+        raw, ends = data.tobytes(), np.cumsum(counts.astype(np.int64) + WINDOW - 1).tolist()
+        phrase = [places_of.setdefault(raw[a:z], len(places_of)) for a, z in zip([0, *ends], ends)]
+        parts.append((docs, prints, places, np.array(phrase, np.int64)))
+    docs, prints, places, phrase = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    lens = counts.astype(np.int64) + WINDOW - 1
+    lens = np.fromiter(map(len, places_of), np.int64, len(places_of))
+    buf = np.frombuffer(b"".join(places_of), np.uint8)
+    places_of.clear()
     starts = np.cumsum(lens) - lens
-    _, hashes = _hashed(buf, False, _NONE)
-    at = _spread(starts, counts.astype(np.int64))  # every window's place in buf
-    phrase = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
-    hashes = hashes[at]
-    order = np.argsort(hashes)
-    sorted_hashes = hashes[order]
-    twice = sorted_hashes[1:] == sorted_hashes[:-1]
-    shared = np.zeros(len(order), bool)
-    shared[1:] |= twice
-    shared[:-1] |= twice
-    order, h = order[shared], sorted_hashes[shared]
-    if not len(order):
-        return [], [], []
-    gone = []
-    while len(order):
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        group = np.cumsum(np.append(0, h[1:] != h[:-1]))
-        owner = docs[phrase[order]]
-        # Of each class the bytes of a member in its least document are what the others are compared with.
-        by = np.lexsort((owner, group))
-        order, h, owner = order[by], h[by], owner[by]
-        head = order[first][group]
-        later = np.flatnonzero(owner > docs[phrase[head]])
-        alike = _same(buf, at[order[later]], at[head[later]], np.full(len(later), WINDOW))
-        gone.append(order[later[alike]])
-        # Unequal bytes behind one hash: those windows are compared among themselves, in another round.
-        order, h = order[later[~alike]], h[later[~alike]]
-    gone = np.sort(np.concatenate(gone))
-    if not len(gone):
-        return [], [], []
-    new = np.append(True, (gone[1:] != gone[:-1] + 1) | (phrase[gone[1:]] != phrase[gone[:-1]]))
-    a, z = gone[new], gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
-    in_doc = lambda g: at[g] - starts[phrase[g]] + places[phrase[g]]
-    return _span_rows(docs[phrase[a]], prints[phrase[a]], in_doc(a), in_doc(z) + WINDOW)
+    least = np.full(len(lens), LAST)
+    np.minimum.at(least, phrase, docs)
+    later = docs > least[phrase]
+    found = [(docs[later], prints[later], places[later].astype(np.int64), places[later] + lens[phrase[later]])]
+    at = _spread(starts, lens - WINDOW + 1)  # where each suffix of a window or more begins
+    of = np.repeat(np.arange(len(lens)), lens - WINDOW + 1)
+    order, group = _ordered(buf, at)
+    if len(order):
+        firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        in_class = np.minimum.reduceat(least[of[order]], firsts)
+        gone = np.sort(order[np.repeat(in_class, np.diff(firsts, append=len(order))) < least[of[order]]])
+        if len(gone):
+            new = np.append(True, (gone[1:] != gone[:-1] + 1) | (of[gone[1:]] != of[gone[:-1]]))
+            a, z = gone[new], gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
+            # Each run of a phrase, in each of the phrase's occurrences in its least document.
+            here = np.flatnonzero(~later)
+            here = here[np.argsort(phrase[here], kind="stable")]
+            lo, hi = (np.searchsorted(phrase[here], of[a], side=x) for x in ("left", "right"))
+            where, run = here[_spread(lo, hi - lo)], np.repeat(np.arange(len(a)), hi - lo)
+            found.append((docs[where], prints[where], places[where] + at[a[run]] - starts[of[a[run]]], places[where] + at[z[run]] - starts[of[a[run]]] + WINDOW))
+    return _span_rows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
