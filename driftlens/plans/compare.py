@@ -115,7 +115,7 @@ def tree_facts(results: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
 
     def of(tree: DataFrame) -> DataFrame:
         rows = tree.join(wanted, "rel", "left_semi").select("rel", text.unix_lines(F.col("text")).alias("text"))
-        return facts.rte_facts(rows).unionByName(facts.a2l_facts(rows)).unionByName(facts.xml_facts(rows.where(text.ruleset(F.col("rel")) == "arxml")))
+        return checkpointed(facts.text_facts(rows).unionByName(facts.xml_facts(rows.where(text.ruleset(F.col("rel")) == "arxml"))))
 
     return facts.fact_diff(of(old), of(new))
 

@@ -120,3 +120,22 @@ def test_sources_named(tmp_path):
         except trees.SourceError:
             pass
     assert trees.review_path(str(tmp_path / "new")) == str(tmp_path / "codegen-review.json") and trees.label("/x/model.zip") == "model.zip"
+
+
+def test_command_line_with_review_and_names(spark, tmp_path, capsys):
+    from driftlens.__main__ import main, write_hint
+
+    for side, said in (("old", "int a = 1;\nint b;\n"), ("new", "int a = 2;\nint b;\n")):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "m.c").write_text(said)
+    review_file = tmp_path / "r.json"
+    trees.save_review(str(review_file), {"m.c": {"k#0": {"note": "seen", "reviewed": True}}})
+    html, doc = tmp_path / "out.html", tmp_path / "out.json"
+    args = [str(tmp_path / "old"), str(tmp_path / "new"), "--report", str(html), "--json", str(doc), "--review", str(review_file), "--baseline-name", "Before", "--current-name", "After"]
+    assert main(args, spark) == 1
+    said = html.read_text()
+    assert all(x in said for x in ("Before and After", "<h2>Review</h2>", "<h2>Overview</h2>", "<h2>m.c</h2>", "int a = 2;"))
+    found = json.loads(doc.read_text())
+    assert (found["baseline_label"], found["current_label"], found["consistency"]) == ("Before", "After", [])
+    assert main([*args[:2], "--json", str(tmp_path / "no" / "x.json")], spark) == 2
+    assert "does not exist" in capsys.readouterr().err and "read-only" in write_hint(str(doc), PermissionError(13, "no"))
