@@ -4,7 +4,7 @@ Each rule looks at counts of one whole text and votes good or bad or abstains. E
 counts of all vote patterns (3 ** rules at most, whatever the corpus) estimates how often each rule casts each vote
 on good and on bad documents. The posterior probability of good replaces all-must-pass filtering.
 
-Null and empty texts have no words: all counts 0, base_failed. Rows are judged one by one, so ties, repeated rows and
+Null and empty texts have no words: all counts 0, base_failed; very long ones are counted whole. Rows are judged one by one, so ties, repeated rows and
 null ids do not matter; extra columns are ignored. An empty table gives an empty result. Repeated 8-word windows are
 found by 64-bit hashes within a text; unlike windows meet there with a chance of about n * n / 2 ** 65.
 """
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import SPACE, space_words
+from driftlens.llm.common import SPACE, space_words, written
 
 WINDOW = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -146,8 +146,9 @@ def judged(scored: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The kept rows of docs with all their columns. The model is fitted on every row, then every row is judged."""
-    model = fit(features(docs, text_col))
-    # Filters aren't pushed below an observed frame, where the counts would be made anew for each mention.
-    rows = features(docs, text_col, keep=docs.columns).observe("quality", F.count(F.lit(1)).alias("rows"))
-    return judged(rows, model).where("kept").select(*[F.col("_keep")[c].alias(c) for c in docs.columns])
+    """The kept rows of docs with all their columns. The model is fitted on every row, then every row is judged.
+
+    Counts are made once and written beside the rows; fitting reads the votes alone.
+    """
+    scored = written(features(docs, text_col, keep=docs.columns).drop(*COUNTS, *MORE), "scored")
+    return judged(scored, fit(scored)).where("kept").select(*[F.col("_keep")[c].alias(c) for c in docs.columns])
