@@ -63,3 +63,38 @@ def test_blocks_lose_no_link(spark):
 
 def test_unlike_texts_under_one_id_stay_in_the_stage(spark):
     check_rows(spark, shingles.one_of_each)
+
+
+def test_manhattan_distance_is_a_lower_bound():
+    import numpy as np
+
+    rnd = random.Random(6)
+    a = np.array([rnd.getrandbits(64) for _ in range(2000)], np.uint64)
+    b = np.array([int(x) ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randint(0, 6))) & (2**64 - 1) for x in a], np.uint64)
+    counts = lambda x: [(int(x) >> k & 3).bit_count() for k in range(0, 64, 2)]
+    want = [sum(abs(p - q) for p, q in zip(counts(x), counts(y))) for x, y in zip(a, b)]
+    assert simhash.manhattan(a, b).tolist() == want
+    assert all(w <= (int(x) ^ int(y)).bit_count() for w, x, y in zip(want, a, b))
+
+
+def test_grid_meets_all_at_the_distance(spark):
+    rnd = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        f = rnd.getrandbits(64)
+        pairs.append((f, f ^ sum(1 << k for k in rnd.sample(range(64), 3))))
+    signed = [x - 2**64 if x >= 2**63 else x for p in pairs for x in p]
+    found = {(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert all((a, b) in found or (b, a) in found for a, b in pairs)
+
+
+def test_bits_that_are_too_large_to_broadcast_travel_along(spark, monkeypatch):
+    from driftlens.llm import shingles as module
+
+    rows = edited_texts()
+    texts = shingles._texts(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    distinct = shingles.checkpointed(shingles.sets(texts, shingles.common_shingles(texts.limit(0), 1)).drop("doc_id").dropDuplicates(["fp"]))
+    labelled = shingles.checkpointed(distinct.withColumn("label", simhash.F.col("fp")))
+    want = {tuple(r) for r in shingles.candidates(labelled).collect()}
+    monkeypatch.setattr(module, "small", lambda table: table)
+    assert {tuple(r) for r in shingles.candidates(labelled).collect()} == want and want
