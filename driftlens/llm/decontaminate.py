@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import ascii_lower, written
+from driftlens.llm.common import ascii_lower, checkpointed, small, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -116,9 +116,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
         hits = window_hits(rows, windows, "_text", keep=["_doc"])
         return hits.where(~contaminated()).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
     gram = F.slice("_words", F.col("_at"), F.col("_len"))
-    places = _places(docs.select(F.col(text_col).cast("string").alias("_text"), norm_words(F.col(text_col)).alias("_words")), lens).where("_at is not null")
+    places = _places(docs.select(F.sha2(F.col(text_col).cast("string"), 256).alias("_key"), norm_words(F.col(text_col)).alias("_words")), lens).where("_at is not null")
     met = places.withColumn("_hash", F.xxhash64(gram)).join(F.broadcast(_named(windows)), (F.col("_hash") == F.col("_whash")) & (F.col("_len") == F.col("_wlen")))
-    hits = met.where(F.col("_gram") == F.array_join(gram, " ")).select(F.sha2("_text", 256).alias("_key"), F.size("_words").alias("n_words"), "_at", "_len")
+    hits = met.where(F.col("_gram") == F.array_join(gram, " ")).select("_key", F.size("_words").alias("n_words"), "_at", "_len")
     per = hits.groupBy("_key", "n_words").agg(F.sort_array(F.collect_set(F.struct("_at", "_len"))).alias("_hits")).withColumn("n_hit", _union(F.col("_hits")))
-    gone = per.where(contaminated()).select(F.col("_key").alias("_contaminated"))
+    gone = small(checkpointed(per.where(contaminated()).select(F.col("_key").alias("_contaminated"))))
     return docs.join(gone, F.sha2(docs[text_col].cast("string"), 256) == gone["_contaminated"], "left_anti")
