@@ -8,11 +8,12 @@ Texts are cut at space, tab, line feed and carriage return, where no token of th
 and a piece that comes again is looked up; the ids equal those of whole texts.
 
 Null and empty texts have the end id alone. Rows with equal ids are kept, in order of a hash of their texts; null ids come
-first. Extra columns are ignored. An empty table writes no rows.
+first. Very long texts are encoded whole. Extra columns are ignored, whatever their names. An empty table writes no rows.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,16 +27,30 @@ FILE_SCHEMA = "doc_id long, part int, before long, ids array<int>"
 #: Bytes of a row group and of a page, and how many pieces an encoder remembers.
 ROW_GROUP, PAGE, REMEMBERED = 16 << 20, 256 << 10, 400_000
 
+#: Bytes of text of a partition, and so of a file, on average.
+PARTITION = 256 << 20
+
 ENDS = ".,!?;:|*#$%&()<>\""
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Latin letters beyond ASCII to the characters that stand for their bytes in a byte-level vocabulary.
+
+    Visible characters of Latin-1 stand for themselves, the other bytes for the characters from 256 on, in order.
+    """
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    stands = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in visible)}
+    return {c: "".join(stands[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class PieceEncoder(dict):
     """Pieces of text to their token ids, as bytes; what is new is encoded by the tokenizer.
 
-    Only plain letters go to its model directly: for them lower-casing is all that comes before. ASCII marks at the end
-    of a piece are never joined to a letter or digit, and so are looked up apart, unless the piece holds an added token
-    (in any case, as some are matched after lower-casing): such a piece is encoded whole. When full, the pieces not used
-    since it was last full are forgotten.
+    Only plain Latin letters go to its model directly: for them lower-casing, and bytes for letters, is all that comes
+    before, as is seen on a few words. ASCII marks at the end of a piece are never joined to a letter or digit, and so are
+    looked up apart, unless the piece holds an added token (in any case, as some are matched after lower-casing): such a piece
+    is encoded whole. When full, the pieces not used since it was last full are forgotten.
     """
 
     def __init__(self, path: str):
@@ -44,26 +59,34 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.plain = all([t.id for t in self.model.tokenize(w.lower())] == self._whole(w) for w in ("The", "q", "ZYXWVUTSRQPONMLKJIHGFEDCBA"))
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        # A mark that all added tokens have, if there is one, tells most pieces without any.
+        self.mark = next((c for c in sorted(set(self.added[0])) if not c.isalnum() and all(c in t for t in self.added)), "") if self.added else None
         self.older: dict[str, bytes] = {"": b""}
+        self.plain = all(self._lowered(w.lower()) == self._whole(w) for w in ("The", "q", "ZYXWVUTSRQPONMLKJIHGFEDCBA", "Für", "ÉTÉ", "ñandú", "ÀÖØöøßÿ", "straße"))
 
-    def _whole(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+    def _whole(self, piece: str) -> bytes:
+        return array("i", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _lowered(self, letters: str) -> bytes:
+        return array("i", [t.id for t in self.tokenize(letters if letters.isascii() else letters.translate(self.letters))]).tobytes()
+
+    def _new(self, piece: str) -> bytes:
+        if self.plain and LETTERS.fullmatch(piece):
+            low = piece.lower()
+            return self._lowered(piece) if low == piece else self[low]
+        if self.mark is not None and self.mark in piece and any(t in piece.lower() for t in self.added):
+            return self._whole(piece)
+        core = piece.rstrip(ENDS)
+        if len(core) < len(piece) and core and core[-1].isascii() and core[-1].isalnum():
+            return self[core] + self[piece[len(core) :]]
+        return self._whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            core, low = piece.rstrip(ENDS), piece.lower()
-            if any(t in low for t in self.added):
-                found = array("i", self._whole(piece)).tobytes()
-            elif len(core) < len(piece) and core and core[-1].isascii() and core[-1].isalnum():
-                found = self[core] + self[piece[len(core) :]]
-            elif self.plain and piece.isascii() and piece.isalpha():
-                found = self[low] if low != piece else array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
-            else:
-                found = array("i", self._whole(piece)).tobytes()
+            found = self._new(piece)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.older[""] = b""
@@ -89,9 +112,14 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FILE_SCHEMA rows in order within their partitions, partitions in order of id."""
+    """FILE_SCHEMA rows in order within their partitions, partitions in order of id.
+
+    There are as many partitions as the session asks for, or more where these would be too large. Ids that repeat stay
+    together. Arrow batches are bounded by bytes, so that no text shares one with too many others.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION)
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.withColumn("part", F.spark_partition_id())
 
