@@ -1,10 +1,10 @@
-"""Thin queries of the conversation trie."""
+"""Thin queries of the conversation trie and of hard negatives, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import trie
+from driftlens.llm import negatives, trie
 from driftlens.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(read(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 OP12_SQL = r"""
 WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce("text", '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL),
 bits AS (SELECT c, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ord(y) AS BIGINT))),
@@ -29,5 +33,15 @@ SELECT up.conv_id, CAST(up.k AS BIGINT) AS depth, p.conv_id AS parent_conv_id, u
 FROM up JOIN sums ON sums.top = up.pre LEFT JOIN nodes p ON up.k > 0 AND p.k = up.k - 1 AND p.pre = list_slice(up.pre, 1, up.k - 1)
 """
 
-QUERIES = {"op12_conversation_trie": op12_conversation_trie}
-SQL = {"op12_conversation_trie": OP12_SQL}
+OP13_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+pos AS (SELECT * FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+neg AS (SELECT pos.a AS anchor_id, pos.b AS positive_id, CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY s.s DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, pos.s AS positive_score, s.s AS negative_score
+  FROM pos JOIN s ON s.a = pos.a AND NOT s.same AND 30 * pos.s <= 100 * s.s AND 100 * s.s <= 90 * pos.s)
+SELECT * FROM neg WHERE rank <= 10
+"""
+
+QUERIES = {"op12_conversation_trie": op12_conversation_trie, "op13_hard_negatives": op13_hard_negatives}
+SQL = {"op12_conversation_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}
