@@ -1,13 +1,18 @@
-"""Thin queries of the conversation trie and of hard negatives, with their DuckDB SQL."""
+"""Thin queries of toxicity, the conversation trie and hard negatives, with DuckDB SQL where it can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.llm import negatives, trie
+from driftlens.llm import negatives, toxicity, trie
 from driftlens.llm.common import read
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(read(spark, sf_dir, "conversations"))
 
@@ -43,5 +48,5 @@ neg AS (SELECT pos.a AS anchor_id, pos.b AS positive_id, CAST(row_number() OVER
 SELECT * FROM neg WHERE rank <= 10
 """
 
-QUERIES = {"op12_conversation_trie": op12_conversation_trie, "op13_hard_negatives": op13_hard_negatives}
+QUERIES = {"op11_toxicity": op11_toxicity, "op12_conversation_trie": op12_conversation_trie, "op13_hard_negatives": op13_hard_negatives}
 SQL = {"op12_conversation_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}
