@@ -300,10 +300,7 @@ AND ((a.i1 < b.i2 AND b.i1 < a.i2) OR (a.i1 = a.i2 AND b.i1 <= a.i1 AND a.i1 <=
 def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = line_hunks(spark, sf_dir)
     later = h.withColumns({c: F.col(c) + 12 for c in ("i1", "i2", "j1", "j2")})
-    a, b = later.where("kind != 'real'").alias("a"), h.where("kind = 'real'").alias("b")
-    c = lambda x: F.col(x)
-    meets = linediff.touches(c("a.i1"), c("a.i2"), c("b.i1"), c("b.i2")) | linediff.touches(c("a.j1"), c("a.j2"), c("b.j1"), c("b.j2"))
-    return a.join(b, (c("a.rel") == c("b.rel")) & meets).select("a.rel", "a.i1", "a.i2", c("b.i1").alias("r1"), c("b.i2").alias("r2"))
+    return linediff.meeting(later.where("kind != 'real'"), h.where("kind = 'real'")).select("a.rel", "a.i1", "a.i2", F.col("b.i1").alias("r1"), F.col("b.i2").alias("r2"))
 
 
 PAGE_STATUS = "CASE page_id % 11 WHEN 0 THEN 'real-change' WHEN 1 THEN 'added' WHEN 2 THEN 'deleted' WHEN 3 THEN 'ignorable-only' WHEN 4 THEN 'comment-only' ELSE 'identical' END"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators import syntax
+from driftlens.operators import linediff, syntax
 from driftlens.plans.queries import read, trees
 
 QUERIES: dict = {}
@@ -43,3 +43,23 @@ def syntax_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".a2l")).alias("rel"), F.array_join(marked, "\n").alias("text"))
     comments = F.filter("spans", lambda s: s["kind"] == "comment")
     return syntax.lexed(files, 64).select("rel", "line", "state", F.aggregate(comments, F.lit(0), lambda n, s: n + s["hi"] - s["lo"]).alias("commented"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, source AS rel, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents),
+n AS (SELECT rel, doc_id, p, row_number() OVER (PARTITION BY rel ORDER BY doc_id, p) - 1 AS i, doc_id % 9 = 4 AND p % 4 = 1 AS edited, doc_id % 11 = 7 AND p = 0 AS gone FROM l),
+k AS (SELECT *, i - sum(CASE WHEN gone THEN 1 ELSE 0 END) OVER (PARTITION BY rel ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS j FROM n),
+c AS (SELECT rel, i, coalesce(j, i) AS j, gone, i - row_number() OVER (PARTITION BY rel ORDER BY i) AS run FROM k WHERE edited OR gone)
+SELECT rel, CAST(min(i) AS INT) AS i1, CAST(max(i) + 1 AS INT) AS i2, CAST(min(j) AS INT) AS j1, CAST(max(CASE WHEN gone THEN j ELSE j + 1 END) AS INT) AS j2 FROM c GROUP BY rel, run""")
+def long_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed ranges of a long file per source: all its documents' lines, some of which are edited and some gone."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("rel"), F.split("text", "\n", -1).alias("lines"))
+    starts = docs.select("doc_id", "rel", F.size("lines").alias("lines")).withColumn("start", F.coalesce(F.sum("lines").over(Window.partitionBy("rel").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("lines")
+    gone = F.when(F.col("doc_id") % 11 == 7, 1).otherwise(0)
+    fewer = F.coalesce(F.sum(gone).over(Window.partitionBy("rel").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = docs.join(starts.withColumn("fewer", fewer).drop("rel"), "doc_id").select("rel", "doc_id", "start", "fewer", gone.alias("gone"), F.posexplode("lines").alias("p", "x"))
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("p").cast("string"), F.lit(" "), "x")
+    old = rows.select("rel", (F.col("start") + F.col("p")).alias("no"), line.alias("line"))
+    edited = F.when((F.col("doc_id") % 9 == 4) & (F.col("p") % 4 == 1), F.concat(F.lit("edited "), line)).otherwise(line)
+    new = rows.where("gone = 0 or p > 0").select("rel", (F.col("start") + F.col("p") - F.col("fewer") - F.col("gone")).alias("no"), edited.alias("line"))
+    return linediff.long_changed(old, new)
