@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators import linediff, syntax
-from driftlens.plans.queries import read, trees
+from driftlens.operators import edits, linediff, syntax
+from driftlens.plans.queries import CODES, KEYWORD_LIST, codes, read, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -63,3 +63,48 @@ def long_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.when((F.col("doc_id") % 9 == 4) & (F.col("p") % 4 == 1), F.concat(F.lit("edited "), line)).otherwise(line)
     new = rows.where("gone = 0 or p > 0").select("rel", (F.col("start") + F.col("p") - F.col("fewer") - F.col("gone")).alias("no"), edited.alias("line"))
     return linediff.long_changed(old, new)
+
+
+@query(CODES + r"""SELECT o.rel, 'rtb_Sum_c' || (o.i % 9) AS old, 'rtb_Sum_c' || ((o.i + 1) % 9) AS new FROM side o JOIN side n ON o.rel = n.rel AND o.k = 0 AND n.k = 1 WHERE o.is_c""")
+def code_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renames that hold all over each C file of the code trees; access points that changed too are declared elsewhere."""
+    old, new = codes(spark, sf_dir)
+    both = old.where(F.col("rel").endswith(".c")).select("rel", F.col("text").alias("old_text")).join(new.select("rel", F.col("text").alias("new_text")), "rel").withColumn("rules", F.lit("c"))
+    return edits.renames(edits.aligned(both))
+
+
+#: Statements of a block, and the words of one: what is written, then what is read.
+BLOCK_STATEMENTS, STATEMENT_WORDS = 20, 3
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS w FROM documents),
+s AS (SELECT doc_id, k, list_slice(w, {STATEMENT_WORDS} * k + 1, {STATEMENT_WORDS} * k + {STATEMENT_WORDS}) AS w FROM (SELECT *, unnest(generate_series(0, len(w) // {STATEMENT_WORDS} - 1)) AS k FROM w)),
+b AS (SELECT doc_id, k // {BLOCK_STATEMENTS} AS b, list(w ORDER BY k) AS s FROM s GROUP BY 1, 2),
+p AS (SELECT *, list_filter(generate_series(1, len(s) // 2), lambda j: (j + b) % 3 = 0) AS swaps, list_filter(flatten(s), lambda x: x IN ({KEYWORD_LIST})) AS keys FROM b)
+SELECT doc_id || '/' || b AS rel, len(s) >= 2 AND len(swaps) > 0 AND len(list_distinct(s)) = len(s) AND len(list_filter(s, lambda x: x[1] IN ({KEYWORD_LIST}))) = 0
+  AND len(list_filter(swaps, lambda j: s[2 * j - 1][1] = s[2 * j][1] OR list_contains(list_filter(s[2 * j][2:], lambda x: NOT x IN ({KEYWORD_LIST})), s[2 * j - 1][1]) OR list_contains(list_filter(s[2 * j - 1][2:], lambda x: NOT x IN ({KEYWORD_LIST})), s[2 * j][1]))) = 0 AS proven FROM p""")
+def reorder_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether blocks of assignments made of all words of each document may have some neighbours swapped."""
+    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), F.lower)
+    n, size = F.floor(F.size("w") / STATEMENT_WORDS), BLOCK_STATEMENTS
+    line = lambda k: F.concat(F.get("w", k * STATEMENT_WORDS), F.lit(" = "), F.get("w", k * STATEMENT_WORDS + 1), F.lit(" + "), F.get("w", k * STATEMENT_WORDS + 2), F.lit(";"))
+    lines = F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), line)).otherwise(F.array().cast("array<string>"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", lines.alias("s")).where(F.size("s") > 0)
+    last = F.floor((F.size("s") - 1) / size).cast("int")
+    blocks = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("b"), F.slice("s", b * size + 1, F.lit(size)).alias("old")))).alias("x")).select("doc_id", "x.*")
+    other = lambda x, k: F.when((F.floor(k / 2) + 1 + F.col("b")) % 3 == 0, F.coalesce(F.get("old", k + F.when(k % 2 == 0, 1).otherwise(-1)), x)).otherwise(x)
+    return edits.reordered(blocks.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("b").cast("string")).alias("rel"), "old", F.transform("old", other).alias("new")))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), m AS (SELECT 'd' || doc_id || '.txt' AS rel, CAST(n AS INT) AS n FROM d WHERE doc_id % 4 = 1 AND n >= 8)
+SELECT rel, 0 AS i1, 3 AS i2, 0 AS j1, 0 AS j2, n - 2 AS moved_to, CAST(NULL AS INT) AS moved_from FROM m UNION ALL SELECT rel, n, n, n - 3, n, NULL, 1 FROM m""")
+def moved_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks that moved within files of numbered lines; in a quarter of them the first three lines go to the end."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.concat(k.cast("string"), F.lit(": "), x))
+    moves = (F.col("doc_id") % 4 == 1) & (F.size("old") >= 8)
+    changed = F.when(moves, F.concat(F.slice("old", F.lit(4), F.size("old")), F.slice("old", 1, 3))).when(F.col("doc_id") % 4 == 2, F.concat(F.array(F.lit("one more"), F.lit("and another")), "old")).otherwise(F.col("old"))
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), lines.alias("old"), "doc_id").withColumn("new", changed)
+    pairs = files.select("rel", F.lit("plain").alias("rules"), F.array_join("old", "\n").alias("old_text"), F.array_join("new", "\n").alias("new_text"))
+    return edits.moved_blocks(edits.aligned(pairs, real=True))
