@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from driftlens.functions import names, text
 from driftlens.operators.classify import MOVED_LINES, REORDER_LINES, swapped
+from driftlens.operators.linediff import hunks
+from driftlens.sources.stored import written
 
 
 def solid(lines: Column) -> Column:
@@ -58,10 +60,10 @@ def statements(blocks: DataFrame) -> DataFrame:
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("lines")) for s in ("old", "new")])
     rows = blocks.select("rel", F.explode(sides).alias("s")).select("rel", "s.side", F.posexplode("s.lines").alias("no", "line"))
     shape = rf"^\s*({text.IDENT})\s*=\s*([^=;][^;]*);\s*$"
-    value, written = F.regexp_extract("line", shape, 2), F.regexp_extract("line", shape, 1)
-    fits = F.col("line").rlike(shape) & ~written.isin(*text.KEYWORDS) & ~value.rlike(rf"{text.IDENT}\s*\(")
+    value, target = F.regexp_extract("line", shape, 2), F.regexp_extract("line", shape, 1)
+    fits = F.col("line").rlike(shape) & ~target.isin(*text.KEYWORDS) & ~value.rlike(rf"{text.IDENT}\s*\(")
     content = names.canonical_generated(F.regexp_replace(F.trim("line"), ";$", ""))
-    return rows.select("rel", "side", "no", F.when(fits, content).alias("content"), F.when(fits, written).alias("written"), F.when(fits, text.identifiers(value)).otherwise(F.array().cast("array<string>")).alias("read"))
+    return rows.select("rel", "side", "no", F.when(fits, content).alias("content"), F.when(fits, target).alias("written"), F.when(fits, text.identifiers(value)).otherwise(F.array().cast("array<string>")).alias("read"))
 
 
 def reordered(blocks: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def reordered(blocks: DataFrame) -> DataFrame:
     The normal form of a block: for each name, its writers in order and between them the set of its readers. Blocks that
     commute into one another have the same one, and forms meet as digests.
     """
-    rows = statements(blocks)
+    rows = written(statements(blocks), "statements")
     uses = F.concat(F.transform("read", lambda n: F.struct(n.alias("name"), F.lit(0).alias("writes"))), F.array(F.struct(F.col("written").alias("name"), F.lit(1).alias("writes"))))
     used = rows.where("content is not null").select("rel", "side", "no", "content", F.explode(uses).alias("u")).select("rel", "side", "no", "content", "u.*")
     turn = Window.partitionBy("rel", "side", "name").orderBy("no", "writes").rowsBetween(Window.unboundedPreceding, 0)
@@ -119,8 +121,6 @@ def moved_blocks(files: DataFrame) -> DataFrame:
 
 def aligned(pairs: DataFrame, real: bool = False) -> DataFrame:
     """rel, rules, old_lines, new_lines and ranges of pairs (rel, rules, old_text, new_text), by their shadows; real: without ranges of blank lines."""
-    from driftlens.operators.linediff import hunks
-
     shadows = pairs.select("rel", "rules", *[text.shadow(F.col(f"{s}_text"), F.col("rules")).alias(f"{s}_text") for s in ("old", "new")])
     found = hunks(shadows).select("rel", "rules", text.lines(F.col("old_text")).alias("old_lines"), text.lines(F.col("new_text")).alias("new_lines"), "ranges")
     holds = lambda r: (F.size(solid(cut(F.col("old_lines"), r["i1"], r["i2"]))) > 0) | (F.size(solid(cut(F.col("new_lines"), r["j1"], r["j2"]))) > 0)

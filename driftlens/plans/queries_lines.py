@@ -89,8 +89,8 @@ def reorder_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), F.lower)
     n, size = F.floor(F.size("w") / STATEMENT_WORDS), BLOCK_STATEMENTS
     line = lambda k: F.concat(F.get("w", k * STATEMENT_WORDS), F.lit(" = "), F.get("w", k * STATEMENT_WORDS + 1), F.lit(" + "), F.get("w", k * STATEMENT_WORDS + 2), F.lit(";"))
-    lines = F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), line)).otherwise(F.array().cast("array<string>"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).select("doc_id", lines.alias("s")).where(F.size("s") > 0)
+    docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= STATEMENT_WORDS)
+    docs = docs.select("doc_id", F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), line).alias("s"))
     last = F.floor((F.size("s") - 1) / size).cast("int")
     blocks = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda b: F.struct(b.alias("b"), F.slice("s", b * size + 1, F.lit(size)).alias("old")))).alias("x")).select("doc_id", "x.*")
     other = lambda x, k: F.when((F.floor(k / 2) + 1 + F.col("b")) % 3 == 0, F.coalesce(F.get("old", k + F.when(k % 2 == 0, 1).otherwise(-1)), x)).otherwise(x)
