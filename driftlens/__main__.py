@@ -61,7 +61,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         old, new = (trees.read_tree(spark, x) for x in (args.old, args.new))
         include = args.include + ([f"*{e}" for e, r in text.RULESETS.items() if r in ("arxml", "a2l")] if args.arxml_only else [])
         results = checkpointed(rollup.fold(compare.scan(old, new, include, args.exclude), tuple(args.fold)))
-        for r in sinks.summary_lines(results).orderBy("section", "ord").toLocalIterator():
+        texts = [t.where("list_error is null").select("rel", text.decode(F.col("content")).alias("text")) for t in (old, new)]
+        found = checkpointed(compare.tree_facts(results, *texts))
+        groups = checkpointed(rollup.model_groups(results.select("rel")))
+        advice = checkpointed(rollup.advisories(results.join(compare.parsed_files(results, *texts), "rel", "left"), groups, found))
+        for r in sinks.summary_lines(results, found, advice).orderBy("section", "ord").toLocalIterator():
             print(r["line"])
         code = rollup.exit_code(results, args.exit_zero).first()["exit_code"]
     except (OSError, trees.SourceError) as e:
@@ -69,11 +73,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 2
     if not any(outputs):
         return code
-    texts = [t.where("list_error is null").select("rel", text.decode(F.col("content")).alias("text")) for t in (old, new)]
-    found = checkpointed(compare.tree_facts(results, *texts))
-    groups = checkpointed(rollup.model_groups(results.select("rel")))
-    parsed = compare.parsed_files(results, *texts)
-    advice = checkpointed(rollup.advisories(results.join(parsed, "rel", "left"), groups, found))
     names = args.baseline_name or trees.label(args.old), args.current_name or trees.label(args.new)
 
     def report(path: str) -> None:

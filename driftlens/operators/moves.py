@@ -75,6 +75,7 @@ def find(added: DataFrame, deleted: DataFrame, guard: int | None = None) -> Data
     first = checkpointed(exact(added, deleted))
     rest_a = added.join(first.select(F.col("added_rel").alias("rel")), "rel", "left_anti")
     rest_d = deleted.join(first.select(F.col("deleted_rel").alias("rel")), "rel", "left_anti")
+    rest_a, rest_d = (t.where("not binary") if "binary" in t.columns else t for t in (rest_a, rest_d))
     if guard is None:
         return first.unionByName(clear_best(similarities(rest_a, rest_d)))
     skipped = rest_a.count() * rest_d.count() > guard

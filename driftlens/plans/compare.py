@@ -72,10 +72,10 @@ def scan_texts(old: DataFrame, new: DataFrame, include: list[str] = (), exclude:
 
 
 def scan(old: DataFrame, new: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
-    """Results of two trees (rel, content, list_error) of bytes: binaries by bytes, errors as rows, texts as above.
+    """Results of two trees (rel, content, list_error) of bytes: binaries by bytes, errors as rows, texts as above, and moved files linked.
 
     A file seen on one side alone is an error where its folder could not be listed on the other. Listing errors are
-    never filtered.
+    never filtered. Paths and digests of bytes meet; contents are read again only for what these leave undecided.
     """
     sides = []
     for tree, side in ((old, "BASELINE"), (new, "CURRENT")):
@@ -83,7 +83,11 @@ def scan(old: DataFrame, new: DataFrame, include: list[str] = (), exclude: list[
         failed = tree.where("list_error is not null").select("rel", F.concat(F.lit(f"folder listing failed on {side} side: "), "list_error").alias("note"))
         sides.append((files.select("rel", "content"), failed))
     (a, a_failed), (b, b_failed) = sides
-    both = a.withColumnRenamed("content", "old").withColumn("in_old", F.lit(True)).join(b.withColumnRenamed("content", "new").withColumn("in_new", F.lit(True)), "rel", "full_outer")
+
+    def slim(files: DataFrame, side: str) -> DataFrame:
+        return files.select("rel", F.sha2("content", 256).alias(f"{side}_sha"), text.looks_binary(F.col("content")).alias(f"{side}_binary"), F.lit(True).alias(f"in_{side}"))
+
+    both = checkpointed(slim(a, "old").join(slim(b, "new"), "rel", "full_outer"))
 
     def under(rows: DataFrame, failed: DataFrame) -> DataFrame:
         """Rows whose path or a folder above it is among the failed ones: looked up folder by folder."""
@@ -97,16 +101,32 @@ def scan(old: DataFrame, new: DataFrame, include: list[str] = (), exclude: list[
     errors = errors.unionByName(lost.select("rel", F.array(F.lit("not compared: the folder's listing failed on the other side")).alias("notes")).join(errors.select("rel"), "rel", "left_anti"))
     errors = errors.select("rel", F.lit("error").alias("status"), F.lit(False).alias("binary"), "notes", *empty)
     rest = both.join(errors.select("rel"), "rel", "left_anti")
-    binary = F.coalesce(text.looks_binary(F.col("old")), F.lit(False)) | F.coalesce(text.looks_binary(F.col("new")), F.lit(False))
-    rest = rest.withColumn("binary", F.col("in_old").isNotNull() & F.col("in_new").isNotNull() & (F.col("old") != F.col("new")) & binary)
+    blob = F.coalesce("old_binary", F.lit(False)) | F.coalesce("new_binary", F.lit(False))
+    rest = checkpointed(rest.withColumn("binary", F.coalesce(F.col("old_sha") != F.col("new_sha"), F.lit(False)) & blob))
     blobs = rest.where("binary").select("rel", F.lit("real-change").alias("status"), "binary", F.array(F.lit("binary")).alias("notes"), *empty)
-    same = rest.where("not binary and in_old and in_new and old = new").select("rel", F.lit("identical").alias("status"), "binary", F.array().cast("array<string>").alias("notes"), *empty)
-    texts = rest.where("not binary").where("in_old is null or in_new is null or old != new")
-    decoded = scan_texts(texts.where("in_old").select("rel", text.decode(F.col("old")).alias("text")), texts.where("in_new").select("rel", text.decode(F.col("new")).alias("text")))
+    same = rest.where("not binary and old_sha = new_sha").select("rel", F.lit("identical").alias("status"), "binary", F.array().cast("array<string>").alias("notes"), *empty)
+    texts = rest.where("not binary and not (old_sha <=> new_sha)")
+    decoded = scan_texts(*(t.join(texts.where(side).select("rel"), "rel", "left_semi").select("rel", text.decode(F.col("content")).alias("text")) for t, side in ((a, "in_old"), (b, "in_new"))))
     # Bytes that differ but decode alike differ in line ends or the mark alone.
     ends = F.col("status") == "identical"
     decoded = decoded.withColumn("notes", F.when(ends, F.array(F.lit("line-endings"))).otherwise(F.col("notes"))).withColumn("status", F.when(ends, "ignorable-only").otherwise(F.col("status")))
-    return errors.unionByName(blobs).unionByName(same).unionByName(decoded)
+    results = errors.unionByName(blobs).unionByName(same).unionByName(decoded)
+    return with_moves(results, *(t.select("rel", text.decode(F.col("content")).alias("text"), text.looks_binary(F.col("content")).alias("binary")) for t in (a, b)))
+
+
+def with_moves(results: DataFrame, old: DataFrame, new: DataFrame, guard: int | None = None) -> DataFrame:
+    """results with moved_from and moved_to (paths), move_status and move_similarity: added files and the deleted ones that they were.
+
+    Both keep their status. The added file's hunks and renames are those against the file that it was; move_status is what
+    the two would have come to under one path.
+    """
+    kept = checkpointed(results)
+    found = checkpointed(linked_moves(kept, old, new, guard))
+    none = F.lit(None)
+    there = found.select(F.col("added_rel").alias("rel"), F.col("deleted_rel").alias("moved_from"), none.cast("string").alias("moved_to"), "move_status", F.col("similarity").alias("move_similarity"), F.col("hunks").alias("_hunks"), F.col("renames").alias("_renames"))
+    gone = found.select(F.col("deleted_rel").alias("rel"), none.cast("string").alias("moved_from"), F.col("added_rel").alias("moved_to"), "move_status", F.col("similarity").alias("move_similarity"), none.cast(dict(found.dtypes)["hunks"]).alias("_hunks"), none.cast("map<string,string>").alias("_renames"))
+    both = kept.join(there.unionByName(gone), "rel", "left")
+    return both.withColumns({"hunks": F.coalesce("_hunks", "hunks"), "renames": F.coalesce("_renames", "renames")}).drop("_hunks", "_renames")
 
 
 def tree_facts(results: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -129,14 +149,14 @@ def parsed_files(results: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
 
 
 def linked_moves(results: DataFrame, old: DataFrame, new: DataFrame, guard: int | None = None) -> DataFrame:
-    """(added_rel, deleted_rel, similarity, move_status, hunks) of files that moved, compared across their paths.
+    """(added_rel, deleted_rel, similarity, move_status, hunks, renames) of files that moved, compared across their paths.
 
-    results (rel, status) and the pairs found are kept; texts are read for the pairs alone.
+    Files whose binary is true, if the trees have that column, meet by content alone. results (rel, status) and the pairs found are kept; texts are read for the pairs alone.
     """
     found = checkpointed(results.select("rel", "status"))
     pairs = checkpointed(moves.find(only_in(new, found, "added"), only_in(old, found, "deleted"), guard))
     olds, news = (t.withColumnRenamed("rel", c) for t, c in ((old, "deleted_rel"), (new, "added_rel")))
     olds = olds.join(pairs.select("deleted_rel", F.col("added_rel").alias("rel")), "deleted_rel").select("rel", "text")
     news = news.join(pairs.select("added_rel"), "added_rel", "left_semi").select(F.col("added_rel").alias("rel"), "text")
-    judged = scan_texts(olds, news).select(F.col("rel").alias("added_rel"), F.col("status").alias("move_status"), "hunks")
+    judged = scan_texts(olds, news).select(F.col("rel").alias("added_rel"), F.col("status").alias("move_status"), "hunks", "renames")
     return pairs.join(judged, "added_rel")

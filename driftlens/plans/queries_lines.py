@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.operators import edits, linediff, syntax
-from driftlens.plans.queries import CODES, KEYWORD_LIST, codes, read, trees
+from driftlens.plans import compare, sinks
+from driftlens.plans.queries import CODES, FACT_SQL, KEYWORD_LIST, SQL as OTHERS, code_facts, codes, read, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -108,3 +109,28 @@ def moved_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel"), lines.alias("old"), "doc_id").withColumn("new", changed)
     pairs = files.select("rel", F.lit("plain").alias("rules"), F.array_join("old", "\n").alias("old_text"), F.array_join("new", "\n").alias("new_text"))
     return edits.moved_blocks(edits.aligned(pairs, real=True))
+
+
+@query(CODES + FACT_SQL + r"""
+, l AS (SELECT CASE fact_type WHEN 'rte' THEN 5 ELSE 6 END AS section, CASE fact_type WHEN 'rte' THEN 'RTE access points' ELSE 'A2L objects' END AS title, change,
+  '  ' || change || ' ' || name || CASE WHEN fact_type = 'rte' THEN '' WHEN name LIKE 'K%' THEN ' (CHARACTERISTIC)' ELSE ' (MEASUREMENT)' END || ' in ' || rel AS line FROM f)
+SELECT section, line FROM l UNION ALL SELECT section, title || ': ' || count(*) FILTER (change = '+') || ' added, ' || count(*) FILTER (change = '-') || ' removed' FROM l GROUP BY section, title""")
+def terminal_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the terminal says of the facts that changed in the code trees."""
+    return sinks.fact_lines(code_facts(spark, sf_dir)).select("section", "line")
+
+
+MOVED = OTHERS["moves_found"].replace("\nSELECT * FROM ex UNION ALL", "\n, m AS (SELECT * FROM ex UNION ALL")
+
+
+@query(MOVED + r""")
+, j AS (SELECT m.*, o.ext, o.text = n.text AS same, n.text = o.text || chr(10) || '// tail' AS tailed FROM m JOIN u_old o ON o.rel = m.deleted_rel JOIN u_new n ON n.rel = m.added_rel),
+v AS (SELECT *, CASE WHEN same THEN 'identical' WHEN tailed AND ext IN ('c', 'h', 'a2l') THEN 'comment-only' WHEN tailed THEN 'real-change' ELSE 'other' END AS move_status, CAST(CASE WHEN same THEN 0 ELSE 1 END AS INT) AS n_hunks FROM j)
+SELECT added_rel AS rel, 'added' AS status, deleted_rel AS moved_from, NULL AS moved_to, move_status, round(similarity, 9) AS move_similarity, n_hunks FROM v
+UNION ALL SELECT deleted_rel, 'deleted', NULL, added_rel, move_status, round(similarity, 9), 0 FROM v""")
+def scan_with_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added and deleted files of the trees that are one file moved, each with where the other is and what they come to."""
+    old, new = trees(spark, sf_dir)
+    results = compare.statuses(old, new).where("status in ('added', 'deleted')").select("rel", "status", compare.no_renames().alias("renames"), compare.no_hunks().alias("hunks"))
+    found = compare.with_moves(results, old, new).where("move_status is not null")
+    return found.select("rel", "status", "moved_from", "moved_to", "move_status", F.round("move_similarity", 9).alias("move_similarity"), F.size("hunks").alias("n_hunks"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftlens import __version__
 from driftlens.functions.text import ruleset
 from driftlens.operators.rollup import STATUSES, exit_code, status_summary
+from driftlens.operators.scopes import move_said
 
 # Fixed values.
 LEVELS = {"error": "error", "real-change": "warning", "added": "warning", "deleted": "warning"}
@@ -41,10 +42,10 @@ def _is(kind: str):
     return lambda k: k == kind
 
 
-def findings(results: DataFrame) -> DataFrame:
-    """(rel, rule_id, level, message) of files that need action."""
+def findings(results: DataFrame, *more: str) -> DataFrame:
+    """(rel, rule_id, level, message), and more columns, of files that need action."""
     rows = results.where(F.col("status").isin(*LEVELS))
-    return rows.select("rel", F.col("status").alias("rule_id"), F.when(F.col("status") == "error", "error").otherwise("warning").alias("level"), message(F.col("status"), F.col("hunks"), F.col("binary"), F.col("notes")).alias("message"))
+    return rows.select("rel", F.col("status").alias("rule_id"), F.when(F.col("status") == "error", "error").otherwise("warning").alias("level"), message(F.col("status"), F.col("hunks"), F.col("binary"), F.col("notes")).alias("message"), *more)
 
 
 def sarif_results(results: DataFrame) -> DataFrame:
@@ -89,11 +90,43 @@ def write_json(results: DataFrame, path: str, baseline: str = "", current: str =
     _document(path, json.dumps(head, ensure_ascii=False)[:-1] + ', "files": [', file_entries(results), "entry", "]}\n")
 
 
-def summary_lines(results: DataFrame) -> DataFrame:
-    """(section, ord, line) of the terminal summary: counts, then files that need action."""
+# Of each kind of fact, the title of its section and what a line calls it.
+FACT_LINES = {
+    "iface": ("ARXML interfaces", ""), "swc": ("AUTOSAR behavior", "SWC "), "port": ("AUTOSAR behavior", "port "), "runnable": ("AUTOSAR behavior", "runnable "), "event": ("AUTOSAR behavior", "event "), "rte": ("RTE access points", ""), "a2l": ("A2L objects", ""),
+}
+
+
+def fact_lines(facts: DataFrame) -> DataFrame:
+    """(section, ord, line) of fact differences for the terminal: a count for each kind, and a line for each difference."""
+    titles = {t: 3 + k for k, t in enumerate(dict.fromkeys(t for t, _ in FACT_LINES.values()))}
+    lookup = lambda of: F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+    kind = F.col("fact_type")
+    inside = F.when(F.col("owner").isNotNull(), F.concat(F.substring_index("owner", "/", -1), F.lit("."))).otherwise("")
+    descr = F.coalesce("descr", "old_descr", F.lit(""))
+    shown = F.when(F.col("change") == "~", F.concat(F.lit(" ("), "old_descr", F.lit(" -> "), "descr", F.lit(")"))).when(kind == "swc", "").when(descr == "", "").otherwise(F.concat(F.lit(" ("), F.when(kind == "iface", F.regexp_replace(descr, "-INTERFACE$", "")).otherwise(descr), F.lit(")")))
+    title = lookup({k: t for k, (t, _) in FACT_LINES.items()})[kind]
+    line = F.concat(F.lit("  "), "change", F.lit(" "), lookup({k: n for k, (_, n) in FACT_LINES.items()})[kind], inside, "name", shown, F.lit(" in "), "rel")
+    order = F.concat_ws("\x01", F.translate("change", "+-~", "123"), "rel", "name")
+    rows = facts.where(kind.isin(*FACT_LINES)).select(title.alias("title"), lookup(titles)[title].alias("section"), "change", order.alias("ord"), line.alias("line"))
+    n = lambda x: F.sum(F.when(F.col("change") == x, 1).otherwise(0)).cast("string")
+    said = F.when(F.col("title") == "AUTOSAR behavior", F.concat(F.lit("AUTOSAR behavior: "), F.count("*").cast("string"), F.lit(" change(s)"))).otherwise(F.concat("title", F.lit(": "), n("+"), F.lit(" added, "), n("-"), F.lit(" removed")))
+    heads = rows.groupBy("section", "title").agg(said.alias("line")).select("section", F.lit("").alias("ord"), "line")
+    return heads.unionByName(rows.select("section", "ord", "line"))
+
+
+def summary_lines(results: DataFrame, facts: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
+    """(section, ord, line) of the terminal summary: counts, files that need action, moved files, facts, and advisories (model, message)."""
     counts = status_summary(results).select(F.posexplode(F.array(*[F.concat(F.lit(f"{s}: "), F.col(s.replace("-", "_")).cast("string")) for s in STATUSES])).alias("ord", "line"))
-    files = findings(results).select(F.lit(2).alias("section"), F.col("rel").alias("ord"), F.concat("rel", F.lit("  "), "message").alias("line"))
-    return counts.select(F.lit(1).alias("section"), F.format_string("%02d", "ord").alias("ord"), "line").unionByName(files)
+    moved = F.when(F.col("moved_from").isNotNull(), F.concat(F.lit(", "), move_said(F.col("moved_from"), F.lit(True), F.col("move_status"), F.col("move_similarity")))) if "moved_from" in results.columns else F.lit(None)
+    rest = [c for c in ("moved_from", "moved_to", "move_status", "move_similarity") if c in results.columns]
+    files = findings(results, *rest).select(F.lit(2).alias("section"), F.col("rel").alias("ord"), F.concat("rel", F.lit("  "), "message", F.coalesce(moved, F.lit(""))).alias("line"))
+    lines = counts.select(F.lit(1).alias("section"), F.format_string("%02d", "ord").alias("ord"), "line").unionByName(files)
+    lines = lines if facts is None else lines.unionByName(fact_lines(facts))
+    if advisories is None:
+        return lines
+    said = advisories.select(F.lit(9).alias("section"), F.concat_ws("\x01", "model", "message").alias("ord"), F.concat(F.lit("  !! "), "model", F.lit(": "), "message").alias("line"))
+    head = advisories.limit(1).select(F.lit(9).alias("section"), F.lit("").alias("ord"), F.lit("Consistency check:").alias("line"))
+    return lines.unionByName(head).unionByName(said)
 
 
 def write_html(results: DataFrame, rows: DataFrame, path: str, title: str = "Comparison", tops: dict[str, DataFrame] | None = None, notes: DataFrame | None = None) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from driftlens.functions import names, text
-from driftlens.operators import facts, layout, moves, review, rollup
+from driftlens.operators import classify, facts, layout, moves, review, rollup
 from driftlens.plans import compare, sinks
 from driftlens.plans.queries import QUERIES, SQL
 from driftlens.sources import trees
@@ -75,17 +75,47 @@ def test_scan_of_folders(spark, folders):
     old, new = (trees.read_tree(spark, str(folders / s)) for s in ("old", "new"))
     res = compare.scan(old, new).cache()
     assert {r["rel"]: r["status"] for r in res.collect()} == VERDICTS
+    moved = {r["rel"]: (r["moved_from"], r["moved_to"], r["move_status"], r["move_similarity"], len(r["hunks"])) for r in res.where("move_status is not null").collect()}
+    assert moved == {"a/moved_from.c": (None, "b/moved_to.c", "identical", 1.0, 0), "b/moved_to.c": ("a/moved_from.c", None, "identical", 1.0, 0)}
     assert {r["rel"] for r in compare.scan(old, new, ["*.c"], ["real*"]).collect()} == {k for k in VERDICTS if k.endswith(".c") and "real" not in k}
     assert rollup.exit_code(res).first()[0] == 1 and rollup.exit_code(res, exit_zero=True).first()[0] == 0
     folded = {r["rel"]: r["status"] for r in rollup.fold(res, ("comment-only", "ignorable-only", "added")).collect()}
     assert folded["src/note.c"] == "identical" and folded["src/new.py"] == "added"
     sinks.write_json(res, str(folders / "out.json"))
     sinks.write_sarif(res, str(folders / "out.sarif"))
-    assert json.loads((folders / "out.json").read_text())["summary"]["added"] == 2
+    doc = json.loads((folders / "out.json").read_text())
+    assert doc["summary"]["added"] == 2 and {f["path"]: f.get("moved_from") for f in doc["files"]}["b/moved_to.c"] == "a/moved_from.c"
     sarif = json.loads((folders / "out.sarif").read_text())
     assert [r["ruleId"] for r in sarif["runs"][0]["results"]].count("real-change") == 2
 
 
+def test_moved_and_edited_files_are_linked(spark):
+    """An edited file meets its origin, not a lesser likeness; two equal candidates meet nobody; binaries meet by content alone."""
+    body = [f"line {k} of a text" for k in range(20)]
+    t = lambda lines: "\n".join(lines).encode()
+    twice = [f"both {k}" for k in range(20)]
+    old = {"o/a.txt": t(body), "o/less.txt": t(body[:9] + ["x"] * 11), "o/t.txt": t(twice), "o/b.bin": b"\0" + t(body), "o/c.c": b"int a1; /* one */\nint b1;\n", "keep.c": b"1"}
+    new = {"n/a.txt": t([*body[:-1], "edited"]), "n/t1.txt": t(twice[:-1] + ["p"]), "n/t2.txt": t(twice[:-1] + ["q"]), "n/b.bin": b"\0" + t(body[:-1]), "n/c.c": b"int a1; /* two */\nint b1;\n", "n/c.h": b"int a1;\nint b1;\n", "keep.c": b"1"}
+    frames = [spark.createDataFrame([(k, None, v) for k, v in side.items()], "rel string, list_error string, content binary") for side in (old, new)]
+    rows = {r["rel"]: r for r in compare.scan(*frames).collect()}
+    links = {k: (r["moved_from"] or r["moved_to"], r["move_status"]) for k, r in rows.items() if r["move_status"]}
+    assert links == {"n/a.txt": ("o/a.txt", "real-change"), "o/a.txt": ("n/a.txt", "real-change"), "n/c.c": ("o/c.c", "comment-only"), "o/c.c": ("n/c.c", "comment-only")}
+    assert rows["n/a.txt"]["status"] == "added" and [h["kind"] for h in rows["n/a.txt"]["hunks"]] == ["real"] and rows["o/a.txt"]["hunks"] == []
+
+
+def test_terminal_lines_of_facts_and_advice(spark):
+    facts = spark.createDataFrame(
+        [("a.arxml", "iface", None, "/p/If", "+", None, "SENDER-RECEIVER-INTERFACE"), ("a.arxml", "event", "/p/Swc", "TE", "~", "0.01", "0.02"), ("a.arxml", "swc", None, "/p/New", "+", None, ""), ("a.c", "rte", None, "Rte_Read_a_b", "-", "", None)],
+        "rel string, fact_type string, owner string, name string, change string, old_descr string, descr string")
+    results = spark.createDataFrame([("a.c", "error", False, ["not read", "again"], [])], f"rel string, status string, binary boolean, notes array<string>, hunks array<{classify.HUNK}>")
+    advice = spark.createDataFrame([("M", "look")], "model string, message string")
+    said = [r["line"] for r in sinks.summary_lines(results, facts, advice).orderBy("section", "ord").collect()][7:]
+    assert said == [
+        "a.c  NOT compared -- treat as potentially changed: not read; again", "ARXML interfaces: 1 added, 0 removed", "  + /p/If (SENDER-RECEIVER) in a.arxml", "AUTOSAR behavior: 2 change(s)", "  + SWC /p/New in a.arxml",
+        "  ~ event Swc.TE (0.01 -> 0.02) in a.arxml", "RTE access points: 0 added, 1 removed", "  - Rte_Read_a_b in a.c", "Consistency check:", "  !! M: look",
+    ]
+
+
 def test_lost_folders_are_errors(spark):
     old = spark.createDataFrame([("d/a.c", None, b"1"), ("d", "denied", None)], "rel string, list_error string, content binary")
     new = spark.createDataFrame([("d/b.c", None, b"1"), ("e.c", None, b"2")], "rel string, list_error string, content binary")
@@ -203,7 +233,9 @@ def test_command_line(spark, folders, capsys):
 
     out = {k: str(folders / f"cli.{k}") for k in ("html", "json", "sarif", "arxml")}
     args = [str(folders / "old"), str(folders / "new"), "--report", out["html"], "--json", out["json"], "--sarif", out["sarif"], "--arxml-report", out["arxml"]]
-    assert main(args, spark) == 1 and "real-change: 2" in capsys.readouterr().out
+    assert main(args, spark) == 1
+    said = capsys.readouterr().out
+    assert "real-change: 2" in said and "b/moved_to.c  Added, moved from a/moved_from.c — content unchanged, 100% alike" in said
     assert "src/real.c" in open(out["html"]).read() and "ignorable-only: 1" in open(out["arxml"]).read()
     assert main([*args[:2], "--exit-zero", "--arxml-only"], spark) == 0
     assert main([str(folders / "none"), str(folders / "new")], spark) == 2
