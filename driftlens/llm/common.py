@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.sources.stored import checkpointed, looked_up, scratch, shared_dir, small, written
 
-__all__ = ["ascii_lower", "checkpointed", "looked_up", "read", "scratch", "shared_dir", "small", "space_words", "written"]
+__all__ = ["ascii_lower", "batches_of", "checkpointed", "looked_up", "read", "scratch", "shared_dir", "small", "space_words", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -25,3 +28,17 @@ def ascii_lower(text: Column) -> Column:
 def space_words(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
+    """Within it, jobs send Python workers batches of at most this size, which each side of the pipe holds in full."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
