@@ -3,12 +3,13 @@
 A page is cut into blocks of text. A naive Bayes classifier over a block's features (its tag and the names of its nearest
 named element, length, share of link text, last character) is trained on blocks in zones that pages mark themselves; its
 log odds, together with the zone's, become terminal capacities. Neighbouring blocks, and neighbours under one parent, are
-joined by smoothness edges, weaker between zones. The minimum cut separates content from boilerplate.
+joined by smoothness edges. The minimum cut separates content from boilerplate.
 
-A zone is boilerplate below an element whose tag or name says so, unless that element wraps the page: html and body do,
-and what holds a main element, the largest article, or most of the text of a page that marks no content outside of it.
-Other article and main elements are zones of content. The zone is one vote: with classifier and neighbours against it, it
-loses.
+What elements say of their text adds up below them, unless they wrap the page: html and body do, and what holds a main
+element, the largest article, or most of the text of a page that marks no content outside of it. Tags and names such as
+nav, footer or comments weigh more than classifier and neighbours together; names such as alert, search or share, which
+articles have too, weigh less than these, and less still as a part of a longer name, so that there the cut decides. Main
+and article elements speak for their text, where nothing of the first kind is around them.
 
 Null and empty pages have an empty text. Pages are labelled one by one: repeated rows, ties, null ids and extra columns
 do not matter; a column of the result's name gives way to it. Very long pages are labelled whole, in time proportional to
@@ -29,48 +30,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PAGES = 2000
-#: Weights of edges between neighbours and between neighbours under one parent, the share of an edge between zones; of a zone; the classifier's limit.
-NEAR, SIBLING, ACROSS, ZONE, LIMIT = 0.6, 0.8, 0.2, 4.0, 3.0
+#: Weights of edges between neighbours and between neighbours under one parent; the classifier's limit; of an article or main element.
+NEAR, SIBLING, LIMIT, CONTENT_WEIGHT = 0.6, 0.8, 3.0, 2.0
+#: Weights of elements that are boilerplate, that may be, and of those of which a part of a name says so.
+SURE, UNSURE, PARTLY = -5.0, -3.5, -1.0
 # Names of HTML and words that sites use for what is not the article.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = set("script style noscript template svg math iframe object canvas audio video head title".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NOT_CONTENT = set("nav footer aside form button select option textarea label fieldset menu dialog header".split())
+NOT_CONTENT = set("nav footer aside form button select option textarea label fieldset menu dialog".split())
 CONTENT = {"article", "main"}
 WORDS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices "
-    "pagination popup promo promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets contentinfo complementary search alert form".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer masthead menu modal nav navbar navigation newsletter pagination popup promo promotion "
+    "reply replies respond sidebar signup sponsor sponsored contentinfo".split()
 )
+MAYBE = set("alert banner complementary disclaimer form header notice notices related search share sharing social subscribe toolbar widget widgets".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[^a-z0-9]+")
 
 
 #: Of WORDS, those that name what readers wrote: an element so named is no wrapper for holding most of the text.
-READERS = {"comment", "comments", "reply", "replies", "respond"}
+READERS = {"comment", "comments", "discussion", "disqus", "reply", "replies", "respond"}
 
 
 class Node:
-    """An element: its place in the tree, the text below it, and what it says of that text."""
+    """An element: its place in the tree, the text below it, what it says of that text, and what all above it say too."""
 
-    __slots__ = ("article", "main", "parent", "size", "tag", "words", "zone")
+    __slots__ = ("article", "content", "main", "parent", "said", "size", "tag", "weight", "words")
 
-    def __init__(self, tag: str, parent: int, words: frozenset[str]):
-        self.tag, self.parent, self.words = tag, parent, words
-        self.size, self.main, self.article, self.zone = 0, tag == "main", tag == "article" and not words & WORDS, 0
+    def __init__(self, tag: str, parent: int, names: list[str]):
+        parts = [[w for w in PART.split(x) if w] for x in names]
+        self.tag, self.parent, self.words = tag, parent, frozenset(w for x in parts for w in x)
+        weights = [SURE if WORDS.intersection(x) else UNSURE if MAYBE.issuperset(x) else PARTLY if MAYBE.intersection(x) else 0.0 for x in parts if x]
+        self.said = min([0.0, *weights, SURE if tag in NOT_CONTENT else PARTLY if tag == "header" else 0.0])
+        self.size, self.weight, self.content = 0, 0.0, False
+        self.main, self.article = tag == "main", tag == "article" and self.said > SURE
 
 
 class Block:
-    __slots__ = ("features", "links", "parent", "text", "zone")
+    __slots__ = ("features", "links", "parent", "text", "weight", "zone")
 
     def __init__(self, text: str, links: int, parent: int):
-        self.text, self.links, self.parent = text, links, parent
+        self.text, self.links, self.parent, self.weight = text, links, parent, 0.0
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text, in order, each with its zone (-1, 0, 1) and features."""
     out: list[Block] = []
-    nodes = [Node("", -1, frozenset())]
+    nodes = [Node("", -1, [])]
     path: list[int] = [0]
     opened: Counter = Counter()
     held: list[str] = []
@@ -117,8 +125,8 @@ def blocks(page: str) -> list[Block]:
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             if nodes[path[-1]].tag == name and name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
                 close()
-            words = frozenset(w for x in NAMES.finditer(attributes) for w in PART.split((x[1] or x[2] or x[3] or "").lower()) if w)
-            nodes.append(Node(name, path[-1], words))
+            names = [w for x in NAMES.finditer(attributes) for w in (x[1] or x[2] or x[3] or "").lower().split()]
+            nodes.append(Node(name, path[-1], names))
             path.append(len(nodes) - 1)
             opened[name] += 1
     take(page[at:])
@@ -139,17 +147,19 @@ def _mark(nodes: list[Node], found: list[Block]) -> None:
         marked[nodes[k].parent] += marked[k]
     all_text, named = nodes[0].size, [frozenset()] * len(nodes)
     for k, n in enumerate(nodes[1:], 1):
-        above = nodes[n.parent].zone
-        off = n.tag in NOT_CONTENT and not (n.tag == "header" and above > 0) or bool(n.words & WORDS)
-        content = n.tag in CONTENT and not n.words & WORDS
+        above = nodes[n.parent]
         below = marked[k] - int(n.main or n is largest)
         wraps = n.tag in ("html", "body") or below > 0 or 2 * n.size > all_text and marked[k] == marked[0] and not n.words & READERS
-        n.zone = -1 if above < 0 or off and not wraps else 1 if content else above
-        named[k] = n.words if n.words and not (off and wraps) else named[n.parent]
+        said = 0.0 if wraps or n.tag == "header" and above.content and n.said == PARTLY else n.said
+        n.weight = max(2 * SURE, above.weight + said)
+        n.content = n.weight > SURE and (above.content or n.tag in CONTENT)
+        named[k] = n.words if n.words and not (said < 0 or n.said < 0 and wraps) else named[n.parent]
     for b in found:
-        size, b.zone = len(b.text), nodes[b.parent].zone
+        size, n = len(b.text), nodes[b.parent]
+        b.weight = n.weight + CONTENT_WEIGHT * n.content
+        b.zone = -1 if n.weight <= SURE else 1 if n.content and n.weight == 0 else 0
         end = b.text[-1] in ".!?:;…" or b.text[-1].isdigit()
-        b.features = [f"tag:{nodes[b.parent].tag}", f"size:{min(12, size.bit_length())}", f"links:{math.ceil(3 * b.links / size)}", f"end:{end}", *(f"name:{w}" for w in sorted(named[b.parent]))]
+        b.features = [f"tag:{n.tag}", f"size:{min(12, size.bit_length())}", f"links:{math.ceil(3 * b.links / size)}", f"end:{end}", *(f"name:{w}" for w in sorted(named[b.parent] - WORDS - MAYBE))]
 
 
 def min_cut(weights: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -218,22 +228,26 @@ def _by_flow(pull: list[float], around: list[dict[int, float]], left: list[int])
             cap[j][i] = cap[j].get(i, 0.0) + flow
 
 
-def main_text(page: str | None, odds: dict[str, float]) -> str:
-    found = blocks(page or "")
-    weights = [b.zone * ZONE + max(-LIMIT, min(LIMIT, sum(odds.get(f, 0.0) for f in b.features))) for b in found]
+def graph(found: list[Block], odds: dict[str, float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Weights of blocks, and edges between neighbours."""
+    weights = [b.weight + max(-LIMIT, min(LIMIT, sum(odds.get(f, 0.0) for f in b.features))) for b in found]
     edges, last = [], {}
     for i, b in enumerate(found):
-        for before, w in ((i - 1, NEAR), (last.get(b.parent, -1), SIBLING)):
-            if before >= 0:
-                edges.append((before, i, w if found[before].zone == b.zone else w * ACROSS))
+        edges += [(before, i, w) for before, w in ((i - 1, NEAR), (last.get(b.parent, -1), SIBLING)) if before >= 0]
         last[b.parent] = i
+    return weights, edges
+
+
+def main_text(page: str | None, odds: dict[str, float]) -> str:
+    found = blocks(page or "")
+    weights, edges = graph(found, odds)
     return "\n".join(b.text for b, keep in zip(found, min_cut(weights, edges), strict=True) if keep)
 
 
 def train(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Log odds of content for each feature, from the blocks in zones of about sample_pages pages."""
     n = max(1, pages.select(F.count("*")).first()[0])
-    few = pages.where(F.xxhash64(id_col, F.lit(9)).bitwiseAND(2**31 - 1) < int(min(1.0, sample_pages / n) * 2**31)).select(html_col)
+    few = pages.where(F.xxhash64(id_col, html_col, F.lit(9)).bitwiseAND(2**31 - 1) < int(min(1.0, sample_pages / n) * 2**31)).select(html_col)
     schema = pa.schema([("feature", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
