@@ -58,8 +58,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for path in outputs:  # no stale file may pass for this run's
             if os.path.exists(path):
                 os.remove(path)
-        old, new = (trees.read_tree(spark, x) for x in (args.old, args.new))
         include = args.include + ([f"*{e}" for e, r in text.RULESETS.items() if r in ("arxml", "a2l")] if args.arxml_only else [])
+        old, new = (trees.read_tree(spark, x, include, args.exclude) for x in (args.old, args.new))
         results = checkpointed(rollup.fold(compare.scan(old, new, include, args.exclude), tuple(args.fold)))
         texts = [t.where("list_error is null").select("rel", text.decode(F.col("content")).alias("text")) for t in (old, new)]
         found = checkpointed(compare.tree_facts(results, *texts))

@@ -1,23 +1,33 @@
 """File trees as frames (rel, content, list_error), and trees made from tables.
 
-The `tree` data source lists folders on the driver and reads files in tasks, FILES_PER_TASK at a time; it sees files whose
-names begin with a dot or an underscore, which Spark's own file sources pass over. Folders that can't be listed and files
-that can't be read become rows with list_error. Roots must be paths that all executors see.
+Folders are listed level by level in tasks, and files are read in tasks, FILES_PER_TASK at a time, after paths have been
+selected: what is not selected is never opened. The members of a zip archive are read from their offsets. Files whose names
+begin with a dot or an underscore, which Spark's own file sources pass over, are seen. Folders that can't be listed and
+files that can't be read become rows with list_error. Roots must be paths that all executors see.
+
+The `tree` data source is the same for spark.read.format("tree"), for folders of a size that one task can list; conditions
+on rel (=, in, starts with) reach it before files are opened, with its option push and spark.sql.python.filterPushdown.enabled.
 """
 
 from __future__ import annotations
 
+import bz2
 import json
+import lzma
 import os
 import subprocess
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
-from driftlens.functions.text import SKIPPED_DIRS
+from driftlens.functions.text import SKIPPED_DIRS, selected
+from driftlens.sources.stored import written
 
 FILES_PER_TASK = 200
 SCHEMA = "rel string, content binary, list_error string"
@@ -33,6 +43,11 @@ class Files(InputPartition):
 class TreeReader(DataSourceReader):
     def __init__(self, root: str):
         self.root = root
+        self.wanted: list[Filter] = []
+
+    def _is_wanted(self, rel: str) -> bool:
+        told = {EqualTo: lambda f: rel == f.value, In: lambda f: rel in f.value, StringStartsWith: lambda f: rel.startswith(f.value)}
+        return all(told[type(f)](f) for f in self.wanted)
 
     def partitions(self) -> list[Files]:
         files, failed = [], []
@@ -45,6 +60,7 @@ class TreeReader(DataSourceReader):
         for at, dirs, names in os.walk(self.root, onerror=lost):
             dirs[:] = sorted(d for d in dirs if d not in SKIPPED_DIRS)
             files += [os.path.relpath(os.path.join(at, n), self.root).replace(os.sep, "/") for n in sorted(names)]
+        files, failed = [x for x in files if self._is_wanted(x)], [x for x in failed if self._is_wanted(x[0])]
         parts = [Files(self.root, files[i : i + FILES_PER_TASK], []) for i in range(0, len(files), FILES_PER_TASK)]
         return parts + ([Files(self.root, [], failed)] if failed or not parts else [])
 
@@ -59,6 +75,16 @@ class TreeReader(DataSourceReader):
             yield rel, None, said
 
 
+class PushingReader(TreeReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  (Spark's name)
+        """Keeps what can be told from a path; Spark applies the rest."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In, StringStartsWith)) and f.attribute == ("rel",):
+                self.wanted.append(f)
+            else:
+                yield f
+
+
 class TreeSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -68,21 +94,74 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"])
+        kind = PushingReader if self.options.get("push", "").lower() == "true" else TreeReader
+        return kind(self.options["path"])
 
 
 class SourceError(Exception):
     """A zip archive or repository that can't be used."""
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """rel, kind (dir, file or error) and said (what went wrong) of all below a folder: a job for each level, a row for each folder to list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[str, str, str | None]] = []
+            for rel in b.column(0).to_pylist():
+                try:
+                    with os.scandir(os.path.join(root, rel)) as entries:
+                        for e in entries:
+                            below = f"{rel}/{e.name}" if rel else e.name
+                            if not _is_dir(e):
+                                out.append((below, "file", None))
+                            elif not e.is_symlink() and e.name not in SKIPPED_DIRS:
+                                out.append((below, "dir", None))
+                except OSError as e:
+                    out.append((rel or ".", "error", str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(3)], names=["rel", "kind", "said"])
+
+    now, levels = spark.createDataFrame([("",)], "rel string"), []
+    while n := now.count():
+        levels.append(written(now.repartition(min(n, spark.sparkContext.defaultParallelism)).mapInArrow(run, "rel string, kind string, said string"), "listing"))
+        now = levels[-1].where("kind = 'dir'").select("rel")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _is_dir(e: os.DirEntry) -> bool:
+    try:
+        return e.is_dir()
+    except OSError:
+        return False
+
+
+def read_folder(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """A folder's files, of which only selected ones are opened, and what could not be listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rel in b.column(0).to_pylist():
+                content, said = None, None
+                try:
+                    with open(os.path.join(root, rel), "rb") as f:
+                        content = f.read()
+                except OSError as e:
+                    said = str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([rel], pa.string()), pa.array([content], pa.binary()), pa.array([said], pa.string())], names=["rel", "content", "list_error"])
+
+    found = listed(spark, root)
+    files = found.where("kind = 'file'").where(selected(F.col("rel"), include, exclude)).select("rel")
+    read = files.repartition(max(1, files.count() // FILES_PER_TASK)).mapInArrow(run, SCHEMA)
+    return read.unionByName(found.where("kind = 'error'").select("rel", F.lit(None).cast("binary").alias("content"), F.col("said").alias("list_error")))
+
+
+def read_tree(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """A folder's or zip archive's files."""
     if os.path.isfile(root):
-        return read_zip(spark, root)
+        return read_zip(spark, root, include, exclude)
     if not os.path.isdir(root):
         raise SourceError(f"{root} is neither a folder nor a file")
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("tree").load(root)
+    return read_folder(spark, root, include, exclude)
 
 
 def _inside(member: zipfile.ZipInfo) -> bool:
@@ -92,29 +171,62 @@ def _inside(member: zipfile.ZipInfo) -> bool:
     return not (link or ".." in parts or member.filename.startswith(("/", "\\")) or ":" in parts[0])
 
 
-def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """A zip archive's files; members are read in tasks. A lone folder around everything is left out, as are members outside the archive."""
+def unpacked(f, offset: int, size: int, method: int, crc: int) -> bytes:
+    """A member's content, from the header before it on; f is the open archive."""
+    f.seek(offset)
+    head = f.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise SourceError(f"no member at offset {offset}")
+    f.seek(int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"), os.SEEK_CUR)
+    raw = f.read(size)
+    if method == zipfile.ZIP_LZMA:
+        lc, lp, pb = raw[4] % 9, raw[4] // 9 % 5, raw[4] // 45
+        raw = lzma.decompress(raw[9:], lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": int.from_bytes(raw[5:9], "little"), "lc": lc, "lp": lp, "pb": pb}])
+    elif method == zipfile.ZIP_DEFLATED:
+        raw = zlib.decompress(raw, -15)
+    elif method == zipfile.ZIP_BZIP2:
+        raw = bz2.decompress(raw)
+    elif method != zipfile.ZIP_STORED:
+        raise SourceError(f"compression {method} is not known")
+    if zlib.crc32(raw) != crc:
+        raise SourceError("its checksum is wrong")
+    return raw
+
+
+def read_zip(spark: SparkSession, path: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """A zip archive's files. A lone folder around everything is left out, as are members outside the archive.
+
+    The directory is read once, here; tasks open the archive once each and seek to their members, which are dealt in order
+    of offset. A member that can't be read is a row with list_error.
+    """
     if not zipfile.is_zipfile(path):
         raise SourceError(f"{path} is no zip archive")
     with zipfile.ZipFile(path) as z:
         members = [i for i in z.infolist() if not i.is_dir()]
     if not members:
         raise SourceError(f"{path} holds no files")
-    names = [i.filename for i in members if _inside(i) and not set(i.filename.split("/")[:-1]) & set(SKIPPED_DIRS)]
-    if not names:
+    members = [i for i in members if _inside(i) and not set(i.filename.split("/")[:-1]) & set(SKIPPED_DIRS)]
+    if not members:
         raise SourceError(f"{path} holds no files but such as lie outside of it")
-    heads = {n.split("/")[0] for n in names}
-    cut = len(next(iter(heads))) + 1 if len(heads) == 1 and all("/" in n for n in names) else 0
-
-    def run(batches):
-        import pandas as pd
+    heads = {i.filename.split("/")[0] for i in members}
+    cut = len(next(iter(heads))) + 1 if len(heads) == 1 and all("/" in i.filename for i in members) else 0
+    rows = [(i.filename[cut:], i.header_offset, i.compress_size, i.compress_type, i.CRC, i.flag_bits & 1) for i in members]
 
-        with zipfile.ZipFile(path) as z:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as f:
             for b in batches:
-                yield pd.DataFrame({"rel": [n[cut:] for n in b.name], "content": [z.read(n) for n in b.name], "list_error": None})
-
-    rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names) // FILES_PER_TASK))
-    return rows.mapInPandas(run, SCHEMA)
+                for rel, offset, size, method, crc, locked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    content, said = None, None
+                    try:
+                        if locked:
+                            raise SourceError("it is encrypted")
+                        content = unpacked(f, offset, size, method, crc)
+                    except (OSError, EOFError, SourceError, zlib.error, lzma.LZMAError) as e:
+                        said = f"{type(e).__name__}: {e}"
+                    yield pa.RecordBatch.from_arrays([pa.array([rel], pa.string()), pa.array([content], pa.binary()), pa.array([said], pa.string())], names=["rel", "content", "list_error"])
+
+    table = spark.createDataFrame(rows, "rel string, offset long, size long, method int, crc long, locked int").where(selected(F.col("rel"), include, exclude))
+    return table.repartitionByRange(max(1, len(rows) // FILES_PER_TASK), "offset").sortWithinPartitions("offset").mapInArrow(run, SCHEMA)
 
 
 def repo_root(path: str) -> str:
