@@ -6,13 +6,13 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
-from driftlens.operators import layout, review, rollup, scopes
+from driftlens.operators import review, rollup, scopes
 from driftlens.operators import report as reports
-from driftlens.plans import compare, sinks
+from driftlens.plans import compare, html_report, sinks
 from driftlens.sources import trees
 from driftlens.sources.stored import checkpointed
 
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("json", "sarif"):
         p.add_argument(f"--{name}", metavar="FILE")
     p.add_argument("--report", metavar="FILE", nargs="?", const=REPORT)
+    p.add_argument("--report-sections", metavar="FOLDER", help="the report as section files with an index, for reports too large for one file")
     p.add_argument("--arxml-report", metavar="FILE", nargs="?", const=ARXML_REPORT)
     p.add_argument("--include", action="append", default=[], metavar="GLOB")
     p.add_argument("--exclude", action="append", default=[], metavar="GLOB")
@@ -71,23 +72,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (OSError, trees.SourceError) as e:
         print(e, file=sys.stderr)
         return 2
-    if not any(outputs):
+    if not any((*outputs, args.report_sections)):
         return code
     names = args.baseline_name or trees.label(args.old), args.current_name or trees.label(args.new)
 
-    def report(path: str) -> None:
-        pairs = compare.texts_of(results.where(F.size("hunks") > 0), *texts).join(results.select("rel", "hunks"), "rel")
-        hunks = results.select("rel", F.posexplode("hunks").alias("hunk_idx", "h")).select("rel", "hunk_idx", "h.*")
-        tops = {"Overview": reports.overview(results, groups, found), "Advisories": advice, "Changes of the model": scopes.summary_rows(found).drop("key")}
+    def fragments() -> DataFrame:
+        tops = {"Advisories": advice, "Overview": reports.overview(results, groups, found), "Changes of the model": scopes.summary_rows(found).drop("key")}
         if args.review:
             entries = trees.review_entries(results.sparkSession, args.review)
-            tops["Review"] = review.tally(review.hunk_units(pairs), entries)
-        sinks.write_html(results, reports.shown_rows(layout.aligned_rows(pairs), reports.hunk_groups(hunks)), path, f"{names[0]} and {names[1]}", tops, reports.notes(found))
+            tops["Review"] = review.tally(review.hunk_units(html_report.pairs_of(results, *texts)), entries)
+        return html_report.fragments(results, *texts, title, tops, reports.notes(found))
 
+    title = f"{names[0]} and {names[1]}"
     outputs = (
         (args.json, lambda p: sinks.write_json(results, p, args.old, args.new, args.baseline_name, args.current_name, advice)),
         (args.sarif, lambda p: sinks.write_sarif(results, p)),
-        (args.report, report),
+        (args.report, lambda p: html_report.write_file(fragments(), p, title)),
+        (args.report_sections, lambda p: html_report.write_sections(fragments(), p, title)),
         (args.arxml_report, lambda p: sinks.write_arxml_report(results, scopes.summary_rows(found), p)),
     )
     for path, put in outputs:

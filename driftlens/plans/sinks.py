@@ -129,54 +129,6 @@ def summary_lines(results: DataFrame, facts: DataFrame | None = None, advisories
     return lines.unionByName(head).unionByName(said)
 
 
-def write_html(results: DataFrame, rows: DataFrame, path: str, title: str = "Comparison", tops: dict[str, DataFrame] | None = None, notes: DataFrame | None = None) -> None:
-    """A report: counts, tables on top by title, and a section for each file with shown rows (report.shown_rows) or a status to read.
-
-    A section that can't be made says so in its place. notes: rel, note.
-    """
-    esc = lambda x: html.escape("" if x is None else str(x))
-    sections = results.where(F.col("status").isin(*LEVELS) | (F.size("hunks") > 0)).select("rel", "status", "notes", F.lit(-1).alias("row_no"))
-    said = notes.groupBy("rel").agg(F.array_join(F.sort_array(F.collect_list("note")), "; ").alias("more")) if notes is not None else results.select("rel", F.lit(None).cast("string").alias("more")).limit(0)
-    heads = sections.join(said, "rel", "left").select("rel", "row_no", F.struct("status", F.array_join("notes", "; ").alias("notes"), "more").alias("head"))
-    code = rows.groupBy("rel", "row_no").agg(F.sort_array(F.collect_list(F.struct("sub", "grp", "what", "old_no", "old_txt", "new_no", "new_txt", "mode", "said"))).alias("cells"))
-    both = heads.withColumn("cells", F.lit(None).cast(dict(code.dtypes)["cells"])).unionByName(code.withColumn("head", F.lit(None).cast(dict(heads.dtypes)["head"])))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"<!DOCTYPE html><meta charset=utf-8><title>{esc(title)}</title><h1>{esc(title)}</h1><ul>")
-        for s, n in status_summary(results).first().asDict().items():
-            f.write(f"<li>{esc(s.replace('_', '-'))}: {n}</li>")
-        f.write("</ul>")
-        for name, table in (tops or {}).items():
-            f.write(f"<h2>{esc(name)}</h2><table><tr>" + "".join(f"<th>{esc(c)}" for c in table.columns) + "</tr>")
-            for r in table.orderBy(*table.columns).toLocalIterator():
-                f.write("<tr>" + "".join(f"<td>{esc(x)}" for x in r) + "</tr>\n")
-            f.write("</table>")
-        open_table, group = False, None
-        for r in both.orderBy("rel", "row_no").toLocalIterator():
-            if r["head"] is not None:
-                f.write(("</table>" if open_table else "") + _section(r["rel"], r["head"]) + "<table>")
-                open_table, group = True, None
-            for c in r["cells"] or ():
-                f.write(("<tr class=gap><td colspan=4></tr>" if group not in (None, c["grp"]) else "") + _line(c))
-                group = c["grp"]
-        f.write("</table>" if open_table else "")
-
-
-def _section(rel: str, head) -> str:
-    """A file's heading; what can't be said becomes an error in its place."""
-    try:
-        more = "".join(f"<p>{html.escape(x)}</p>" for x in (head["notes"], head["more"]) if x)
-        return f"<h2>{html.escape(rel)}</h2><p>{html.escape(head['status'])}</p>{more}"
-    except Exception as e:  # one file's trouble must not cost the report
-        return f"<h2>error</h2><p>section failed: {html.escape(type(e).__name__)}</p>"
-
-
-def _line(c) -> str:
-    esc = lambda x: html.escape("" if x is None else str(x))
-    if c["what"] != "code":
-        return f"<tr class={c['what']}><td colspan=4>{esc(c['said'])}</tr>\n"
-    return f"<tr class={c['mode']}><td>{esc(c['old_no'])}<td>{esc(c['old_txt'])}<td>{esc(c['new_no'])}<td>{esc(c['new_txt'])}</tr>\n"
-
-
 def write_arxml_report(results: DataFrame, summary: DataFrame, path: str) -> None:
     """Verdicts of XML and A2L files, and their fact differences (scopes.summary_rows) by section; written even if empty."""
     esc = lambda x: html.escape("" if x is None else str(x))
