@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftlens.operators import edits, linediff, syntax
+from driftlens.functions import text
+from driftlens.operators import classify, edits, layout, linediff, report, scopes, syntax
 from driftlens.plans import compare, sinks
-from driftlens.plans.queries import CODES, FACT_SQL, KEYWORD_LIST, SQL as OTHERS, code_facts, codes, read, trees
+from driftlens.plans.queries import CODES, EDITED, FACT_SQL, KEYWORD_LIST, SQL as OTHERS, TREES, code_facts, codes, edited, read, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -134,3 +135,37 @@ def scan_with_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = compare.statuses(old, new).where("status in ('added', 'deleted')").select("rel", "status", compare.no_renames().alias("renames"), compare.no_hunks().alias("hunks"))
     found = compare.with_moves(results, old, new).where("move_status is not null")
     return found.select("rel", "status", "moved_from", "moved_to", "move_status", F.round("move_similarity", 9).alias("move_similarity"), F.size("hunks").alias("n_hunks"))
+
+
+@query(EDITED + """SELECT rel, CAST(j AS INT) AS row_no, CASE WHEN edited THEN 'real' ELSE 'ctx' END AS mode FROM l WHERE lower(o) LIKE '%l1%' OR lower(n) LIKE '%l1%'""")
+def found_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of edited files that hold a text on either side, whatever its case; rows of noise are muted."""
+    rows = layout.aligned_rows(classify.classified(edited(spark, sf_dir), texts=True))
+    return layout.matches(layout.mute(rows, ("comment", "minor")), "L1").select("rel", "row_no", "mode")
+
+
+@query(EDITED + """SELECT rel, CAST(min(j) AS INT) AS row_no FROM l WHERE NOT edited GROUP BY rel""")
+def rows_with_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per edited file the first row that holds the file's own number as a word: changed rows before others."""
+    rows = layout.aligned_rows(classify.classified(edited(spark, sf_dir), texts=True))
+    own = rows.withColumns({c: F.regexp_replace(c, r"k\d+$", "here") for c in ("old_txt", "new_txt")}).withColumn("old_txt", F.when(F.col("mode") == "ctx", F.col("old_txt")))
+    return scopes.row_with(own, "here")
+
+
+@query("""
+WITH p AS (SELECT page_id, k, CASE (page_id + k) % 5 WHEN 0 THEN 'real' WHEN 1 THEN 'comment' WHEN 2 THEN 'whitespace' WHEN 3 THEN 'moved' ELSE 'rename' END AS kind FROM pages, (SELECT unnest(generate_series(0, 6)) AS k) s)
+SELECT 'p' || page_id AS rel, CAST(k AS INT) AS hunk_idx, kind, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS stop FROM p WHERE kind IN ('real', 'moved', 'comment')""")
+def noise_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hunks at which navigation stops while comments are shown, numbered in each file."""
+    kinds = F.array(*map(F.lit, ("real", "comment", "whitespace", "moved", "rename")))
+    k = F.posexplode(F.sequence(F.lit(0), F.lit(6))).alias("hunk_idx", "k")
+    hunks = read(spark, sf_dir, "pages").select("page_id", k).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("rel"), "hunk_idx", F.get(kinds, ((F.col("page_id") + F.col("k")) % 5).cast("int")).alias("kind"), (F.col("k") * 4).alias("i1"), (F.col("k") * 4).alias("j1"))
+    return report.noise_stops(hunks, ("comment",)).select("rel", "hunk_idx", "kind", "stop")
+
+
+@query(TREES + """SELECT rel, CAST(k AS INT) AS line_no, x AS txt FROM (SELECT rel, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM u_new WHERE rel NOT IN (SELECT rel FROM old)) WHERE k <= 400""")
+def one_sided_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that a report shows of files that are only in the newer tree."""
+    old, new = trees(spark, sf_dir)
+    added = new.join(old.select("rel"), "rel", "left_anti")
+    return layout.one_sided(added.select("rel", text.unix_lines(F.col("text")).alias("text")))
