@@ -114,13 +114,13 @@ def encoder(path: str) -> PieceEncoder:
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FILE_SCHEMA rows in order within their partitions, partitions in order of id.
 
-    There are as many partitions as the session asks for, or more where these would be too large. Ids that repeat stay
-    together. Arrow batches are bounded by bytes, so that no text shares one with too many others.
+    There are as many partitions as the session asks for, or more where these would be too large. Rows of one id, or of none,
+    are dealt to several by a hash of their text. Arrow batches are bounded by bytes, so that no text shares one with too many others.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION)
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("own", F.xxhash64("text")).repartitionByRange(n, "doc_id", "own").sortWithinPartitions("doc_id", "own")
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
