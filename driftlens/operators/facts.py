@@ -50,7 +50,7 @@ def xml_rows(text: str) -> list[tuple[str, str | None, str, str]]:
         e, packages, owner, inside = todo.pop()
         tag, name = _tag(e), _said(e, "SHORT-NAME")
         path = "/" + "/".join((*packages, name or ""))
-        if owner is not None and (fact := _component_fact(e)):
+        if owner and (fact := _component_fact(e)):
             if name:
                 out[fact[0], owner, name] = fact[1]
             continue
@@ -60,11 +60,9 @@ def xml_rows(text: str) -> list[tuple[str, str | None, str, str]]:
             # Its body defines no interfaces, but components are looked for everywhere.
             inside = True
         if tag in COMPONENTS and owner is None:
-            if not name:
-                owner, inside = None, inside
-            else:
+            owner = path if name else ""  # below a component without a name no other is looked for
+            if name:
                 out["swc", None, path] = ""
-                owner = path
         if tag == "AR-PACKAGE" and name:
             packages = (*packages, name)
         todo += [(c, packages, owner, inside) for c in reversed(e)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftlens.functions import text
 from driftlens.operators import classify, edits, layout, linediff, report, scopes, syntax
 from driftlens.plans import compare, sinks
-from driftlens.plans.queries import CODES, EDITED, FACT_SQL, KEYWORD_LIST, SQL as OTHERS, TREES, code_facts, codes, edited, read, trees
+from driftlens.plans.queries import C_STRIP, CODES, EDITED, FACT_SQL, KEYWORD_LIST, SQL as OTHERS, TREES, code_facts, codes, collapsed, edited, read, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -169,3 +169,35 @@ def one_sided_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = trees(spark, sf_dir)
     added = new.join(old.select("rel"), "rel", "left_anti")
     return layout.one_sided(added.select("rel", text.unix_lines(F.col("text")).alias("text")))
+
+
+@query(TREES + rf"SELECT replace(rel, '.c', '.cpp') AS rel, sha256({collapsed('s')}) AS sha FROM (SELECT rel, {C_STRIP} AS s FROM u_new WHERE ext = 'c')")
+def cpp_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of C files under the rules of C++."""
+    files = trees(spark, sf_dir)[1].where(F.col("rel").endswith(".c")).withColumn("rel", F.replace("rel", F.lit(".c"), F.lit(".cpp")))
+    return files.select("rel", F.sha2(text.shadow(text.unix_lines(F.col("text")), text.ruleset(F.col("rel"))), 256).alias("sha"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '["''#]', ' ', 'g'), chr(10)) AS l FROM documents),
+m AS (SELECT 'd' || doc_id || '.yaml' AS rel, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS k FROM d)
+SELECT rel, CAST(k AS INT) AS line, CASE k % 4 WHEN 0 THEN 'key: v' || k WHEN 1 THEN 'url: a#' || x WHEN 2 THEN 'say: " # ' || x || '"' ELSE 'n: ''#''' || x END AS kept FROM m""")
+def yaml_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of YAML files without comments: a number sign after white space opens one, but in quotes or after a letter it does not."""
+    lines = F.split(F.regexp_replace("text", "[\"'#]", " "), "\n", -1)
+
+    def mark(x, k):
+        own = F.concat(F.lit("key: v"), k.cast("string"), F.lit(" # "), x)
+        return F.when(k % 4 == 0, own).when(k % 4 == 1, F.concat(F.lit("url: a#"), x)).when(k % 4 == 2, F.concat(F.lit('say: " # '), x, F.lit('"'))).otherwise(F.concat(F.lit("n: '#'"), x))
+
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".yaml")).alias("rel"), F.array_join(F.transform(lines, mark), "\n").alias("text"))
+    rows = files.select("rel", F.posexplode(F.split(text.strip_comments(F.col("text"), "yaml"), "\n", -1)).alias("line", "kept"))
+    return rows.select("rel", "line", F.when(F.col("line") % 4 == 0, F.rtrim("kept")).otherwise(F.col("kept")).alias("kept"))
+
+
+@query(r"SELECT page_id, sha256(replace(html, '<p>', repeat(' ', 19 + length('' || page_id)) || chr(10) || repeat(' ', 13) || '<p>')) AS sha FROM pages")
+def admin_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with administrative data before each paragraph, which is blanked line by line."""
+    mark = F.concat(F.lit("<ADMIN-DATA><X>"), F.col("page_id").cast("string"), F.lit("</X>\n</ADMIN-DATA>"))
+    marked = F.replace("html", F.lit("<p>"), F.concat(mark, F.lit("<p>")))
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_xml(marked, "admin-data"), 256).alias("sha"))

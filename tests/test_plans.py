@@ -247,3 +247,12 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT line_hunks('a\nb', 'a\nc') AS h, generated_root('rtb_A_c') AS r, is_identifier('while') AS i").first()
     assert (row.h[0].i1, row.h[0].i2, row.r, row.i) == (1, 2, "rtb_A", False)
+
+
+def test_nothing_is_looked_for_below_a_component_without_a_name():
+    swc = lambda name, inner: f"<APPLICATION-SW-COMPONENT-TYPE>{name}{inner}</APPLICATION-SW-COMPONENT-TYPE>"
+    port = "<PORTS><P-PORT-PROTOTYPE><SHORT-NAME>Out</SHORT-NAME></P-PORT-PROTOTYPE></PORTS>"
+    iface = "<SENDER-RECEIVER-INTERFACE><SHORT-NAME>If</SHORT-NAME></SENDER-RECEIVER-INTERFACE>"
+    named = swc("<SHORT-NAME>In</SHORT-NAME>", port)
+    assert {r[:3] for r in facts.xml_rows(f"<A>{swc('', port + named + iface)}</A>")} == {("iface", None, "/If")}
+    assert {r[:3] for r in facts.xml_rows(f"<A>{swc('', '')}{named}</A>")} == {("swc", None, "/In"), ("port", "/In", "Out")}
