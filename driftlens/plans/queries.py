@@ -573,20 +573,24 @@ def char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rel", "line", scopes.char_span(F.col("z.a"), F.col("z.b")).alias("s")).select("rel", "line", "s.*")
 
 
-@query(r"""
-WITH d AS (SELECT doc_id AS i, doc_id % 2 = 0 AS is_c, len(string_split(regexp_replace(text, '[{}();"\'/]', ' ', 'g'), chr(10))) AS n FROM documents)
-SELECT 'd' || i || '.c' AS rel, 'f' || i AS label, CAST(n + 5 AS BIGINT) AS lines FROM d WHERE is_c UNION ALL SELECT 'd' || i || '.c', 's' || i, 3 FROM d WHERE is_c UNION ALL SELECT 'd' || i || '.c', NULL, 3 FROM d WHERE is_c
-UNION ALL SELECT 'd' || i || '.a2l', 'K' || i, n + 2 FROM d WHERE NOT is_c UNION ALL SELECT 'd' || i || '.a2l', 'M' || i, 2 FROM d WHERE NOT is_c UNION ALL SELECT 'd' || i || '.a2l', NULL, 1 FROM d WHERE NOT is_c""".replace("\\'", "''"))
-def scope_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines per scope of C and A2L files made from documents: a function or block around each text."""
+def scoped_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C and A2L files made from documents: a function or block around each text."""
     i = F.col("doc_id").cast("string")
     docs = read(spark, sf_dir, "documents")
     body = F.regexp_replace("text", "[{}();\"'/]", " ")
     c = F.concat(F.lit("#include <a.h>\nint v;\nvoid f"), i, F.lit("(void)\n{\n  if (v) {\n"), body, F.lit("\n  }\n}\nstruct s"), i, F.lit(" {\n  int x;\n};\n"))
     a = F.concat(F.lit("/begin MODULE M"), i, F.lit("\n/begin CHARACTERISTIC K"), i, F.lit(' "/begin no"\n'), body, F.lit("\n/end CHARACTERISTIC\n/end MODULE\n"))
     is_c = F.col("doc_id") % 2 == 0
-    files = docs.select(F.concat(F.lit("d"), i, F.when(is_c, ".c").otherwise(".a2l")).alias("rel"), F.when(is_c, c).otherwise(a).alias("text"))
-    return scopes.scope_labels(files).select("rel", F.explode("labels").alias("label")).groupBy("rel", "label").agg(F.count("*").alias("lines"))
+    return docs.select(F.concat(F.lit("d"), i, F.when(is_c, ".c").otherwise(".a2l")).alias("rel"), F.when(is_c, c).otherwise(a).alias("text"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id AS i, doc_id % 2 = 0 AS is_c, len(string_split(regexp_replace(text, '[{}();"\'/]', ' ', 'g'), chr(10))) AS n FROM documents)
+SELECT 'd' || i || '.c' AS rel, 'f' || i AS label, CAST(n + 5 AS BIGINT) AS lines FROM d WHERE is_c UNION ALL SELECT 'd' || i || '.c', 's' || i, 3 FROM d WHERE is_c UNION ALL SELECT 'd' || i || '.c', NULL, 3 FROM d WHERE is_c
+UNION ALL SELECT 'd' || i || '.a2l', 'K' || i, n + 2 FROM d WHERE NOT is_c UNION ALL SELECT 'd' || i || '.a2l', 'M' || i, 2 FROM d WHERE NOT is_c UNION ALL SELECT 'd' || i || '.a2l', NULL, 1 FROM d WHERE NOT is_c""".replace("\\'", "''"))
+def scope_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per scope of scoped_files()."""
+    return scopes.scope_labels(scoped_files(spark, sf_dir)).select("rel", F.explode("labels").alias("label")).groupBy("rel", "label").agg(F.count("*").alias("lines"))
 
 
 @query(CODES + FACT_SQL + "SELECT CASE fact_type WHEN 'rte' THEN 'RTE access points' ELSE 'A2L variables' END AS section, CASE change WHEN '-' THEN '−' ELSE change END AS sign, name, CASE WHEN fact_type = 'rte' THEN '' WHEN name LIKE 'K%' THEN 'CHARACTERISTIC' ELSE 'MEASUREMENT' END AS detail, rel, name AS key FROM f")

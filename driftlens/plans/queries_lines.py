@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.functions import text
-from driftlens.operators import classify, edits, layout, linediff, report, scopes, syntax
+from driftlens.operators import brackets, classify, edits, layout, linediff, report, scopes, syntax
 from driftlens.plans import compare, sinks
-from driftlens.plans.queries import C_STRIP, CODES, EDITED, FACT_SQL, KEYWORD_LIST, SQL as OTHERS, TREES, code_facts, codes, collapsed, edited, read, trees
+from driftlens.plans.queries import C_STRIP, CODES, EDITED, FACT_SQL, KEYWORD_LIST, SQL as OTHERS, TREES, code_facts, codes, collapsed, edited, read, scoped_files, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -201,3 +201,9 @@ def admin_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.concat(F.lit("<ADMIN-DATA><X>"), F.col("page_id").cast("string"), F.lit("</X>\n</ADMIN-DATA>"))
     marked = F.replace("html", F.lit("<p>"), F.concat(mark, F.lit("<p>")))
     return read(spark, sf_dir, "pages").select("page_id", F.sha2(text.strip_xml(marked, "admin-data"), 256).alias("sha"))
+
+
+@query(OTHERS["scope_labels"])
+def scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per scope of the same files as scope_labels, by matching brackets."""
+    return brackets.label_rows(scoped_files(spark, sf_dir)).groupBy("rel", "label").agg(F.count("*").alias("lines"))
