@@ -207,3 +207,21 @@ def admin_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines per scope of the same files as scope_labels, by matching brackets."""
     return brackets.label_rows(scoped_files(spark, sf_dir)).groupBy("rel", "label").agg(F.count("*").alias("lines"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id AS i, doc_id % 3 AS m, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT 'd' || i || '.py' AS rel, 'C' || i AS label, 1 AS lines FROM d WHERE m = 0 UNION ALL SELECT 'd' || i || '.py', 'C' || i || ' / m' || i, n + 1 FROM d WHERE m = 0
+UNION ALL SELECT 'd' || i || '.arxml', 'P' || i, 3 FROM d WHERE m = 1 UNION ALL SELECT 'd' || i || '.arxml', 'P' || i || ' / Q' || i, n + 3 FROM d WHERE m = 1
+UNION ALL SELECT 'd' || i || '.cpp', 'N' || i, 2 FROM d WHERE m = 2 UNION ALL SELECT 'd' || i || '.cpp', 'N' || i || ' / K' || i, 2 FROM d WHERE m = 2
+UNION ALL SELECT 'd' || i || '.cpp', 'K' || i || ' / f' || i, n + 2 FROM d WHERE m = 2 UNION ALL SELECT 'd' || i || '.cpp', NULL, 1 FROM d WHERE m = 2""")
+def nested_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per scope of Python, XML and C++ files made from documents: two or three scopes around each text, named with the one around."""
+    i = F.col("doc_id").cast("string")
+    body = F.regexp_replace("text", "[{}();\"'/<>#=]", " ")
+    py = F.concat(F.lit("class C"), i, F.lit(":\n  def m"), i, F.lit("(self):\n"), F.array_join(F.transform(F.split(body, "\n", -1), lambda x: F.concat(F.lit("    "), x)), "\n"))
+    xml = F.concat(F.lit("<A>\n<SHORT-NAME>P"), i, F.lit("</SHORT-NAME>\n<B>\n<SHORT-NAME>Q"), i, F.lit("</SHORT-NAME>\n<DESC>"), body, F.lit("</DESC>\n</B>\n</A>"))
+    cpp = F.concat(F.lit("namespace N"), i, F.lit(" {\nclass K"), i, F.lit(" {\nvoid f"), i, F.lit("(int a) {\n"), body, F.lit("\n}\n};\n}\n"))
+    m = F.col("doc_id") % 3
+    files = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), i, F.when(m == 0, ".py").when(m == 1, ".arxml").otherwise(".cpp")).alias("rel"), F.when(m == 0, py).when(m == 1, xml).otherwise(cpp).alias("text"))
+    return scopes.scope_labels(files).select("rel", F.explode("labels").alias("label")).groupBy("rel", "label").agg(F.count("*").alias("lines"))
