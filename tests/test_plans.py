@@ -13,10 +13,12 @@ import __spark_entry__
 from driftlens.functions import names, text
 from driftlens.operators import classify, facts, layout, moves, review, rollup
 from driftlens.plans import compare, sinks
-from driftlens.plans.queries import QUERIES, SQL
+from driftlens.plans import queries, queries_lines
 from driftlens.sources import trees
 from driftlens.streaming.rescan import rescan
 
+QUERIES, SQL = queries.QUERIES | queries_lines.QUERIES, queries.SQL | queries_lines.SQL
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
