@@ -134,7 +134,7 @@ def test_command_line_with_review_and_names(spark, tmp_path, capsys):
     args = [str(tmp_path / "old"), str(tmp_path / "new"), "--report", str(html), "--json", str(doc), "--review", str(review_file), "--baseline-name", "Before", "--current-name", "After"]
     assert main(args, spark) == 1
     said = html.read_text()
-    assert all(x in said for x in ("Before and After", "<h2>Review</h2>", "<h2>Overview</h2>", "<h2>m.c</h2>", "int a = 2;"))
+    assert all(x in said for x in ("Before and After", "<h2>Review</h2>", "<h2>Overview</h2>", "<h2>m.c</h2>", "int a = <b>2</b>;"))
     found = json.loads(doc.read_text())
     assert (found["baseline_label"], found["current_label"], found["consistency"]) == ("Before", "After", [])
     assert main([*args[:2], "--json", str(tmp_path / "no" / "x.json")], spark) == 2
