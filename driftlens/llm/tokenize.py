@@ -1,7 +1,7 @@
 """Token-ID output: Parquet list columns in document order, with dictionary or delta encoding, row groups and page indexes.
 
 Texts are encoded in Arrow batches, on partitions ranged and sorted by id. Each file row holds the document's id, its
-partition, the ids of the partition before it, and its token ids as a list<int>. Parquet's page indexes and row groups
+partition, the ids of the partition before it, their number, and its token ids as a list<int>. Parquet's page indexes and row groups
 of bounded size let a reader fetch the tokens or the metadata of a few documents alone.
 
 Texts are cut at space, tab, line feed and carriage return, where no token of this kind of vocabulary reaches across,
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_SCHEMA = "doc_id long, part int, before long, ids array<int>"
+FILE_SCHEMA = "doc_id long, part int, before long, n_ids int, ids array<int>"
 #: Bytes of a row group and of a page, and how many pieces an encoder remembers.
 ROW_GROUP, PAGE, REMEMBERED = 16 << 20, 256 << 10, 400_000
 
@@ -73,7 +73,7 @@ class PieceEncoder(dict):
         return array("i", [t.id for t in self.tokenize(letters if letters.isascii() else letters.translate(self.letters))]).tobytes()
 
     def _new(self, piece: str) -> bytes:
-        if self.plain and LETTERS.fullmatch(piece):
+        if self.plain and (piece.isalpha() if piece.isascii() else LETTERS.fullmatch(piece)):
             low = piece.lower()
             return self._lowered(piece) if low == piece else self[low]
         if self.mark is not None and self.mark in piece and any(t in piece.lower() for t in self.added):
@@ -118,9 +118,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
     are dealt to several by a hash of their text. Arrow batches are bounded by bytes, so that no text shares one with too many others.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION)
-    rows = rows.withColumn("own", F.xxhash64("text")).repartitionByRange(n, "doc_id", "own").sortWithinPartitions("doc_id", "own")
+    by_id = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("n"))
+    size, most = by_id.agg(F.sum("size"), F.max("n")).first()
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size or 0) // PARTITION)
+    # Where ids are unique, ranges are found without a look at the texts.
+    order = ["doc_id"] if (most or 0) < 2 else ["doc_id", "own"]
+    rows = (rows.withColumn("own", F.xxhash64("text")) if "own" in order else rows).repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
             before += int(ends[-1]) if len(ends) else 0
             offsets = np.concatenate([[0], ends]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts), ids], names=["doc_id", "part", "before", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts), pa.array(np.diff(offsets)), ids], names=["doc_id", "part", "before", "n_ids", "ids"])
 
     return rows.select("doc_id", "text", "part").mapInArrow(run, FILE_SCHEMA)
 
@@ -169,7 +172,7 @@ def digests(tokens: DataFrame) -> DataFrame:
     rows = tokens.select("doc_id", "part", "before", "ids").mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
     # One row per partition, however many documents; its sum runs on the driver.
     totals, base = [], 0
-    for r in tokens.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).orderBy("part").collect():
+    for r in tokens.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
         totals.append((r["part"], base))
         base += r["n"]
     bases = tokens.sparkSession.createDataFrame(totals, "part int, base long")
