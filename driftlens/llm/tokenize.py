@@ -4,8 +4,8 @@ Texts are encoded in Arrow batches, on partitions ranged and sorted by id. Each
 partition, the ids of the partition before it, their number, and its token ids as a list<int>. Parquet's page indexes and row groups
 of bounded size let a reader fetch the tokens or the metadata of a few documents alone.
 
-Texts are cut at space, tab, line feed and carriage return, where no token of this kind of vocabulary reaches across,
-and a piece that comes again is looked up; the ids equal those of whole texts.
+Texts are cut at space, tab, line feed and carriage return, where no token of this kind of vocabulary reaches across. Of a
+batch, each distinct piece is looked up once, and encoded if it is new; the ids equal those of whole texts.
 
 Null and empty texts have the end id alone. Rows with equal ids are kept, in order of a hash of their texts; null ids come
 first. Very long texts are encoded whole. Extra columns are ignored, whatever their names. An empty table writes no rows.
@@ -13,25 +13,31 @@ first. Very long texts are encoded whole. Extra columns are ignored, whatever th
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE_SCHEMA = "doc_id long, part int, before long, n_ids int, ids array<int>"
-#: Bytes of a row group and of a page, and how many pieces an encoder remembers.
-ROW_GROUP, PAGE, REMEMBERED = 16 << 20, 256 << 10, 400_000
+#: Bytes of a row group and of a page, and how many units of text an encoder remembers.
+ROW_GROUP, PAGE, REMEMBERED = 16 << 20, 256 << 10, 500_000
+
+#: Bytes of text that are cut into pieces at once, or remembered.
+TEXTS = 24 << 20
 
 #: Bytes of text of a partition, and so of a file, on average.
 PARTITION = 256 << 20
 
 ENDS = ".,!?;:|*#$%&()<>\""
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+LETTERS = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
+#: Tab, line feed and carriage return to a space.
+SPACED = bytes.maketrans(b"\t\n\r", b"   ")
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,13 +50,13 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(stands[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
-class PieceEncoder(dict):
-    """Pieces of text to their token ids, as bytes; what is new is encoded by the tokenizer.
+class PieceEncoder:
+    """Columns of texts to lists of token ids. Distinct pieces of a column are looked up in Arrow; what is new is encoded once.
 
-    Only plain Latin letters go to its model directly: for them lower-casing, and bytes for letters, is all that comes
-    before, as is seen on a few words. ASCII marks at the end of a piece are never joined to a letter or digit, and so are
-    looked up apart, unless the piece holds an added token (in any case, as some are matched after lower-casing): such a piece
-    is encoded whole. When full, the pieces not used since it was last full are forgotten.
+    Plain Latin letters, with ASCII marks behind them or not, are two units, letters and marks, that go to the tokenizer's model
+    directly: for them lower-casing and bytes for letters is all that comes before, and marks are never joined to letters, as is
+    seen on a few words. Other pieces, and those that hold an added token (in any case, as some are matched after lower-casing),
+    are encoded whole. When too many units, or too long ones, are remembered, those that the last column did not have are forgotten.
     """
 
     def __init__(self, path: str):
@@ -63,39 +69,84 @@ class PieceEncoder(dict):
         self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         # A mark that all added tokens have, if there is one, tells most pieces without any.
         self.mark = next((c for c in sorted(set(self.added[0])) if not c.isalnum() and all(c in t for t in self.added)), "") if self.added else None
-        self.older: dict[str, bytes] = {"": b""}
-        self.plain = all(self._lowered(w.lower()) == self._whole(w) for w in ("The", "q", "ZYXWVUTSRQPONMLKJIHGFEDCBA", "Für", "ÉTÉ", "ñandú", "ÀÖØöøßÿ", "straße"))
-
-    def _whole(self, piece: str) -> bytes:
-        return array("i", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-
-    def _lowered(self, letters: str) -> bytes:
-        return array("i", [t.id for t in self.tokenize(letters if letters.isascii() else letters.translate(self.letters))]).tobytes()
-
-    def _new(self, piece: str) -> bytes:
-        if self.plain and (piece.isalpha() if piece.isascii() else LETTERS.fullmatch(piece)):
-            low = piece.lower()
-            return self._lowered(piece) if low == piece else self[low]
-        if self.mark is not None and self.mark in piece and any(t in piece.lower() for t in self.added):
-            return self._whole(piece)
-        core = piece.rstrip(ENDS)
-        if len(core) < len(piece) and core and core[-1].isascii() and core[-1].isalnum():
-            return self[core] + self[piece[len(core) :]]
-        return self._whole(piece)
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece)
-        if found is None:
-            found = self._new(piece)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.older[""] = b""
-            self.clear()
-        self[piece] = found
+        self._forget()
+        self.plain = True
+        seen = pa.array([w + m for w in ("The", "q", "ZYXWVUTSRQPONMLKJIHGFEDCBA", "Für", "ÉTÉ", "ñandú", "ÀÖØöøßÿ", "straße") for m in ("", *ENDS, ENDS, "...", ".$$$")])
+        if self._pieces(seen).to_pylist() != [self._whole(p) for p in seen.to_pylist()]:
+            self.plain = False
+            self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def _whole(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _unit(self, unit: str) -> list[int]:
+        return [t.id for t in self.tokenize(unit if unit.isascii() else unit.translate(self.letters))]
+
+    def _units(self, units: pa.Array, plain: int) -> pa.ListArray:
+        """The ids of distinct units, of which the first ones are plain."""
+        at = pc.index_in(units, value_set=self.known)
+        new = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        ids, sizes = array("i"), []
+        for k, unit in zip(new.tolist(), units.take(pa.array(new)).to_numpy(zero_copy_only=False), strict=True):
+            found = self._unit(unit) if k < plain else self._whole(unit)
+            ids.extend(found)
+            sizes.append(len(found))
+        at = at.fill_null(0).to_numpy().copy()
+        at[new] = len(self.known) + np.arange(len(new))
+        lists = pa.concat_arrays([self.lists, pa.ListArray.from_arrays(offsets_of(sizes), np.frombuffer(ids, np.int32))])
+        found = lists.take(pa.array(at))
+        if len(lists) <= REMEMBERED and self.known.nbytes + units.nbytes <= TEXTS:
+            self.known, self.lists = pa.concat_arrays([self.known, units.take(pa.array(new))]), lists
+        elif units.nbytes <= TEXTS:
+            self.known, self.lists = units, found
+        else:
+            self._forget()
         return found
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+    def _pieces(self, pieces: pa.Array) -> pa.ListArray:
+        """The ids of distinct pieces."""
+        core = pc.ascii_rtrim(pieces, ENDS)
+        easy = pc.match_substring_regex(core, LETTERS).to_numpy(zero_copy_only=False) & self.plain
+        if self.mark is not None:
+            maybe = np.flatnonzero(pc.match_substring(pieces, self.mark).to_numpy(zero_copy_only=False) & easy)
+            easy[[k for k, p in zip(maybe.tolist(), pieces.take(pa.array(maybe)).to_pylist(), strict=True) if any(t in p.lower() for t in self.added)]] = False
+        marked = np.flatnonzero(easy & (pc.binary_length(core).to_numpy() < pc.binary_length(pieces).to_numpy()))
+        both = (x.take(pa.array(marked)).to_numpy(zero_copy_only=False) for x in (pieces, core))
+        marks = pa.array([p[len(c) :] for p, c in zip(*both, strict=True)], pa.string())
+        units = pa.concat_arrays([pc.utf8_lower(core.filter(pa.array(easy))), marks, pieces.filter(pa.array(~easy))]).dictionary_encode()
+        codes, n = units.indices.to_numpy(), int(easy.sum())
+        lists = self._units(units.dictionary, int(codes[: n + len(marked)].max(initial=-1)) + 1)
+        # A piece is one unit, or two where marks are behind it.
+        first, sizes = np.empty(len(pieces), np.int32), np.ones(len(pieces), np.int64)
+        first[easy], first[~easy], sizes[marked] = codes[:n], codes[n + len(marked) :], 2
+        out = lists.take(pa.array(np.insert(first, marked + 1, codes[n : n + len(marked)])))
+        return pa.ListArray.from_arrays(out.offsets.take(offsets_of(sizes)), out.values)
+
+    def ids(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text and the end id. There is one text at least."""
+        texts = texts.cast(pa.string())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[texts.offset :][: len(texts) + 1]
+        spaced = data.slice(at[0], at[-1] - at[0]).to_pybytes().translate(SPACED) if data else b""
+        split = pc.split_pattern(pa.StringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(spaced)), " ")
+        coded, at = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        lists = pa.concat_arrays([self._pieces(coded.dictionary), pa.array([[end_id]], pa.list_(pa.int32()))])
+        out = lists.take(pa.array(np.insert(coded.indices.to_numpy(), at[1:], len(lists) - 1)))
+        return pa.ListArray.from_arrays(out.offsets.take(pa.array(at + np.arange(len(at)))), out.values)
+
+
+def offsets_of(sizes: np.ndarray | list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of a column that hold TEXTS bytes, and the rest of a text, at most."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    starts = np.flatnonzero(np.diff((ends - np.diff(ends, prepend=0)) // TEXTS, prepend=-1)).tolist()
+    yield from ((a, b - a) for a, b in pairwise([*starts, len(ends)]))
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -127,15 +178,14 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_of, before, end = encoder(tokenizer_path), 0, array("i", [end_id]).tobytes()
-        for b in batches:
-            out = [pieces_of.ids(t.as_py()) + end for t in b.column(1)]
-            ends = np.cumsum([len(x) // 4 for x in out], dtype=np.int64)
-            starts = before + np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            before += int(ends[-1]) if len(ends) else 0
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(starts), pa.array(np.diff(offsets)), ids], names=["doc_id", "part", "before", "n_ids", "ids"])
+        pieces_of, before = encoder(tokenizer_path), 0
+        for whole in batches:
+            for first, n in slices(whole.column(1)):
+                b = whole.slice(first, n)
+                ids = pieces_of.ids(b.column(1), end_id)
+                at = ids.offsets.to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(before + at[:-1]), pa.array(np.diff(at).astype(np.int32)), ids], names=["doc_id", "part", "before", "n_ids", "ids"])
+                before += int(at[-1])
 
     return rows.select("doc_id", "text", "part").mapInArrow(run, FILE_SCHEMA)
 
