@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.sources.stored import checkpointed, looked_up, scratch, shared_dir, small, written
 
-__all__ = ["ascii_lower", "batches_of", "checkpointed", "looked_up", "read", "scratch", "shared_dir", "small", "space_words", "written"]
+__all__ = ["ascii_lower", "batches_of", "checkpointed", "fresh", "looked_up", "read", "remembered", "scratch", "shared_dir", "small", "space_words", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,3 +44,29 @@ def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(BATCH_BYTES, before)
+
+
+_remembered: list[dict] = []
+
+
+def remembered() -> dict:
+    """An empty dict for what an operator keeps in a Python worker beyond a task, which other operators' tasks may clear."""
+    _remembered.append(found := {})
+    return found
+
+
+def let_go() -> None:
+    if any(_remembered):
+        for found in _remembered:
+            found.clear()
+        gc.collect()
+
+
+def fresh(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for tasks that need the memory themselves: first all that is remembered in the worker goes, as jobs share workers."""
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+
+    return started

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftlens.llm.common import remembered
+
 MARK = "▁"
 #: How many cuts and beginnings, of how many characters at most, and how many pairs a transducer remembers.
 REMEMBERED, BEGINNINGS, LONGEST, PAIRS = 300_000, 400_000, 64, 1_000_000
@@ -307,11 +309,11 @@ class Transducer(dict):
         return self.normal.bare(text)
 
 
-_compiled: dict[bytes, Transducer] = {}
+_compiled: dict[bytes, Transducer] = remembered()
 
 
 def transducer(proto: bytes) -> Transducer:
-    """Compiled once per Python worker and model."""
+    """Compiled once per Python worker and model, and again after tasks that let go of it."""
     key = zlib.crc32(proto).to_bytes(4, "big") + len(proto).to_bytes(8, "big")
     if key not in _compiled:
         _compiled[key] = Transducer(proto)

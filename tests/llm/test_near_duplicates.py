@@ -98,3 +98,48 @@ def test_bits_that_are_too_large_to_broadcast_travel_along(spark, monkeypatch):
     want = {tuple(r) for r in shingles.candidates(labelled).collect()}
     monkeypatch.setattr(module, "small", lambda table: table)
     assert {tuple(r) for r in shingles.candidates(labelled).collect()} == want and want
+
+
+def dense_cell(sets, columns):
+    """A batch of one cell of sets that all may be similar and have labels of their own."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = np.arange(sets)
+    cells = pa.array([[5, 6, 7]] * sets, pa.list_(pa.int64()))
+    held = {"cell": np.full(sets, 5), "role": np.zeros(sets, np.int32), "fp": own, "n": np.full(sets, 100), "label": own, "parity": pa.array([bytes(32)] * sets), "homes": cells, "cells": cells}
+    return pa.RecordBatch.from_pydict({c: held[c] for c in columns})
+
+
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pairs_of_a_dense_cell_are_not_held_at_once():
+    names = ["cell", "role", "fp", "n", "label", "parity"]
+    one = dense_cell(3000, names)
+    found, mb = peak_mb(lambda: sum(b.num_rows for b in shingles._in_pairs(iter([one]))))
+    assert found == 3000 and mb < 16
+    all_of_it = dense_cell(1500, [*names, "homes", "cells"])
+    found, mb = peak_mb(lambda: sum(b.num_rows for b in shingles._met_pairs(iter([all_of_it]))))
+    assert found == 1500 * 1499 // 2 and mb < 32
+
+
+def test_tasks_let_go_of_what_the_tokens_stage_left():
+    from driftlens.llm import sentencepiece
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    with open(corpus_pipeline.tokenizer_file(corpus_pipeline.PIECES), "rb") as f:
+        sentencepiece.transducer(f.read())
+    assert sentencepiece._compiled
+    assert list(shingles.sets(Frame(), (shingles.np.empty(0, "u8"), shingles.np.empty(0, "i8")))(iter([]))) == []
+    assert not sentencepiece._compiled
