@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, K = 50, 10
-#: Bytes of documents that a task parses at once, and of documents to a bucket on average; either takes some 40 to
-#: 60 bytes of memory a byte.
+#: Bytes of documents that a task parses at once, and of documents to a bucket on average.
 GATHER, BUCKET = 4 << 20, 2 << 20
+#: Places of a dictionary that are sorted at once, about.
+SLICE = 1 << 19
 LAST = np.iinfo(np.int64).max
 #: About this many documents show which K-byte strings are common; one is if it begins so many of their phrases.
 SAMPLE_DOCS, COMMON = 5000, 40
@@ -114,38 +115,38 @@ def _ranked(k: np.ndarray, common: np.ndarray) -> np.ndarray:
     return v
 
 
-def _hashed(buf: np.ndarray, triggers: bool, common: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Trigger (if asked for) and hash of each window, a block of places at a time, which fits the processor's cache."""
-    n = max(0, len(buf) - WINDOW + 1)
-    trigger, hashes = np.empty(n if triggers else 0, np.uint64), np.empty(n, np.uint64)
-    for at in range(0, n, block):
-        part = buf[at : at + block + WINDOW - 1]
-        k, w = _rolled(part, (K, WINDOW))
-        hashes[at : at + block] = w
-        if triggers:
-            trigger[at : at + block] = _least(_ranked(k, common), WINDOW - K + 1)
-    return trigger, hashes
-
-
-def _phrases(buf: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents that end at ends in buf: each phrase's document, first window, number of windows, trigger, hash."""
-    none = np.empty(0, np.int64)
-    if len(buf) < WINDOW:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    trigger, w_hash = _hashed(buf, True, common)
-    doc = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))[: len(trigger)]
-    inside = np.arange(len(trigger), dtype=np.int32) + WINDOW <= ends.astype(np.int32)[doc]
-    new = inside.copy()
-    new[1:] &= (trigger[1:] != trigger[:-1]) | (doc[1:] != doc[:-1])
-    starts = np.flatnonzero(new)
-    if not len(starts):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+def _phrases(buf: np.ndarray, ends: np.ndarray, common: np.ndarray, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents that end at ends in buf: each phrase's document, first window, number of windows, trigger, hash.
+
+    Windows are hashed a block of places at a time, which fits the processor's cache; only phrases are kept of them.
+    """
+    lasts = ends - WINDOW + 1  # where the windows of each document end
+    heads = np.append(0, ends[:-1])
+    lasts_of = np.flatnonzero(lasts > heads)
+    at_last = np.zeros(len(ends), np.uint64)
+    found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 3)]
+    before, total = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+    for at in range(0, max(0, len(buf) - WINDOW + 1), block):
+        k, w = _rolled(buf[at : at + block + WINDOW - 1], (K, WINDOW))
+        trigger = _least(_ranked(k, common), WINDOW - K + 1)
+        # Sums of the hashes of all windows before each place.
+        total = np.cumsum(np.append(total[-1:], _mixed(w)))
+        new = trigger != np.append(before, trigger[:-1])
+        before = trigger[-1:]
+        new[heads[np.searchsorted(heads, at) : np.searchsorted(heads, at + len(w))] - at] = True
+        starts = np.flatnonzero(new)
+        doc = np.searchsorted(ends, starts + at, side="right")
+        inside = starts + at < lasts[doc]
+        starts, doc = starts[inside], doc[inside]
+        found.append((doc, starts + at, trigger[starts], w[starts] * np.uint64(_P | 1), total[starts]))
+        over = lasts_of[np.searchsorted(lasts[lasts_of], at, side="right") : np.searchsorted(lasts[lasts_of], at + len(w), side="right")]
+        at_last[over] = total[lasts[over] - at]
+    doc, starts, trigger, first, sums = (np.concatenate(x) for x in zip(*found, strict=True))
     # A run ends where the next begins or where the document's windows end.
-    stops = np.minimum(np.append(starts[1:], len(trigger)), ends[doc[starts]] - WINDOW + 1)
-    first = w_hash[starts] * np.uint64(_P | 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(w_hash))])
-    name = (total[stops] - total[starts]) ^ first
-    return doc[starts], starts, stops - starts, trigger[starts], name
+    next_one = np.append(doc[1:] == doc[:-1], False)[: len(doc)]
+    stops = np.where(next_one, np.append(starts[1:], 0)[: len(doc)], lasts[doc])
+    name = (np.where(next_one, np.append(sums[1:], np.uint64(0))[: len(doc)], at_last[doc]) - sums) ^ first
+    return doc, starts, stops - starts, trigger, name
 
 
 def _packed(docs: np.ndarray, prints: np.ndarray, places: np.ndarray, counts: np.ndarray, data: np.ndarray) -> bytes:
@@ -163,6 +164,12 @@ PARSED = "bucket int, doc_id long, print long, spans binary, phrases binary"
 SPANS = "doc_id long, print long, spans binary"
 
 
+def _each(b: pa.RecordBatch, n: int = 256) -> Iterator[tuple]:
+    """The rows of a batch; a few at a time are held as Python's objects."""
+    for at in range(0, b.num_rows, n):
+        yield from zip(*(c.to_pylist() for c in b.slice(at, n).columns), strict=True)
+
+
 def _span_rows(docs: np.ndarray, prints: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[list, list, list]:
     """Packed pairs (first byte, end) of each document."""
     order = np.lexsort((lo, prints, docs))
@@ -209,29 +216,57 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def _ordered(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _eight(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, the first one highest."""
+    return np.ndarray(len(buf) - 7, ">u8", buf, strides=(1,))[at].astype(np.uint64)
+
+
+def _sieved(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The places at but for those whose WINDOW bytes surely come once: alone in their slot of a table, a slice of slots at a time."""
+    h = np.empty(len(at), np.uint32)
+    for i in range(0, len(at), SLICE):
+        p = at[i : i + SLICE]
+        h[i : i + SLICE] = (_eight(buf, p) * _power(1) ^ _eight(buf, p + (WINDOW // 2 - 4)) * _power(3) ^ _eight(buf, p + (WINDOW - 8)) * _power(5)) >> np.uint64(32)
+    bits = (len(at) // SLICE).bit_length()
+    slots = SLICE.bit_length() + 1
+    kept = np.zeros(len(at), bool)
+    for part in range(1 << bits):
+        mine = np.flatnonzero(h >> np.uint32(32 - bits) == part) if bits else np.arange(len(at))
+        slot = (h[mine] << np.uint32(bits)) >> np.uint32(32 - slots)
+        each = np.arange(len(mine), dtype=np.int32)
+        last = np.zeros(1 << slots, np.int32)
+        last[slot] = each
+        shared = np.zeros(1 << slots, bool)
+        shared[slot[last[slot] != each]] = True
+        kept[mine] = shared[slot]
+    return at[kept]
+
+
+def _ordered(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The suffix array of a dictionary as far as it matters: of the places at, those whose WINDOW bytes come twice or more,
-    in alphabetical order, and the number of each one's class of equal bytes.
-
-    Sorted by eight bytes, and those still alike by the next few, until WINDOW bytes are compared.
+    in alphabetical order, and the number of each one's class of equal bytes. It comes in ranges of some SLICE places.
     """
-    eight = buf.astype(np.uint64)
-    for k in (1, 2, 4):
-        eight = (eight[:-k] << np.uint64(8 * k)) | eight[k:]
-    # Places alone in their slot of a table come once; the others are sorted.
-    slots = np.uint64(max(10, min(24, 2 + len(at).bit_length())))
-    slot = ((eight[at] * _power(1)) ^ (eight[at + WINDOW // 2 - 4] * _power(3)) ^ (eight[at + WINDOW - 8] * _power(5))) >> (np.uint64(64) - slots)
-    last = np.zeros(1 << int(slots), np.int32)
-    last[slot] = np.arange(len(at), dtype=np.int32)
-    shared = np.zeros(1 << int(slots), bool)
-    shared[slot[last[slot] != np.arange(len(at), dtype=np.int32)]] = True
-    order = np.flatnonzero(shared[slot])
+    at = _sieved(buf, at)
+    if len(at) <= SLICE:
+        yield _sorted(buf, at)
+        return
+    first = _eight(buf, at)
+    some = np.sort(first[:: max(1, len(at) // 10_000)])
+    n = -(-len(at) // SLICE)
+    part = np.searchsorted(some[np.arange(1, n) * len(some) // n], first, side="right").astype(np.int32)
+    del first
+    for k in range(n):
+        yield _sorted(buf, at[part == k])
+
+
+def _sorted(buf: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by eight bytes, and those still alike by the next few, until WINDOW bytes are compared."""
     group, done = np.zeros(len(order), np.uint64), 0
     while done < WINDOW and len(order):
         # Class and as many bytes as fit beside it in one number, which sorts fast.
         fit = (64 - int(group[-1]).bit_length()) // 8
         done = min(done, WINDOW - fit)
-        key = (eight[at[order] + min(done, WINDOW - 8)] << np.uint64(8 * (done - min(done, WINDOW - 8)))) >> np.uint64(64 - 8 * fit)
+        key = (_eight(buf, order + min(done, WINDOW - 8)) << np.uint64(8 * (done - min(done, WINDOW - 8)))) >> np.uint64(64 - 8 * fit)
         if fit < 8:
             key |= group << np.uint64(8 * fit)
         by = np.argsort(key)
@@ -243,6 +278,29 @@ def _ordered(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
+def _dictionary(blobs: list[bytes]) -> tuple[pa.BinaryArray, tuple[np.ndarray, ...]]:
+    """The distinct phrases of a bucket, and the parse: document, print, place and phrase of each occurrence.
+
+    What is unpacked is looked up some megabytes at a time, and then let go, but for phrases not met before.
+    """
+    known = pa.array([], pa.binary())
+    parts: list[tuple[np.ndarray, ...]] = []
+    phrase: list[np.ndarray] = []
+    waiting: list[pa.BinaryArray] = []
+    size = 0
+    for i, blob in enumerate(blobs):
+        docs, prints, places, counts, data = _unpacked(blob)
+        parts.append((docs.copy(), prints.copy(), places.copy()))
+        ends = np.append(0, np.cumsum(counts + (WINDOW - 1))).astype(np.int32)
+        waiting.append(pa.BinaryArray.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+        size += len(data)
+        if i + 1 == len(blobs) or size > max(BUCKET, known.nbytes):
+            coded = pa.chunked_array([known, *waiting]).dictionary_encode().chunks
+            phrase.append(np.concatenate([c.indices.to_numpy() for c in coded])[len(known) :])
+            known, waiting, size = coded[-1].dictionary, [], 0
+    return known, (*(np.concatenate(x) for x in zip(*parts, strict=True)), np.concatenate(phrase))
+
+
 def _settle(blobs: list[bytes]) -> tuple[list, list, list]:
     """Spans of one bucket: windows that also stand in a smaller document.
 
@@ -250,38 +308,36 @@ def _settle(blobs: list[bytes]) -> tuple[list, list, list]:
     phrase's least is gone as a whole. In the least document those windows are gone that the dictionary's suffix array
     shows in a phrase whose least document is smaller.
     """
-    places_of: dict[bytes, int] = {}
-    parts: list[tuple[np.ndarray, ...]] = []
-    for docs, prints, places, counts, data in map(_unpacked, blobs):
-        raw, ends = data.tobytes(), np.cumsum(counts.astype(np.int64) + WINDOW - 1).tolist()
-        phrase = [places_of.setdefault(raw[a:z], len(places_of)) for a, z in zip([0, *ends], ends)]
-        parts.append((docs, prints, places, np.array(phrase, np.int64)))
-    docs, prints, places, phrase = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    lens = np.fromiter(map(len, places_of), np.int64, len(places_of))
-    buf = np.frombuffer(b"".join(places_of), np.uint8)
-    places_of.clear()
-    starts = np.cumsum(lens) - lens
+    known, (docs, prints, places, phrase) = _dictionary(blobs)
+    starts = np.frombuffer(known.buffers()[1], np.int32, len(known) + 1)
+    lens, starts = np.diff(starts), starts[:-1]
+    buf = np.frombuffer(known.buffers()[2], np.uint8)[: int(lens.sum())]
     least = np.full(len(lens), LAST)
     np.minimum.at(least, phrase, docs)
     later = docs > least[phrase]
     found = [(docs[later], prints[later], places[later].astype(np.int64), places[later] + lens[phrase[later]])]
-    at = _spread(starts, lens - WINDOW + 1)  # where each suffix of a window or more begins
-    of = np.repeat(np.arange(len(lens)), lens - WINDOW + 1)
-    order, group = _ordered(buf, at)
-    if len(order):
-        firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        in_class = np.minimum.reduceat(least[of[order]], firsts)
-        gone = np.sort(order[np.repeat(in_class, np.diff(firsts, append=len(order))) < least[of[order]]])
-        if len(gone):
-            new = np.append(True, (gone[1:] != gone[:-1] + 1) | (of[gone[1:]] != of[gone[:-1]]))
-            a, z = gone[new], gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
-            # Each run of a phrase, in each of the phrase's occurrences in its least document.
-            here = np.flatnonzero(~later)
-            here = here[np.argsort(phrase[here], kind="stable")]
-            lo, hi = (np.searchsorted(phrase[here], of[a], side=x) for x in ("left", "right"))
-            where, run = here[_spread(lo, hi - lo)], np.repeat(np.arange(len(a)), hi - lo)
-            found.append((docs[where], prints[where], places[where] + at[a[run]] - starts[of[a[run]]], places[where] + at[z[run]] - starts[of[a[run]]] + WINDOW))
+    inside = np.ones(len(buf), bool)  # where each suffix of a window or more begins
+    for k in range(1, WINDOW):
+        inside[starts + (lens - k)] = False
+    gone = [np.empty(0, np.int32)]
+    for order, group in _ordered(buf, np.flatnonzero(inside).astype(np.int32)):
+        if len(order):
+            firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            own = least[np.searchsorted(starts, order, side="right") - 1]
+            in_class = np.minimum.reduceat(own, firsts)
+            gone.append(order[np.repeat(in_class, np.diff(firsts, append=len(order))) < own])
+    gone = np.sort(np.concatenate(gone))
+    if len(gone):
+        # Runs; phrases are WINDOW - 1 places apart.
+        new = np.append(True, gone[1:] != gone[:-1] + 1)
+        a, z = gone[new], gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
+        of = np.searchsorted(starts, a, side="right") - 1
+        # Each run of a phrase, in each of the phrase's occurrences in its least document.
+        here = np.flatnonzero(~later)
+        here = here[np.argsort(phrase[here], kind="stable")]
+        lo, hi = (np.searchsorted(phrase[here], of, side=x) for x in ("left", "right"))
+        where, run = here[_spread(lo, hi - lo)], np.repeat(np.arange(len(a)), hi - lo)
+        found.append((docs[where], prints[where], places[where] + (a - starts[of])[run], places[where] + (z - starts[of])[run] + WINDOW))
     return _span_rows(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
@@ -320,7 +376,7 @@ def spans(rows: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            for i, p, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, p, t in _each(b):
                 held.append((i, p, t or b""))
                 n += len(held[-1][2])
                 if n >= GATHER:
@@ -332,7 +388,7 @@ def spans(rows: DataFrame) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs = None, []
         for b in batches:
-            for k, d, p, s, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, d, p, s, x in _each(b):
                 if s is not None:
                     yield pa.RecordBatch.from_pylist([{"doc_id": d, "print": p, "spans": s}], schema=_arrow(SPANS))
                     continue
@@ -372,7 +428,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Texts cross the network compressed."""
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t or b"") for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "print", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t or b"") for _, _, t in _each(b)], pa.binary())], names=["doc_id", "print", "packed"])
 
     packed = rows.mapInArrow(squeeze, "doc_id long, print long, packed binary")
     joined = packed.join(per, ["doc_id", "print"], "left")
