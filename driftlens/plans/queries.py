@@ -657,7 +657,7 @@ def edited_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     swap = lambda t, a, b: F.replace(t, F.lit(a), F.lit(b))
     c_new = [c, swap(c, "note", "other"), swap(c, "rtb_Sum_a1", "rtb_Sum_k2"), swap(c, "  p = in1;\n  q = in2;\n", "  q = in2;\n  p = in1;\n"), swap(c, "= 3", "= 4"), swap(c, "int z1", "int  z1"), swap(c, "\n", "\r\n"), F.concat(note, rest, body), swap(swap(c, "note", "other"), "= 3", "= 4")]
     x = F.concat(F.lit('<A>\n<P UUID="u'), s, F.lit('">\n<SHORT-NAME>N'), s, F.lit("</SHORT-NAME>\n<DESC>words</DESC>\n<DATE>2024</DATE>\n<SW-VERSION>1</SW-VERSION>\n<!-- note -->\n<V>1</V>\n</P>\n</A>\n"))
-    x_new = [x, swap(x, 'UUID="u', 'UUID="v'), swap(x, "2024", "2025"), swap(x, "<SW-VERSION>1", "<SW-VERSION>2"), swap(x, "words", "more words"), swap(x, "note", "other"), swap(x, "<V>1", "<V>2"), swap(swap(x, 'UUID="u', 'UUID="v'), "<V>1", "<V>2")]
+    x_new = [x, swap(x, 'UUID="u', 'UUID="v'), swap(x, "<DATE>2024", "<DATE>2025"), swap(x, "<SW-VERSION>1", "<SW-VERSION>2"), swap(x, "words", "more words"), swap(x, "note", "other"), swap(x, "<V>1", "<V>2"), swap(swap(x, 'UUID="u', 'UUID="v'), "<V>1", "<V>2")]
     pick = lambda new: F.element_at(F.array(*new), (k % len(new) + 1).cast("int"))
     files = F.array(F.struct(F.concat(F.lit("c"), s, F.lit(".c")).alias("rel"), c.alias("old"), pick(c_new).alias("new")), F.struct(F.concat(F.lit("c"), s, F.lit(".arxml")).alias("rel"), x.alias("old"), pick(x_new).alias("new")))
     rows = read(spark, sf_dir, "customer").select(F.explode(files).alias("f")).select("f.*")
