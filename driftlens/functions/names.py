@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftlens.functions.text import IDENT, WORD, strip_comments
+from driftlens.functions.text import IDENT, WORD, let, strip_comments
 
 # How generated names, fields, temporaries and authored names look.
 GENERATED = r"^(?:rtb|rtu|rty|rtDW|rtP|rtC|rtZC|rtPrevZC|localB|localDW|localP|localX|localZCE)_"
@@ -40,9 +40,13 @@ def is_authored(name: Column) -> Column:
 
 
 def canonical_generated(text: Column) -> Column:
-    """Each generated identifier in a text by its root."""
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s){IDENT}|[^A-Za-z_]++|."), 0)
-    return F.array_join(F.transform(parts, lambda t: F.coalesce(generated_root(t), checksum_root(t), t)), "")
+    """Each generated identifier in a text by its root. All of them hold an underscore, so a text without one is as it is."""
+
+    def by_parts(t: Column) -> Column:
+        parts = F.regexp_extract_all(t, F.lit(rf"(?s){IDENT}|[^A-Za-z_]++|."), 0)
+        return F.when(F.contains(t, F.lit("_")), F.array_join(F.transform(parts, lambda x: F.coalesce(generated_root(x), checksum_root(x), x)), "")).otherwise(t)
+
+    return let(text, by_parts)
 
 
 def same_checksummed(a: Column, b: Column) -> Column:

@@ -174,9 +174,10 @@ def is_identifier(token: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Distinct identifiers, sorted."""
+    """Distinct identifiers, sorted. A token that begins like an identifier is one, as TOKEN takes these first."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), 0)
-    return F.array_sort(F.array_distinct(F.filter(found, is_identifier)))
+    begins = lambda t: ((t >= "A") & (t < "[")) | ((t >= "_") & (t < "`")) | ((t >= "a") & (t < "{"))
+    return F.sort_array(F.array_distinct(F.filter(found, lambda t: begins(t) & ~t.isin(*KEYWORDS))))
 
 
 def apply_renames(text: Column, renames: Column) -> Column:

@@ -1,19 +1,19 @@
 """Provable noise among a file's changed ranges, as relations over its lines: renames, reordered statements, moved blocks.
 
 What classify.classify() finds file by file is here a join or a sum by file and name, line or digest, so that a file with
-many changes is many rows. The alignment of two lines' tokens is the one step that runs as a small function of a line pair.
+many changes is many rows; only a reordered block, whose lines are few, is one. The alignment of two lines' tokens is the one
+step that runs as a small function of a line pair.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.functions import names, text
 from driftlens.operators.classify import MOVED_LINES, REORDER_LINES, swapped
 from driftlens.operators.linediff import hunks
-from driftlens.sources.stored import written
 
 
 def solid(lines: Column) -> Column:
@@ -55,35 +55,67 @@ def renames(files: DataFrame) -> DataFrame:
     return alone.where(~names.is_authored(F.col("old")) & ~names.is_authored(F.col("new")) & names.same_checksummed(F.col("old"), F.col("new"))).select("rel", "old", "new")
 
 
-def statements(blocks: DataFrame) -> DataFrame:
-    """rel, side, no, content, written and read of each line of blocks (rel, old, new: lines); content is null unless it is a scalar assignment without calls."""
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("lines")) for s in ("old", "new")])
-    rows = blocks.select("rel", F.explode(sides).alias("s")).select("rel", "s.side", F.posexplode("s.lines").alias("no", "line"))
-    shape = rf"^\s*({text.IDENT})\s*=\s*([^=;][^;]*);\s*$"
-    value, target = F.regexp_extract("line", shape, 2), F.regexp_extract("line", shape, 1)
-    fits = F.col("line").rlike(shape) & ~target.isin(*text.KEYWORDS) & ~value.rlike(rf"{text.IDENT}\s*\(")
-    content = names.canonical_generated(F.regexp_replace(F.trim("line"), ";$", ""))
-    return rows.select("rel", "side", "no", F.when(fits, content).alias("content"), F.when(fits, target).alias("written"), F.when(fits, text.identifiers(value)).otherwise(F.array().cast("array<string>")).alias("read"))
+#: A scalar assignment: what is written, and the value.
+ASSIGNMENT = rf"^\s*({text.IDENT})\s*=\s*([^=;][^;]*);\s*$"
+
+
+def shape(line: Column) -> Column:
+    """line, and what is written and the value if it is a scalar assignment; else these are empty."""
+    return F.struct(line.alias("line"), F.regexp_extract(line, ASSIGNMENT, 1).alias("written"), F.regexp_extract(line, ASSIGNMENT, 2).alias("value"))
+
+
+def fits(s: Column) -> Column:
+    """Whether a shape() is a statement: a scalar assignment without calls."""
+    return (s["written"] != "") & ~s["written"].isin(*text.KEYWORDS) & ~(F.contains(s["value"], F.lit("(")) & s["value"].rlike(rf"{text.IDENT}\s*\("))
+
+
+def statement(s: Column) -> Column:
+    """content, written and read of a shape() that fits."""
+    content = names.canonical_generated(F.regexp_replace(F.trim(s["line"]), ";$", ""))
+    return F.struct(content.alias("content"), s["written"].alias("written"), text.identifiers(s["value"]).alias("read"))
+
+
+def commutes(said: Column, order: Column, n: Column) -> Column:
+    """Whether n statement()s, each of its own content, come once each in an order, of their places, that no name's readers and writers notice.
+
+    That is, another order in which no two of them, of which one writes what the other writes or reads, have changed places:
+    each name's writers stay in order, and so do the readers between them.
+    """
+    meets = lambda s, o: (o["written"] == s["written"]) | F.array_contains(o["read"], s["written"]) | F.array_contains(s["read"], o["written"])
+
+    def overtaken(at: Column) -> Column:
+        """Whether one that comes after a place, and came before what is there, has to do with it."""
+        own, behind = F.get(order, at), F.slice(order, at + 2, n)
+        return F.when(F.array_min(behind) < own, F.exists(behind, lambda o: (o < own) & meets(F.get(said, own), F.get(said, o)))).otherwise(False)
+
+    places = F.sequence(F.lit(0), n - 1)
+    once = (F.size(F.array_distinct(F.transform(F.slice(said, F.lit(1), n), lambda s: s["content"]))) == n) & (F.array_min(order) >= 0) & (F.size(F.array_distinct(order)) == n)
+    return once & (order != places) & ~F.exists(places, overtaken)
 
 
 def reordered(blocks: DataFrame) -> DataFrame:
     """rel and proven: whether new holds old's assignments, each once, in another order that no name's readers and writers notice.
 
-    The normal form of a block: for each name, its writers in order and between them the set of its readers. Blocks that
-    commute into one another have the same one, and forms meet as digests.
+    blocks: rel, old and new (lines). A block of more lines than REORDER_LINES is never proven, so that each is judged where
+    it stands: nothing is shuffled or stored. Lines that both sides have are parsed once.
     """
-    rows = written(statements(blocks), "statements")
-    uses = F.concat(F.transform("read", lambda n: F.struct(n.alias("name"), F.lit(0).alias("writes"))), F.array(F.struct(F.col("written").alias("name"), F.lit(1).alias("writes"))))
-    used = rows.where("content is not null").select("rel", "side", "no", "content", F.explode(uses).alias("u")).select("rel", "side", "no", "content", "u.*")
-    turn = Window.partitionBy("rel", "side", "name").orderBy("no", "writes").rowsBetween(Window.unboundedPreceding, 0)
-    by_name = used.withColumn("turn", F.sum("writes").over(turn)).groupBy("rel", "side", "name").agg(F.sha2(F.to_json(F.sort_array(F.collect_set(F.struct("turn", "writes", "content")))), 256).alias("form"))
-    forms = by_name.groupBy("rel", "side").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("name", "form")))), 256).alias("form"))
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("no", "content"))), lambda x: x["content"])
-    said = rows.groupBy("rel", "side").agg(F.count("*").alias("n"), F.count("content").alias("fit"), F.count_distinct("content").alias("unlike"), F.sha2(F.to_json(in_order), 256).alias("order"), F.sha2(F.to_json(F.sort_array(F.collect_set("content"))), 256).alias("contents"))
-    known = said.where((F.col("fit") == F.col("n")) & (F.col("unlike") == F.col("n")) & F.col("n").between(REORDER_LINES[0], REORDER_LINES[-1])).join(forms, ["rel", "side"])
-    a, b = (known.where(F.col("side") == s).select("rel", *[F.col(c).alias(f"{c}_{s}") for c in ("contents", "form", "order")]) for s in ("old", "new"))
-    proven = a.join(b, "rel").where("contents_old = contents_new and form_old = form_new and order_old <> order_new").select("rel", F.lit(True).alias("proven"))
-    return blocks.select("rel").join(proven, "rel", "left").na.fill(False, ["proven"])
+
+    def proven(b: Column) -> Column:
+        unlike = lambda side: F.size(F.array_distinct(b[side]))
+        n = F.size(b["old"])
+        may = n.between(REORDER_LINES[0], REORDER_LINES[-1]) & (n == F.size(b["new"])) & (b["old"] != b["new"]) & (unlike("old") == n) & (unlike("new") == n)
+
+        def judged(lines: Column) -> Column:
+            """lines: those of old, and then what else new has."""
+            place = lambda rows, x: F.array_position(rows, x).cast("int") - 1
+            of_old = lambda said, k: F.when(k < n, k).otherwise(place(F.slice(said, F.lit(1), n), F.get(said, k)))
+            order = lambda said: F.transform(b["new"], lambda x: text.let(place(lines, x), lambda k: of_old(said, k)))
+            found = lambda said: text.let(order(said), lambda places: commutes(said, places, n))
+            return text.let(F.transform(lines, shape), lambda shapes: F.forall(shapes, fits) & text.let(F.transform(shapes, statement), found))
+
+        return F.when(may, text.let(F.array_distinct(F.concat(b["old"], b["new"])), judged))
+
+    return blocks.select("rel", F.coalesce(text.let(F.struct("old", "new"), proven), F.lit(False)).alias("proven"))
 
 
 def slid(lines: Column, lo: Column, hi: Column) -> Column:
